@@ -280,22 +280,24 @@ def fit(rows: list[tuple[str, str]], keep: float = 0.2, rounds: int = 2) -> Lang
     return model
 
 
-def training_rows(labelled: DataFrame, text: str, lang: str, key: str, per_language: int = 3000) -> list[tuple[str, str]]:
-    """About ``per_language`` labelled texts of each language, by a hash of the key: the documented
-    bound of what the driver fits on. The hash threshold follows each language's count, so no group is
-    sorted or gathered."""
-    rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.col(key).cast("string").alias("k")).filter("t IS NOT NULL AND l IS NOT NULL")
-    sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}  # one row per language
+def training_rows(texts: DataFrame, named: DataFrame, per_language: int = 3000) -> list[tuple[str, str]]:
+    """About ``per_language`` labelled texts of each language: the documented bound of what the driver
+    fits on. Keys are drawn from the labels by a hash threshold that follows each language's count, so
+    nothing is sorted; the drawn keys (at most about ``per_language`` x languages) are broadcast to
+    the texts. ``texts``: k, t; ``named``: k, code."""
+    sizes = {r.code: r.n for r in named.groupBy("code").agg(F.count("*").alias("n")).collect()}  # one row per language
     sizes = {x: n for x, n in sizes.items() if x in LANGUAGES}
     if not sizes:
         return []
-    share = F.try_element_at(F.create_map(*[F.lit(x) for lang_, n in sizes.items() for x in (lang_, min(1.0, per_language / n))]), F.col("l"))
-    unit = F.pmod(F.xxhash64(F.lit("lang"), "k"), F.lit(1_000_000).cast("bigint")) / 1e6
-    return [(r.t, r.l) for r in rows.filter(unit < share).select("t", "l").limit(2 * per_language * len(LANGUAGES)).collect()]
+    share = F.try_element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))]), F.col("code"))
+    unit = F.pmod(F.xxhash64(F.lit("lang"), F.col("k").cast("string")), F.lit(1_000_000).cast("bigint")) / 1e6
+    drawn = named.filter(unit < share).limit(2 * per_language * len(LANGUAGES))
+    rows = texts.join(F.broadcast(drawn), "k").select("k", "t", "code").limit(8 * per_language * len(LANGUAGES)).collect()
+    return sorted({(r.t, r.code) for r in rows})
 
 
 def segment_languages(df: DataFrame, key: str, text: str, model: LanguageModel) -> DataFrame:
-    """key, segment_no (from 1), lang_code, confidence, start, end: the stretches of each text.
+    """key, segment_no (from 1), segments, lang_code, confidence, start, end: the stretches of each text.
 
     Texts without words of a known language (null, empty, emoji, numbers, names alone) give no row.
     Offsets are characters of the text. Each batch works per distinct text; the model is broadcast and
@@ -310,10 +312,10 @@ def segment_languages(df: DataFrame, key: str, text: str, model: LanguageModel)
         for pdf in batches:
             codes, values = pd.factorize(pdf["t"])
             found = [own.segments(v) for v in values]
-            rows = [(k, no, *seg) for k, c in zip(pdf["k"], codes) for no, seg in enumerate(found[c], 1)]
-            yield pd.DataFrame(rows, columns=["k", "segment_no", "lang_code", "confidence", "start", "end"])
+            rows = [(k, no, len(found[c]), *seg) for k, c in zip(pdf["k"], codes) for no, seg in enumerate(found[c], 1)]
+            yield pd.DataFrame(rows, columns=["k", "segment_no", "segments", "lang_code", "confidence", "start", "end"])
 
-    out = base.mapInPandas(run, f"k {kind}, segment_no bigint, lang_code string, confidence double, start bigint, `end` bigint")
+    out = base.mapInPandas(run, f"k {kind}, segment_no bigint, segments bigint, lang_code string, confidence double, start bigint, `end` bigint")
     return out.withColumnRenamed("k", key)
 
 
@@ -321,17 +323,16 @@ def document_languages(comments: DataFrame, labels: DataFrame, key: str = "comme
     """comment_id, segment_no, lang_code, confidence, segments, label_code of every text with words.
 
     ``label_code`` is the language its label names, or null. Repeats of a key with one text count
-    once; null keys are left out. The filter is fitted on about ``per_language`` labelled rows of each
-    language; every row is then read whole.
+    once (a key with several texts gives the stretches of each); null keys are left out. The filter is
+    fitted on about ``per_language`` labelled rows of each language; every row is then read whole.
+    Texts are never shuffled, only their stretches, on the key.
     """
-    texts = comments.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("k IS NOT NULL").dropDuplicates()
-    named = labels.select(F.col(label_key).alias("k"), label_language(F.col(label)).alias("code")).filter("k IS NOT NULL").groupBy("k").agg(F.max("code").alias("code"))
-    both = texts.join(named, "k", "left")
-    model = fit(training_rows(both, "t", "code", "k", per_language))
-    segs = segment_languages(texts, "k", "t", model)
-    count = segs.groupBy("k").agg(F.max("segment_no").alias("segments"))
-    out = segs.join(count, "k").join(named, "k", "left")
-    return out.select(F.col("k").alias(key), "segment_no", "lang_code", "confidence", "segments", F.col("code").alias("label_code"))
+    texts = comments.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("k IS NOT NULL")
+    named = labels.select(F.col(label_key).alias("k"), label_language(F.col(label)).alias("code")).filter("k IS NOT NULL AND code IS NOT NULL").groupBy("k").agg(F.max("code").alias("code"))
+    model = fit(training_rows(texts, named, per_language))
+    segs = segment_languages(texts, "k", "t", model).join(named, "k", "left")
+    out = segs.select(F.col("k").alias(key), "segment_no", "lang_code", "confidence", "segments", F.col("code").alias("label_code"))
+    return out.dropDuplicates()
 
 
 def wrong_labels(languages: DataFrame) -> DataFrame:
