@@ -26,9 +26,9 @@ class Filters:
 
 
 def cohort_summary(df: DataFrame, cohort: list[str], value: str, limit: int | None = None) -> DataFrame:
-    """Rows, median and quartiles (linear) per cohort, largest first."""
+    """Rows, median and quartiles (linear, to 4 digits) per cohort, largest first."""
     v = F.col(value)
-    out = df.groupBy(*cohort).agg(F.count("*").alias("n"), F.percentile(v, 0.5).alias("median"), F.percentile(v, 0.25).alias("q25"), F.percentile(v, 0.75).alias("q75"))
+    out = df.groupBy(*cohort).agg(F.count("*").alias("n"), *[F.round(F.percentile(v, p), 4).alias(a) for a, p in (("median", 0.5), ("q25", 0.25), ("q75", 0.75))])
     out = out.orderBy(F.col("n").desc(), *[F.col(c).asc_nulls_last() for c in cohort])
     return out.limit(limit) if limit else out
 

@@ -63,3 +63,44 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_vpic_wide, p4_safety_wide, p5_found, p5_common_units, p6_found, p6_shredded, p7_found)}
+
+_FILL = ", ".join(f"'{x}'" for x in eav.FILLERS)
+_CLEAN_ID = r"regexp_replace(regexp_replace(trim(variable_id), '\.0*$', ''), '^#?0*([0-9])', '\1')"
+_WHOLE = r"^([+-]?)0*(\d{1,3}(?:,\d{3})+|\d+)(?:\.0*)?(?:\s*stars?)?$"
+_NUM = f"""CASE WHEN lower(v) IN ({_FILL}) THEN NULL WHEN regexp_matches(lower(v), '{_WHOLE}') THEN
+ ((CASE WHEN regexp_extract(v, '{_WHOLE}', 1) = '-' THEN '-' ELSE '' END) || replace(regexp_extract(lower(v), '{_WHOLE}', 2), ',', ''))::BIGINT END"""
+_SAFETY_INT = ", ".join(f"('{a.name}')" for a in eav.SAFETY if a.data_type == "int")
+
+
+def _money(col: str) -> str:
+    return rf"""(CASE WHEN regexp_matches(lower({col}), 'mxn|mex\$|mexic|\bpesos?\b') THEN 'MXN' WHEN regexp_matches(lower({col}), '\bcad\b|cdn|\bc\$|ca\$|canad') THEN 'CAD'
+ WHEN regexp_matches(lower({col}), '€|\beur\b|\beuros?\b|\bkeur\b') THEN 'EUR' WHEN regexp_matches(lower({col}), '\$|usd|\busc\b|dollar|\bcents?\b') THEN 'USD' END
+ || CASE WHEN regexp_matches(lower({col}), '\bcents?\b|\busc\b') THEN '/100' WHEN regexp_matches(lower({col}), 'thousand|x ?1[,.]?000|\bk ?\$|\bkusd\b') THEN '*1000' ELSE '' END)"""
+
+
+def _length(col: str) -> str:
+    kinds = (("cm", "cm|centimet(er|re)s?"), ("mm", "mm|millimet(er|re)s?"), ("ft", "ft|feet|foot"), ("m", "m|mtrs?|met(er|re)s?"), ("in", "in|inch|inches"))
+    return "(CASE " + " ".join(f"WHEN regexp_matches(lower({col}), '(^|[^a-z])({p})([^a-z]|$)') THEN '{u}'" for u, p in kinds) + " END)"
+
+
+ORACLE = {
+    "p4_found": rf"""
+WITH m AS (SELECT variable_code, variable_id FROM nhtsa_vpic_variable_metadata WHERE data_type = 'int'),
+a AS (SELECT vin, model_year_hint, variable_code, regexp_replace(value, '^\s+|\s+$', '', 'g') AS v FROM (SELECT *, {_CLEAN_ID} AS cid FROM nhtsa_vpic_values) x JOIN m ON x.cid = m.variable_id),
+s AS (SELECT query_id, vehicle_id, n.name, regexp_replace(field_value, '^\s+|\s+$', '', 'g') AS v FROM nhtsa_safety_rating_values r JOIN (VALUES {_SAFETY_INT}) n(name) ON lower(regexp_replace(field_name, '[^\p{{L}}\p{{N}}]', '', 'g')) = lower(n.name)),
+u AS (SELECT DISTINCT 'nhtsa_vpic_values' AS source_table, coalesce(vin, '') AS key_a, coalesce(model_year_hint::VARCHAR, '') AS key_b, variable_code AS attribute_name, {_NUM} AS int_value FROM a
+UNION ALL SELECT DISTINCT 'nhtsa_safety_rating_values', coalesce(query_id::VARCHAR, ''), coalesce(vehicle_id, ''), name, {_NUM} FROM s)
+SELECT * FROM u WHERE int_value IS NOT NULL""",
+    "p5_found": rf"""
+WITH n AS (SELECT feed, {_length("note")} AS lu, {_money("note")} AS mu FROM feed_notes),
+r AS (SELECT currency || s AS u, usd_per_unit * f AS k FROM fx_rates, (VALUES ('', 1.0::DOUBLE), ('/100', 0.01), ('*1000', 1000.0)) x(s, f)),
+l(u, k) AS (VALUES ('in', 1.0::DOUBLE), ('ft', 12.0), ('cm', 1 / 2.54::DOUBLE), ('mm', 1 / 25.4::DOUBLE), ('m', 100 / 2.54::DOUBLE)),
+h AS (SELECT row_id, feed, replace(replace(lower(trim(height)), '′', ''''), '″', '"') AS t FROM used_cars WHERE height IS NOT NULL),
+g AS (SELECT row_id, feed, t, regexp_extract(t, '^([0-9][0-9.,]*)', 1) AS num, trim(regexp_replace(regexp_replace(t, '^[0-9][0-9.,]*\s*', ''), '\.$', '')) AS rest,
+  regexp_extract(t, '^(\d+)\s*(?:''|ft|feet)\s*(\d+)\s*(?:"|in|inches)$', ['f', 'i']) AS fi, regexp_matches(t, '^\d+ \d+/\d+') AS frac FROM h WHERE regexp_matches(t, '^[0-9]')),
+w AS (SELECT g.row_id, fi, num, coalesce(CASE WHEN rest = '"' THEN 'in' ELSE {_length("rest")} END, CASE WHEN rest = '' THEN coalesce(n.lu, 'in') END) AS u FROM g LEFT JOIN n USING (feed) WHERE NOT frac),
+x AS (SELECT row_id, CASE WHEN fi.f <> '' THEN try_cast(fi.f AS DOUBLE) * 12 + try_cast(fi.i AS DOUBLE) ELSE CASE WHEN u = 'mm' AND regexp_full_match(num, '\d{{1,3}}(,\d{{3}})+') THEN try_cast(replace(num, ',', '') AS DOUBLE) ELSE try_cast(replace(num, ',', '.') AS DOUBLE) END * k END AS v, fi.f <> '' OR u <> 'in' AS keep FROM w LEFT JOIN l USING (u)),
+p AS (SELECT row_id, price, coalesce({_money("price_unit")}, {_money("description")}, n.mu, 'USD') AS u FROM used_cars LEFT JOIN n USING (feed) WHERE price IS NOT NULL)
+SELECT row_id, 'height' AS field_name, round(v)::BIGINT AS common_value FROM x WHERE keep AND v IS NOT NULL
+UNION ALL SELECT row_id, 'price', round(round(price * k, 6))::BIGINT FROM p JOIN r USING (u) WHERE u <> 'USD'""",
+}
