@@ -293,7 +293,7 @@ def training_rows(texts: DataFrame, named: DataFrame, per_language: int = 3000)
     unit = F.pmod(F.xxhash64(F.lit("lang"), F.col("k").cast("string")), F.lit(1_000_000).cast("bigint")) / 1e6
     drawn = named.filter(unit < share).limit(2 * per_language * len(LANGUAGES))
     rows = texts.join(F.broadcast(drawn), "k").select("k", "t", "code").limit(8 * per_language * len(LANGUAGES)).collect()
-    return sorted({(r.t, r.code) for r in rows})
+    return sorted((r.t, r.code) for r in rows)
 
 
 def segment_languages(df: DataFrame, key: str, text: str, model: LanguageModel) -> DataFrame:
