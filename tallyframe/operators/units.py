@@ -171,7 +171,7 @@ def solve_units(edges: list[tuple], sources: list[str], stated: dict[str, str],
                 best = min(miss, key=miss.get)
                 if default in miss and miss[default] <= miss[best] + prefer:
                     best = default
-                votes[best] = votes.get(best, 0) + weight
+                votes[best] = votes.get(best, 0) + weight / (0.02 + miss[best])
         return max(votes, key=votes.get) if votes else None
 
     graph = UnitGraph({}, {}, edges)
