@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import let
+
 DELIMITERS = ",;|\\t\\r\\n•‣◦▪·"  # commas, semicolons, bars, line ends, bullets
 NO_LABEL = ("", "-", "--", "n/a", "na", "none", "null", "nan", "unknown")  # fixed values: fillers for a whole field
 _OPEN, _CLOSE, _ESC = "", "", ""  # placeholder marks; the same characters in a text are escaped first
@@ -51,30 +53,34 @@ def packed_labels(text: Column, delimiters: str = DELIMITERS) -> Column:
     it; a quote counts only where it opens a label and closes before a delimiter, so inch marks and
     apostrophes stay. Surrounding list brackets are packing and dropped.
     """
-    body = F.regexp_replace(F.trim(_escape(text)), r"^[\s﻿]+|\s+$", "")
-    body = F.when(body.rlike(r"(?s)^\[.*\]$|^\{.*\}$|^\(\s*['\"].*\)$"), body.substr(F.lit(2), F.length(body) - 2)).otherwise(body)
     pattern = _span_pattern(delimiters)
-    spans = F.transform(F.regexp_extract_all(body, F.lit(pattern), F.lit(0)), lambda s: F.regexp_replace(s, r"^\s+", ""))
-    pieces = F.split(body, pattern, -1)
-    masked = F.array_join(
-        F.transform(
-            pieces,
-            lambda p, i: F.when(i < F.size(pieces) - 1, F.concat(p, F.lit(_OPEN), i.cast("string"), F.lit(_CLOSE))).otherwise(p),
-        ),
-        "",
-    )
-    tokens = F.split(masked, f"[{delimiters}]", -1)
     marked = rf"^{_OPEN}(\d+){_CLOSE}$"
 
-    def restore(tok: Column) -> Column:
-        t = F.regexp_replace(F.regexp_replace(tok, r"^\s+|\s+$", ""), r"^[-*–]\s+", "")
-        at = F.regexp_extract(t, marked, 1)
-        out = F.when(at != "", _unquote(F.get(spans, at.cast("int")))).otherwise(t)
-        return F.regexp_replace(_unescape(out), r"^\s+|\s+$", "")
+    def packed(body: Column) -> Column:
+        open_list = body.rlike(r"(?s)^\[.*\]$|^\{.*\}$|^\(\s*['\"].*\)$")
+        return let(F.when(open_list, body.substr(F.lit(2), F.length(body) - 2)).otherwise(body), split_up)
+
+    def split_up(body: Column) -> Column:
+        quoted = body.contains('"') | body.contains("'")
+        return F.when(quoted, let(F.split(body, pattern, -1), lambda pieces: with_spans(body, pieces))).otherwise(to_labels(body, None))
+
+    def with_spans(body: Column, pieces: Column) -> Column:
+        last = F.size(pieces) - 1
+        masked = F.array_join(F.transform(pieces, lambda p, i: F.when(i < last, F.concat(p, F.lit(_OPEN), i.cast("string"), F.lit(_CLOSE))).otherwise(p)), "")
+        return let(F.regexp_extract_all(body, F.lit(pattern), F.lit(0)), lambda spans: to_labels(masked, spans))
+
+    def to_labels(masked: Column, spans: Column | None) -> Column:
+        def restore(tok: Column) -> Column:
+            t = F.regexp_replace(tok, r"^\s+|\s+$|^\s*[-*–]\s+", "")
+            if spans is None:
+                return _unescape(t)
+            span = let(t, lambda x: let(F.regexp_extract(x, marked, 1), lambda at: F.when(at != "", let(F.regexp_replace(F.get(spans, at.cast("int")), r"^\s+", ""), _unquote)).otherwise(x)))
+            return F.regexp_replace(_unescape(span), r"^\s+|\s+$", "")
+
+        return F.filter(F.transform(F.split(masked, f"[{delimiters}]", -1), restore), lambda t: t != "")
 
-    labels = F.filter(F.transform(tokens, restore), lambda t: t != "")
     missing = text.isNull() | F.lower(F.trim(text)).isin(*NO_LABEL)
-    return F.when(missing, F.array().cast("array<string>")).otherwise(labels)
+    return F.when(missing, F.array().cast("array<string>")).otherwise(let(F.regexp_replace(_escape(text), r"^[\s\x{FEFF}]+|\s+$", ""), packed))
 
 
 def explode_packed(df: DataFrame, keys: list[str], column: str, pos_col: str = "pos", label_col: str = "label", delimiters: str = DELIMITERS) -> DataFrame:
