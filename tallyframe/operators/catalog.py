@@ -34,16 +34,21 @@ def cohort_summary(df: DataFrame, cohort: list[str], value: str, limit: int | No
 
 
 def scope_summary(df: DataFrame, identity: str, cohort: list[str], values: list[str], date: str | None = None) -> DataFrame:
-    """One row: rows, distinct identities, complete cohorts, median and finite range of each value."""
+    """One row: rows, distinct identities, complete cohorts, median and finite range of each value.
+
+    Each part is its own aggregation (no row is expanded per distinct count); medians are taken over
+    counted distinct values, so the last task holds a column's values once, not its rows.
+    """
     complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cohort])
-    cols = [F.count("*").alias("n_rows"), F.count_distinct(identity).alias("n_ids"), F.count_distinct(F.when(complete, F.struct(*cohort))).alias("n_cohorts")]
+    parts = [df.agg(F.count("*").alias("n_rows"), *([F.min(date).alias("first_date"), F.max(date).alias("last_date")] if date else []))]
+    parts.append(df.select(identity).filter(F.col(identity).isNotNull()).distinct().agg(F.count("*").alias("n_ids")))
+    parts.append(df.filter(complete).select(*cohort).distinct().agg(F.count("*").alias("n_cohorts")))
     for v in values:
-        x = F.col(v).cast("double")
-        ok = F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
-        cols += [F.percentile(ok, 0.5).alias(f"{v}_median"), F.min(ok).alias(f"{v}_min"), F.max(ok).alias(f"{v}_max")]
-    if date:
-        cols += [F.min(date).alias("first_date"), F.max(date).alias("last_date")]
-    return df.agg(*cols)
+        x = df.select(F.col(v).cast("double").alias("x")).filter("NOT isnan(x) AND abs(x) < double('infinity')").groupBy("x").agg(F.count("*").alias("n"))
+        parts.append(x.agg(F.percentile("x", 0.5, F.col("n")).alias(f"{v}_median"), F.min("x").alias(f"{v}_min"), F.max("x").alias(f"{v}_max")))
+    one = reduce(lambda a, b: a.crossJoin(b), parts)  # one row each
+    ends = ["first_date", "last_date"] if date else []
+    return one.select("n_rows", "n_ids", "n_cohorts", *[f"{v}_{k}" for v in values for k in ("median", "min", "max")], *ends)
 
 
 def histogram(df: DataFrame, value: str, width: float) -> DataFrame:
