@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.shared import spread
+from ..sources.shared import materialise, spread
 
 # Default ignorable code points.
 IGNORABLE = [
@@ -102,11 +102,11 @@ def look_classes(df: DataFrame, key: str, text: str) -> DataFrame:
             yield pd.DataFrame([both[c] for c in codes], columns=["fold", "look"])
 
     py = base.withColumn("__f", forms(F.when(~is_ascii(F.col("__t")), F.col("__t"))))
-    half = lambda c: F.substring(F.sha2(c, 256), 1, 32)
+    half = lambda c: F.unhex(F.substring(F.sha2(c, 256), 1, 32))
     return py.select(
         "id",
-        F.coalesce("__f.fold", half(F.lower("__t"))).alias("fold"),
-        F.coalesce("__f.look", half(F.col("__t"))).alias("look"),
+        F.coalesce(F.unhex("__f.fold"), half(F.lower("__t"))).alias("fold"),
+        F.coalesce(F.unhex("__f.look"), half(F.col("__t"))).alias("look"),
         half(F.col("__t")).alias("exact"),
     )
 
@@ -117,11 +117,12 @@ def lookalike_pairs(df: DataFrame, key: str, text: str, salts: int = 16) -> Data
     Candidates share the case-folded form; the look with its case and the differing text are checked
     exactly. Classes with one text drop out after one aggregation. The rest expands class by class:
     pairs of different texts first, then their rows, salted by row so that a text with very many
-    copies is spread over tasks. Empty and null texts and identical texts give no pair; if a key
-    repeats with one text it counts once.
+    copies is spread over tasks. Empty and null texts and identical texts give no pair; a repeated key
+    counts once. The digests (48 bytes a row) are written to the shared folder once, so no text is read
+    or normalised again.
     """
-    rows = look_classes(df, key, text).dropDuplicates(["id", "exact"])
-    texts = rows.groupBy("fold", "look", "exact").agg(F.count("*").alias("n"))
+    rows = materialise(look_classes(df, key, text), "looks")
+    texts = rows.select("fold", "look", "exact").distinct()
     several = texts.groupBy("fold", "look").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("fold", "look")
     kinds = texts.join(several, ["fold", "look"])
     a, b = kinds.select("fold", "look", F.col("exact").alias("xa")), kinds.select("fold", "look", F.col("exact").alias("xb"))
