@@ -145,7 +145,8 @@ class LanguageModel:
         self.switch, self.switch_at_break = switch, switch_at_break
         self.title = title
         self.false = bits.false_rate()
-        self.memo: dict[str, np.ndarray] = {}
+        self.memo: dict[str, int] = {}
+        self.scores = np.zeros((1024, len(LANGUAGES)))
         self.limit = memo
 
     def evidence(self, words: set[str]) -> None:
@@ -166,16 +167,26 @@ class LanguageModel:
         share = np.clip((counts / n - self.false) / (1 - self.false), 0, 1)
         best = share.max(axis=1, keepdims=True)
         score = np.where(best > 0.25, self.weight * (share - best), 0.0)
-        for w, s in zip(new, score):
-            self.memo[w] = s
+        first = len(self.memo)
+        if first + len(new) > len(self.scores):
+            grown = np.zeros((max(2 * len(self.scores), first + len(new)), len(LANGUAGES)))
+            grown[:first] = self.scores[:first]
+            self.scores = grown
+        self.scores[first : first + len(new)] = score
+        for i, w in enumerate(new, first):
+            self.memo[w] = i
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Evidence of each word, one row each."""
+        self.evidence(set(words))
+        return self.scores[[self.memo[w] for w in words]]
 
     def segments(self, text: str) -> list[tuple[str, float, int, int]]:
         """(language, confidence, start, end) of the maximal stretches in one language, in order."""
         toks = tokens(text)
         if not toks:
             return []
-        self.evidence({t[0] for t in toks})
-        e = np.stack([self.memo[t[0]] for t in toks])
+        e = self.rows([t[0] for t in toks])
         names = np.array([t[0].istitle() and len(t[0]) > 1 and not t[3] for t in toks])
         e[names] *= self.title  # words like names inside a sentence say little
         telling = e.min(axis=1) < -0.2
@@ -218,29 +229,29 @@ class LanguageModel:
             i = j + 1
         return out
 
-    def language(self, text: str) -> str | None:
-        """The language with most evidence over the whole text."""
-        toks = tokens(text)
-        self.evidence({t[0] for t in toks})
-        if not toks:
+    def language(self, words: list[str]) -> str | None:
+        """The language with most evidence over the words of a text."""
+        if not words:
             return None
-        e = np.stack([self.memo[t[0]] for t in toks])
+        e = self.rows(words)
         return LANGUAGES[int(e.sum(axis=0).argmax())] if e.min() < -0.2 else None
 
 
-def _masks(rows: list[tuple[str, str]], keep: float, least: int) -> dict[str, int]:
+def _masks(rows: list[tuple[list[str], str]], keep: float, least: int) -> dict[str, int]:
     """n-gram -> bitmask: the languages whose rate of the n-gram is at least ``keep`` of the highest."""
+    words = [Counter() for _ in LANGUAGES]
+    for ws, lang in rows:
+        words[LANGUAGES.index(lang)].update(ws)
+    totals = [c.total() for c in words]
     counts = [Counter() for _ in LANGUAGES]
-    totals = [0] * len(LANGUAGES)
     cache: dict[str, list[str]] = {}
-    for text, lang in rows:
-        i = LANGUAGES.index(lang)
-        for w, *_ in tokens(text):
+    for c, out in zip(words, counts):
+        for w, n in c.items():
             g = cache.get(w)
             if g is None:
                 g = cache[w] = list(set(grams(w)))
-            counts[i].update(g)
-            totals[i] += 1
+            for x in g:
+                out[x] += n
     seen: dict[str, list[float]] = {}
     for i, c in enumerate(counts):
         for g, n in c.items():
@@ -267,7 +278,8 @@ def fit(rows: list[tuple[str, str]], keep: float = 0.2, rounds: int = 2) -> Lang
                 seeds[g] = seeds.get(g, 0) | 1 << i
     seeds |= {"s:cyr": 1 << LANGUAGES.index("ru"), "s:kana": 1 << LANGUAGES.index("ja"), "s:han": 1 << LANGUAGES.index("ja")}
     seeds["s:lat"] = sum(1 << i for i, x in enumerate(LANGUAGES) if x not in ("ru", "ja"))
-    model, kept = None, rows
+    split = [([t[0] for t in tokens(text)], lang) for text, lang in rows]
+    model, kept = None, split
     for _ in range(rounds):
         masks = _masks(kept, keep, 2)
         for s in ("s:cyr", "s:kana", "s:han", "s:lat"):
@@ -276,7 +288,7 @@ def fit(rows: list[tuple[str, str]], keep: float = 0.2, rounds: int = 2) -> Lang
         bits.add(masks)
         bits.add({g: m for g, m in seeds.items() if g not in masks})
         model = LanguageModel(bits)
-        kept = [(t, lang) for t, lang in rows if model.language(t) == lang]
+        kept = [(ws, lang) for ws, lang in split if model.language(ws) == lang]
     return model
 
 
