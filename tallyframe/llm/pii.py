@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -99,12 +100,29 @@ _INTRO = regex.compile(r"(?:my name is|i am called|ich hei(?:ß|ss)e|mein name i
 _TITLE_BEFORE = regex.compile(rf"(?:^|[\s(,]){TITLES}\s+$", _FLAGS)
 
 
+@lru_cache(maxsize=200_000)
 def _bare(word: str) -> str:
     t = unicodedata.normalize("NFKD", word.lower().replace("ı", "i").replace("ł", "l"))
     return "".join(c for c in t if not unicodedata.combining(c))
 
 
 _PLAIN_SET = {_bare(w) for w in PLAIN}
+_DIGIT = regex.compile(r"\d")
+_SPELLED_HINT = regex.compile(r"\b(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)\b[\s,.-]*(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)\b", _FLAGS)
+_SPECIAL = regex.compile(r"[^\x00-\x7F\p{L}]|[\uFF00-\uFFEF\uFB00-\uFB06\U0001D400-\U0001D7FF]")
+_FOREIGN = regex.compile(r"[^\x00-\x7F\p{Latin}\p{Han}\p{Hiragana}\p{Katakana}\p{P}\p{S}\s]")
+_MAY_INTRODUCE = regex.compile(rf"(?:^|[\s(,]){TITLES}\s+\p{{Lu}}|{_INTRO.pattern[:-1]}\p{{Lu}}", _FLAGS)
+
+
+@lru_cache(maxsize=20_000)
+def _plain_char(c: str) -> str:
+    """A character written plainly: width and ligature forms as letters, blanks as one blank, ignorable
+    characters as nothing. Letters of any script stay."""
+    name = unicodedata.name(c, "")
+    if not c.isalpha() or name.startswith(("FULLWIDTH", "MATHEMATICAL", "LATIN SMALL LIGATURE")):
+        p = c.translate(_LOOK)
+        return unicodedata.normalize("NFKC", p) if p else p
+    return c
 
 
 class Plain:
@@ -112,20 +130,19 @@ class Plain:
 
     def __init__(self, text: str):
         self.source = text
-        if text.isascii():
-            self.text, self.at = text, None
-        else:
-            out, at = [], []
-            for i, c in enumerate(text):
-                p = c
-                if ord(c) > 127:
-                    p = c.translate(_LOOK) if not c.isalpha() or unicodedata.name(c, "").startswith(("FULLWIDTH", "MATHEMATICAL")) else c
-                    p = unicodedata.normalize("NFKC", p) if p and not p.isalpha() or unicodedata.name(c, "").startswith(("FULLWIDTH", "MATHEMATICAL", "LATIN SMALL LIGATURE")) else p
-                out.append(p)
-                at.extend([i] * len(p))
-            self.text, self.at = "".join(out), at + [len(text)]
-            self._lookalikes()
-        self._rewrite(_SPELLED, lambda m: "".join(_DIGITS[d.lower()] for d in _SPELLED_ONE.findall(m.group())))
+        self.text, self.at = text, None
+        if not text.isascii():
+            if _SPECIAL.search(text):
+                out, at = [], []
+                for i, c in enumerate(text):
+                    p = _plain_char(c) if ord(c) > 127 else c
+                    out.append(p)
+                    at.extend([i] * len(p))
+                self.text, self.at = "".join(out), at + [len(text)]
+            if _FOREIGN.search(self.text):
+                self._lookalikes()
+        if _SPELLED_HINT.search(self.text):
+            self._rewrite(_SPELLED, lambda m: "".join(_DIGITS[d.lower()] for d in _SPELLED_ONE.findall(m.group())))
         low = self.text.lower()
         if "at" in low or " @ " in low:
             self._rewrite(_AT, lambda m: "@")
@@ -171,8 +188,21 @@ class Plain:
 class Detector:
     """Finds items in one text. ``plain_words``: words too common to be family names."""
 
-    def __init__(self, plain_words: frozenset[str] = frozenset()):
+    def __init__(self, plain_words: frozenset[str] = frozenset(), memo: int = 100_000):
         self.plain = _PLAIN_SET | set(plain_words) - _GIVEN_SET
+        self.memo: dict[str, list[tuple[int, int, str]]] = {}
+        self.limit = memo
+
+    def find_cached(self, text: str) -> list[tuple[int, int, str]]:
+        """:meth:`find`, remembering short texts (names of makers, components) up to a bound."""
+        if len(text) > 80:
+            return self.find(text)
+        got = self.memo.get(text)
+        if got is None:
+            if len(self.memo) >= self.limit:
+                self.memo.clear()
+            got = self.memo[text] = self.find(text)
+        return got
 
     def find(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, type) in the source text, in order, not overlapping."""
@@ -189,7 +219,7 @@ class Detector:
         if "@" in t:
             for m in _EMAIL.finditer(t):
                 take(m.start(), m.end(), "EMAIL")
-        if any(c.isdigit() for c in t):
+        if _DIGIT.search(t):
             for m in _ID.finditer(t):
                 v = m.group("v")
                 if sum(c.isdigit() for c in v) >= 5:
@@ -205,7 +235,8 @@ class Detector:
                 if 9 <= digits <= 21 and not _NOT_PERSONAL.search(t, max(0, m.start() - 40), m.start()):
                     extra = m.group().endswith(")") and m.group().count(")") > m.group().count("(")
                     take(m.start(), m.end() - extra, "PHONE")
-        self._names(t, take, taken)
+        if any(_bare(w) in _GIVEN_SET for w in set(_NAME_WORD.findall(t))) or _MAY_INTRODUCE.search(t):
+            self._names(t, take, taken)
         return sorted((*p.back(a, b), kind) for a, b, kind in got)
 
     @staticmethod
@@ -349,7 +380,7 @@ def find_pii(df: DataFrame, key: str, columns: list[str], json_columns: tuple[st
                         except (ValueError, RecursionError):
                             found.append([])
                             continue
-                        items = [x for s in json_strings(record) if len(s) > 3 for x in det.find(s)]
+                        items = [x for s in json_strings(record) if len(s) > 3 for x in det.find_cached(s)]
                     else:
                         items = det.find(v)
                     seen: dict[str, int] = {}
@@ -385,7 +416,7 @@ def redact_pii(df: DataFrame, key: str, columns: list[str], json_columns: tuple[
             hit = []
 
             def swap(s: str) -> str:
-                items = det.find(s) if len(s) > 3 else []
+                items = det.find_cached(s) if len(s) > 3 else []
                 hit.extend(items)
                 return redact(s, items)
 
