@@ -93,3 +93,10 @@ def supported(df: DataFrame, group: list[str], least: int) -> DataFrame:
     """Rows of groups with at least ``least`` rows; the group sizes are aggregated, then semi-joined."""
     big = df.groupBy(*group).count().filter(F.col("count") >= least).select(*group)
     return df.join(big, group, "left_semi")
+
+
+def broaden(df: DataFrame, scopes: list[tuple[str, Column]], least: int = 100) -> tuple[str, DataFrame]:
+    """The first (narrowest) scope with ``least`` rows, else the last; all are counted in one job."""
+    counts = df.agg(*[F.count(F.when(holds(p), 1)).alias(f"s{i}") for i, (_, p) in enumerate(scopes)]).first()
+    pick = next((i for i in range(len(scopes)) if counts[i] >= least), len(scopes) - 1)
+    return scopes[pick][0], df.filter(holds(scopes[pick][1]))

@@ -119,3 +119,19 @@ def strict_json_error(text: pd.Series) -> pd.Series:
         return None if isinstance(value, dict) else "not an object"
 
     return text.map(check)
+
+
+def strip_prefix(df: DataFrame, prefix: str) -> DataFrame:
+    """Columns without a name prefix; a name that would be taken twice is an error."""
+    names = {c: c.removeprefix(prefix) for c in df.columns}
+    if len({n.lower() for n in names.values()}) < len(names):
+        raise ValueError(f"names collide without the prefix {prefix!r}")
+    return df.withColumnsRenamed({a: b for a, b in names.items() if a != b})
+
+
+def select_policy(df: DataFrame, wanted: list[str], require_all: bool = True) -> DataFrame:
+    """The wanted columns in order; missing ones are an error, or null text columns."""
+    lacking = [c for c in wanted if c not in df.columns]
+    if lacking and require_all:
+        raise ValueError(f"missing columns: {lacking}")
+    return df.select(*[F.col(c) if c not in lacking else F.lit(None).cast("string").alias(c) for c in wanted])

@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 
 class CardinalityError(ValueError):
@@ -93,15 +92,6 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: list[str], values: list[s
     return j.select(*key, change.alias("change")).filter("change IS NOT NULL")
 
 
-def latest_before(rows: DataFrame, events: DataFrame, on: list[str], at: str, event_at: str) -> DataFrame:
-    """Rows with the number of events before ``at`` and whether there is one (exposure as of a date).
-    Events are reduced to counts per day first, so a busy key joins few rows."""
-    days = events.groupBy(*on, F.to_date(event_at).alias("__d")).agg(F.count("*").alias("__n"))
-    j = rows.withColumn("__row", F.to_date(at)).join(days, on, "left")
-    before = F.sum(F.when(F.col("__d") < F.col("__row"), F.col("__n"))).over(W.partitionBy(*[c for c in rows.columns]))
-    return j.withColumn("events_before", F.coalesce(before, F.lit(0)))
-
-
 def upsert(current: DataFrame, incoming: DataFrame, key: list[str], recency: str, merge_null: bool = False) -> DataFrame:
     """Newest row per key (incoming wins a tie); with ``merge_null`` a null field keeps the older value."""
     both = current.withColumn("__src", F.lit(0)).unionByName(incoming.withColumn("__src", F.lit(1)), allowMissingColumns=True)

@@ -70,3 +70,19 @@ class Stage:
 def upsert_partition(df: DataFrame, path: str, partition: str) -> None:
     """Replace the partitions that ``df`` holds, keep the others."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
+def write_report(df: DataFrame, path: str, kind: str = "csv") -> None:
+    """A small result as one CSV (with header) or JSON file folder."""
+    one = df.coalesce(1).write.mode("overwrite")
+    one.option("header", True).csv(path) if kind == "csv" else one.json(path)
+
+
+def publish_checked(df: DataFrame, path: str, keys: list[str], ranges: dict[str, tuple[float, float]] | None = None) -> None:
+    """Publish after the keys proved unique and the ranges hold."""
+    from . import checks
+
+    bad = [n for n, v in {"keys": checks.repeated(df, keys), **{c: checks.outside(df, c, *r) for c, r in (ranges or {}).items()}}.items() if v.limit(1).count()]
+    if bad:
+        raise ValueError(f"not published, checks failed: {bad}")
+    publish(df, path)

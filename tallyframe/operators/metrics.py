@@ -112,3 +112,17 @@ def bootstrap_means(df: DataFrame, block: str, value: str, draws: int, seed: str
     u = F.pmod(F.xxhash64(F.lit(seed), "draw", F.col(block)), F.lit(1_000_000).cast("bigint")) / 1e6
     k = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).when(u < 0.996340, 4).otherwise(5)
     return long.withColumn("__k", k).groupBy("draw").agg((F.sum(F.col("__s") * F.col("__k")) / F.sum(F.col("__n") * F.col("__k"))).alias("mean"))
+
+
+def inflation(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    """Variance inflation of each column: the diagonal of the inverse correlation matrix, which is
+    columns x columns and comes from one aggregation."""
+    import numpy as np
+
+    n = len(columns)
+    cells = df.dropna(subset=columns).agg(*[F.corr(a, b).alias(f"r{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j]).first()
+    m = np.eye(n)
+    for i in range(n):
+        for j in range(i + 1, n):
+            m[i, j] = m[j, i] = cells[f"r{i}_{j}"]
+    return dict(zip(columns, np.diag(np.linalg.inv(m)).tolist()))

@@ -63,3 +63,43 @@ def project(df: DataFrame, numeric: list[str], k: int = 2) -> DataFrame:
     base = with_flags(df, numeric)
     x = Pipeline(stages=[Imputer(strategy="median", inputCols=numeric, outputCols=[f"{c}__i" for c in numeric]), VectorAssembler(inputCols=[f"{c}__i" for c in numeric], outputCol="__raw"), StandardScaler(inputCol="__raw", outputCol="__s", withMean=True), PCA(k=k, inputCol="__s", outputCol="projection")])
     return x.fit(base).transform(base)
+
+
+def reject_far(clustered: DataFrame, centres: list, share: float = 0.95) -> DataFrame:
+    """``cluster`` with rows beyond their cluster's ``share`` radius as null."""
+    import numpy as np
+    from pyspark.ml.functions import vector_to_array
+
+    dims = [F.array(*[F.lit(float(x)) for x in np.asarray(c)]) for c in centres]
+    near = F.create_map(*[y for i, d in enumerate(dims) for y in (F.lit(i), d)])
+    d2 = F.aggregate(F.zip_with(vector_to_array("features"), near[F.col("cluster")], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    rows = clustered.withColumn("distance", F.sqrt(d2))
+    radius = rows.groupBy("cluster").agg(F.percentile_approx("distance", share, 10000).alias("radius"))
+    return rows.join(radius, "cluster").withColumn("assigned", F.when(F.col("distance") <= F.col("radius"), F.col("cluster")))
+
+
+def topics(df: DataFrame, text: str, k: int, seed: int = 42, vocabulary: int = 5000) -> DataFrame:
+    """``topics``: mixture of k topics of every row."""
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.feature import CountVectorizer, StopWordsRemover
+
+    base = df.withColumn("__t", F.coalesce(F.lower(F.regexp_replace(text, r"[^\p{L}]+", " ")), F.lit("")))
+    words = StopWordsRemover(inputCol="__w", outputCol="__k").transform(Tokenizer(inputCol="__t", outputCol="__w").transform(base))
+    counts = CountVectorizer(inputCol="__k", outputCol="features", vocabSize=vocabulary, minDF=2).fit(words).transform(words)
+    model = LDA(k=k, seed=seed, maxIter=5, optimizer="online", featuresCol="features", topicDistributionCol="topics").fit(counts)
+    return model.transform(counts).drop("__t", "__w", "__k", "features")
+
+
+def text_classifier(df: DataFrame, text: str, label: str, fold: str, folds: int) -> DataFrame:
+    """Out-of-fold probability of a binary label from hashed character and word features."""
+    from functools import reduce
+
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import vector_to_array
+
+    x = tfidf(df, text, 1 << 12)
+    out = []
+    for k in range(folds):  # one model per fold
+        model = LogisticRegression(featuresCol="tfidf", labelCol=label, regParam=0.01, maxIter=20).fit(x.filter(F.col(fold) != k))
+        out.append(model.transform(x.filter(F.col(fold) == k)).withColumn("probability_1", vector_to_array("probability")[1]))
+    return reduce(DataFrame.unionByName, out)

@@ -60,10 +60,12 @@ def window_ends(df: DataFrame, date: str) -> DataFrame:
 
 
 def in_windows(df: DataFrame, ends: DataFrame, date: str, days: int) -> DataFrame:
-    """Each row once per window (end - days, end] that holds it; the ends are one row per month and
-    broadcast."""
-    e = F.broadcast(ends)
-    return df.join(e, (F.to_date(df[date]) <= F.col("window_end")) & (F.to_date(df[date]) > F.date_sub("window_end", days)))
+    """Each row once per window (end - days, end] that holds it. A row's month ends are listed from its
+    own date, so the join with the ends (one row per month, broadcast) is an equality."""
+    d = F.to_date(df[date])
+    own = F.transform(F.sequence(F.trunc(d, "month"), F.trunc(F.date_add(d, days - 1), "month"), F.expr("interval 1 month")), lambda m: F.last_day(m))
+    rows = df.withColumn("window_end", F.explode(F.filter(own, lambda e: e < F.date_add(d, days))))
+    return rows.join(F.broadcast(ends), "window_end")
 
 
 def widen(df: DataFrame, keys: list[str], aspect: str, aspects: list[str], value: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -59,10 +61,17 @@ def nearest_peers(df: DataFrame, key: str, family: str, equal: list[str], near:
 
 
 def diverse_top(df: DataFrame, family: str, order: list[Column], k: int) -> DataFrame:
-    """Best row of each family first, then the rest, k in all."""
+    """Best row of each family first, then the rest, k in all.
+
+    The first 2k rows overall hold every row that can fill up, and tell their families' leaders; the
+    leaders of other families come from a rank-one cut that is applied before the shuffle.
+    """
     w = W.partitionBy(family).orderBy(*order)
-    led = df.withColumn("__leader", (F.row_number().over(w) == 1).cast("int"))
-    return led.orderBy(F.col("__leader").desc(), *order).limit(k).drop("__leader")
+    first = df.orderBy(*order).limit(2 * k).withColumn("__leader", (F.row_number().over(w) == 1).cast("int"))
+    others = df.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r").withColumn("__leader", F.lit(1))
+    seen = first.select(F.col(family).alias("__f")).distinct()
+    others = others.join(F.broadcast(seen), F.col(family).eqNullSafe(F.col("__f")), "left_anti")  # at most 2k families
+    return first.unionByName(others).orderBy(F.col("__leader").desc(), *order).limit(k).drop("__leader")
 
 
 def round_robin(lists: list[DataFrame], key: str, rank: str, k: int) -> DataFrame:
@@ -80,10 +89,101 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def neighbours_of(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """k nearest rows by cosine for a stated query set (at most a few hundred rows, broadcast in
-    full), over all rows; the best k are kept per task before they are merged."""
-    q = F.broadcast(queries.select(F.col(key).alias("query_id"), F.col(vector).alias("__q")))
-    scored = df.crossJoin(q).filter(F.col(key) != F.col("query_id")).select("query_id", F.col(key).alias("neighbour"), F.round(cosine(F.col(vector), F.col("__q")), 9).alias("cosine"))
+def _best(scored: DataFrame, k: int) -> DataFrame:
     w = W.partitionBy("query_id").orderBy(F.col("cosine").desc(), "neighbour")
     return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
+
+
+def _unit(rows) -> np.ndarray:
+    m = np.asarray([np.asarray(r, dtype=np.float64) for r in rows])
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norm > 0, norm, 1.0)
+
+
+def _top(ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best of one batch for each query, by (rounded cosine, id)."""
+    c = np.round(queries @ vectors.T, 9)
+    c[query_ids[:, None] == ids[None, :]] = -2.0
+    n = min(k, c.shape[1])
+    order = np.lexsort((np.broadcast_to(ids, c.shape), -c), axis=1)[:, :n]
+    flat = pd.DataFrame({"query_id": np.repeat(query_ids, n), "neighbour": ids[order].ravel(), "cosine": np.take_along_axis(c, order, 1).ravel()})
+    return flat[flat["cosine"] > -2.0]
+
+
+_SCORED = "query_id bigint, neighbour bigint, cosine double"
+
+
+def neighbours_of(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 4096) -> DataFrame:
+    """query_id, neighbour, cosine, rank: the exact k nearest rows of every query, itself left out.
+
+    Queries are held in blocks of ``block`` vectors (the bound of what is broadcast), one pass over the
+    rows each; a batch is scored by one matrix product and only its k best go on. Null vectors are left
+    out, zero vectors have cosine 0, ties go to the smaller id.
+    """
+    rows = df.select(F.col(key).cast("bigint").alias("i"), F.col(vector).alias("v")).filter("i IS NOT NULL AND v IS NOT NULL")
+    asked = queries.select(F.col(key).cast("bigint").alias("i"), F.col(vector).alias("v")).filter("i IS NOT NULL AND v IS NOT NULL")
+    out, part, parts = None, [], []
+    for r in asked.toLocalIterator():  # the stated query set, block by block
+        part.append((r.i, r.v))
+        if len(part) == block:
+            parts.append(part)
+            part = []
+    for p in [*parts, part]:
+        if not p:
+            continue
+        shared = df.sparkSession.sparkContext.broadcast((np.array([i for i, _ in p]), _unit([v for _, v in p])))
+
+        def run(batches, shared=shared):
+            ids, q = shared.value
+            for pdf in batches:
+                if len(pdf):
+                    yield _top(pdf["i"].to_numpy(), q, ids, _unit(pdf["v"]), k)
+
+        got = rows.mapInPandas(run, _SCORED)
+        out = got if out is None else out.unionByName(got)
+    return _best(out if out is not None else df.sparkSession.createDataFrame([], _SCORED), k)
+
+
+def fit_cells(df: DataFrame, vector: str, cells: int, sample: int = 20_000, seed: int = 7, rounds: int = 12) -> np.ndarray:
+    """Centres of ``cells`` cells, fitted on about ``sample`` rows (the documented bound)."""
+    n = df.count()
+    share = min(1.0, 1.2 * sample / n) if n else 1.0
+    got = df.filter(F.col(vector).isNotNull()).sample(share, seed).select(vector).limit(sample).collect()
+    if not got:
+        return np.zeros((0, 0))
+    x = _unit([r[0] for r in got])
+    rng = np.random.default_rng(seed)
+    centres = x[rng.choice(len(x), size=min(cells, len(x)), replace=False)]
+    for _ in range(rounds):
+        own = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        some = np.linalg.norm(sums, axis=1) > 0
+        centres[some] = _unit(sums[some])
+    return centres
+
+
+def indexed_neighbours(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int, cells: int = 64, probes: int = 16, salts: int = 8) -> DataFrame:
+    """As :func:`neighbours_of`, by an inverted index: every row is in the cell of its nearest centre, a
+    query looks into its ``probes`` nearest cells. Rows meet queries by a join on (cell, salt), the salt
+    spreading a crowded cell over tasks; recall is measured in the tests (0.9 at least with the
+    defaults)."""
+    centres = fit_cells(df, vector, cells)
+    if not len(centres):
+        return _best(df.sparkSession.createDataFrame([], _SCORED), k)
+    shared = df.sparkSession.sparkContext.broadcast(centres)
+
+    def cell_udf(n: int):
+        @F.pandas_udf("array<int>")
+        def run(v: pd.Series) -> pd.Series:
+            near = _unit(v) @ shared.value.T
+            return pd.Series(list(np.argsort(-near, axis=1, kind="stable")[:, :n].astype(np.int32)))
+
+        return run
+
+    base = df.select(F.col(key).cast("bigint").alias("i"), F.col(vector).alias("v")).filter("i IS NOT NULL AND v IS NOT NULL")
+    asked = queries.select(F.col(key).cast("bigint").alias("query_id"), F.col(vector).alias("q")).filter("query_id IS NOT NULL AND q IS NOT NULL")
+    rows = base.withColumn("cell", F.get(cell_udf(1)(F.col("v")), 0)).withColumn("salt", F.pmod(F.xxhash64("i"), F.lit(salts).cast("bigint")))
+    looks = asked.withColumn("cell", F.explode(cell_udf(min(probes, len(centres)))(F.col("q")))).withColumn("salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")))
+    scored = rows.join(looks, ["cell", "salt"]).filter("i <> query_id").select("query_id", F.col("i").alias("neighbour"), F.round(F.coalesce(cosine(F.col("v"), F.col("q")), F.lit(0.0)), 9).alias("cosine"))
+    return _best(scored, k)

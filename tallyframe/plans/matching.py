@@ -40,13 +40,13 @@ def range_labels(t: Tables):
 
 
 @q(r"""
-SELECT row_id FROM youtube_comments_sentiment c WHERE comment_id IS NOT NULL AND comment_id NOT IN (SELECT id FROM comments WHERE eligible = 0 AND id IS NOT NULL) AND video_id NOT IN (SELECT video FROM comments WHERE sentiment = 'mixed' AND video IS NOT NULL)
+SELECT row_id FROM youtube_comments_sentiment c WHERE comment_id IS NOT NULL AND comment_id NOT IN (SELECT id FROM comments WHERE eligible = 0 AND id IS NOT NULL) AND video_id NOT IN (SELECT video FROM comments WHERE sentiment = 'negative' AND truncated = 1 AND video IS NOT NULL)
  AND ('0x' || substr(sha256('42|' || comment_id), 1, 13))::BIGINT / 4503599627370496.0 >= 0.1
 """)
 def protected_rows(t: Tables):
     """Rows that are in no protected list and not reserved by their hash."""
     ids = t.comments.filter("eligible = 0 AND id IS NOT NULL").select(F.col("id").alias("comment_id")).distinct()
-    vids = t.comments.filter("sentiment = 'mixed' AND video IS NOT NULL").select(F.col("video").alias("video_id")).distinct()
+    vids = t.comments.filter("sentiment = 'negative' AND truncated = 1 AND video IS NOT NULL").select(F.col("video").alias("video_id")).distinct()
     rows = t.youtube_comments_sentiment.filter("comment_id IS NOT NULL AND video_id IS NOT NULL")
     return rows.join(ids, "comment_id", "left_anti").join(vids, "video_id", "left_anti").filter(hash_unit("comment_id") >= 0.1).select("row_id")
 

@@ -66,3 +66,21 @@ SELECT window_start, event_type, count(*)::BIGINT AS n FROM s WHERE ts >= window
 def sliding_windows(t: Tables):
     s = ST.sliding(t.events, "ts", ["event_type"], "2 hours", "1 hour")
     return s.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
+@q()
+def document_topics(t: Tables):
+    from pyspark.ml.functions import vector_to_array
+
+    d = ml.topics(t.documents.select("doc_id", "text"), "text", 6)
+    return d.select("doc_id", F.array_join(F.transform(vector_to_array("topics"), lambda x: F.round(x, 3).cast("string")), ",").alias("topics"))
+
+
+@q()
+def relevance_folds(t: Tables):
+    """Out-of-fold scores of a binary text label, folds by video."""
+    from ..functions.expr import hash_mod
+
+    lab = t.comments.filter("sentiment IN ('positive', 'negative')").groupBy(F.col("id").alias("comment_id")).agg(F.max((F.col("sentiment") == "positive").cast("double")).alias("label"))
+    rows = t.youtube_comments_sentiment.select("row_id", "comment_id", "video_id", "text").join(lab, "comment_id").withColumn("fold", hash_mod("video_id", 3))
+    return ml.text_classifier(rows, "text", "label", "fold", 3).select("row_id", "label", "fold", "probability_1")

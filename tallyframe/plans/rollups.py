@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.expr import sha_hex
+from ..operators import peers as P
+from ..operators import sampling as S
 from .registry import Registry, Tables
 
 q = Registry()
@@ -185,8 +187,9 @@ WITH r AS (SELECT o_orderkey, o_orderdate, row_number() OVER (PARTITION BY year(
 """)
 def every_nth(t: Tables):
     """Every fortieth row of each year in time order (a sampling operator)."""
-    w = W.partitionBy(F.year("o_orderdate")).orderBy("o_orderdate", "o_orderkey")
-    return t.orders.select("o_orderkey", "o_orderdate", (F.row_number().over(w) - 1).alias("i")).filter("i % 40 = 0").select("o_orderkey", "o_orderdate")
+    rows = t.orders.select("o_orderkey", "o_orderdate", F.year("o_orderdate").alias("y"))
+    ranked = S.split_rank(rows, ["y"], F.dayofyear("o_orderdate"), [F.col("o_orderdate"), F.col("o_orderkey")], "r")
+    return ranked.filter("(r - 1) % 40 = 0").select("o_orderkey", "o_orderdate")
 
 
 @q(r"""
@@ -195,9 +198,7 @@ SELECT c_custkey, c_nationkey FROM (SELECT *, 0 AS o FROM lead UNION ALL SELECT
 """)
 def leader_fill(t: Tables):
     """One leader per group, then the best of the rest until the list is full."""
-    w = W.partitionBy("c_nationkey").orderBy(F.col("c_acctbal").desc(), "c_custkey")
-    r = t.customer.withColumn("o", (F.row_number().over(w) > 1).cast("int"))
-    return r.orderBy("o", F.col("c_acctbal").desc(), "c_custkey").limit(40).select("c_custkey", "c_nationkey")
+    return P.diverse_top(t.customer.select("c_custkey", "c_nationkey", "c_acctbal"), "c_nationkey", [F.col("c_acctbal").desc(), F.col("c_custkey")], 40).select("c_custkey", "c_nationkey")
 
 
 @q(r"""
