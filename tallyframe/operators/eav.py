@@ -80,7 +80,7 @@ def entity_maps(df: DataFrame, keys: list[str], attribute: Column, value: str, s
     distinct = rows.groupBy(*k, "__a", "__v").agg(F.max("__at").alias("__at"), F.count("*").alias("__n"))
     order = W.partitionBy(*k, "__a").orderBy(F.col("__at").desc_nulls_last(), F.col("__n").desc(), F.col("__v"))
     slotted = distinct.withColumn("__slot", (F.row_number().over(order) - 1).cast("bigint"))
-    maps = slotted.groupBy(*k, "__slot").agg(F.map_from_entries(F.collect_list(F.struct("__a", "__v"))).alias("__pairs"))  # at most len(spec) pairs
+    maps = slotted.groupBy(*k, "__slot").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("__a", "__v")))).alias("__pairs"))  # at most len(spec) pairs
     return maps.select(*[F.col(n).alias(c) for c, n in zip(keys, k)], F.col("__slot").alias("slot"), F.col("__pairs").alias("pairs"))
 
 

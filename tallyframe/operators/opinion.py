@@ -16,8 +16,20 @@ def first_of_duplicates(df: DataFrame, same: list[str], order: list[str]) -> Dat
     return df.groupBy(*same).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__r")).select(*same, *[F.col(f"__r.{c}").alias(c) for c in rest])
 
 
-def duplicate_rank(df: DataFrame, same: list[str], order: list[str], out: str = "dup_rank") -> DataFrame:
-    return df.withColumn(out, F.row_number().over(W.partitionBy(*same).orderBy(*order)).cast("bigint"))
+def duplicate_rank(df: DataFrame, same: list[str], order: str, out: str = "dup_rank", buckets: int = 128) -> DataFrame:
+    """Rank of each row among its duplicates by ``order`` (unique, numeric or a time).
+
+    A text that a third of all rows repeat is ranked in ``buckets`` parts of the order column, whose
+    bounds come from one approximate aggregation; the ranks are exact.
+    """
+    from .sampling import split_rank
+
+    bounds = df.agg(F.percentile_approx(F.col(order), [i / buckets for i in range(1, buckets)], 10000)).first()[0]
+    if bounds is None:
+        return df.withColumn(out, F.lit(None).cast("bigint"))
+    cuts = F.array(*[F.lit(b) for b in sorted(set(bounds))])
+    part = F.size(F.filter(cuts, lambda b: b < F.col(order)))
+    return split_rank(df, same, part, [F.col(order)], out)
 
 
 def balanced(df: DataFrame, unit: str, keys: list[str], polarity: str, min_opinions: int = 20, min_units: int = 5) -> DataFrame:

@@ -78,7 +78,7 @@ SELECT comment_id, row_id, row_number() OVER (PARTITION BY video_id, md5(text) O
 def duplicate_rank(t: Tables):
     """Rank of each comment among equal texts of its video."""
     rows = t.youtube_comments_sentiment.select("comment_id", "row_id", "video_id", F.md5("text").alias("h"))
-    return O.duplicate_rank(rows, ["video_id", "h"], ["row_id"]).select("comment_id", "row_id", "dup_rank")
+    return O.duplicate_rank(rows, ["video_id", "h"], "row_id").select("comment_id", "row_id", "dup_rank")
 
 
 @q("""

@@ -104,3 +104,36 @@ p AS (SELECT row_id, price, coalesce({_money("price_unit")}, {_money("descriptio
 SELECT row_id, 'height' AS field_name, round(v)::BIGINT AS common_value FROM x WHERE keep AND v IS NOT NULL
 UNION ALL SELECT row_id, 'price', round(round(price * k, 6))::BIGINT FROM p JOIN r USING (u) WHERE u <> 'USD'""",
 }
+
+_TYPED = {
+    "int": r"CASE WHEN regexp_full_match(cv, '-?\d+') THEN try_cast(cv AS BIGINT) END",
+    "double": "CASE WHEN isfinite(try_cast(replace(cv, ',', '') AS DOUBLE)) THEN try_cast(replace(cv, ',', '') AS DOUBLE) END",
+    "boolean": "CASE WHEN lower(cv) IN ('true', 'yes', 'y', '1', 'standard') THEN true WHEN lower(cv) IN ('false', 'no', 'n', '0') THEN false END",
+    "string": "cv",
+}
+_VPIC = [("ABS", "string"), ("CurbWeightLB", "int"), ("DisplacementCC", "int"), ("DisplacementL", "double"), ("Doors", "int"), ("EngineCylinders", "int"), ("EngineHP", "int"), ("Make", "string"), ("Model", "string"), ("ModelYear", "int"), ("PlantCity", "string"), ("SeatRows", "int"), ("Seats", "int"), ("TPMS", "string"), ("TopSpeedMPH", "int"), ("TransmissionSpeeds", "int"), ("Trim", "string"), ("Turbo", "boolean"), ("WheelBaseShort", "double"), ("Windows", "int")]
+
+
+def _wide_sql(rows: str, keys: str, attributes: list[tuple[str, str]]) -> str:
+    """``rows`` gives keys, a (attribute), k (data type), v (trimmed value), t (time or null)."""
+    clean = rf"CASE WHEN lower(v) IN ({_FILL}) THEN NULL WHEN k = 'int' AND regexp_matches(lower(v), '{_WHOLE}') THEN (CASE WHEN regexp_extract(v, '{_WHOLE}', 1) = '-' THEN '-' ELSE '' END) || replace(regexp_extract(lower(v), '{_WHOLE}', 2), ',', '') ELSE v END"
+    cols = ", ".join(f"max({_TYPED[k]}) FILTER (a = '{n}') AS \"{n}\"" for n, k in attributes)
+    fails = " OR ".join(f"(k = '{k}' AND ({x}) IS NULL)" for k, x in _TYPED.items())
+    return rf"""
+WITH s AS ({rows}), c AS (SELECT *, {clean} AS cv FROM s), g AS (SELECT {keys}, a, k, cv, max(t) AS t, count(*) AS n FROM c WHERE cv IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY {keys}, a ORDER BY t DESC NULLS LAST, n DESC, cv) AS rn FROM g)
+SELECT {keys}, {cols}, '{{' || coalesce(string_agg('"' || a || '":"' || cv || '"', ',' ORDER BY a) FILTER ({fails}), '') || '}}' AS cast_failures FROM r WHERE rn = 1 GROUP BY {keys}"""
+
+
+_KINDS = ", ".join(f"('{a.name}', '{a.data_type}')" for a in eav.SAFETY)
+ORACLE["p4_vpic_wide"] = _wide_sql(rf"SELECT vin, model_year_hint, variable_code AS a, data_type AS k, regexp_replace(value, '^\s+|\s+$', '', 'g') AS v, fetched_at AS t FROM (SELECT *, {_CLEAN_ID} AS cid FROM nhtsa_vpic_values) x JOIN nhtsa_vpic_variable_metadata m ON x.cid = m.variable_id", "vin, model_year_hint", _VPIC)
+ORACLE["p4_safety_wide"] = _wide_sql(rf"SELECT query_id, vehicle_id, n.name AS a, n.kind AS k, regexp_replace(field_value, '^\s+|\s+$', '', 'g') AS v, NULL::TIMESTAMP AS t FROM nhtsa_safety_rating_values r JOIN (VALUES {_KINDS}) n(name, kind) ON lower(regexp_replace(field_name, '[^\p{{L}}\p{{N}}]', '', 'g')) = lower(n.name)", "query_id, vehicle_id", [(a.name, a.data_type) for a in eav.SAFETY])
+
+_DELIM = r",;|\t\r\n•"
+_TOKEN = rf"""[{_DELIM}]\s*("(?:\\.|""|[^"\\])*"|''(?:\\.|[^''\\])*''|[^{_DELIM}]*)"""
+ORACLE["p7_found"] = rf"""
+WITH b AS (SELECT row_id, regexp_replace(trim(major_options), '^[\[{{](.*)[\]}}]$', '\1', 's') AS body FROM used_cars WHERE lower(trim(major_options)) NOT IN ('', '-', '--', 'n/a', 'na', 'none', 'null', 'nan', 'unknown')),
+l AS (SELECT row_id, regexp_extract_all(',' || body, '{_TOKEN}', 1) AS toks FROM b), t AS (SELECT row_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM l),
+u AS (SELECT row_id, i, trim(tok) AS tok FROM t),
+c AS (SELECT row_id, i, trim(CASE WHEN left(tok, 1) IN ('"', '''') AND right(tok, 1) = left(tok, 1) AND length(tok) > 1 THEN regexp_replace(replace(replace(tok[2:-2], '""', '"'), chr(92) || 'u00b0', chr(176)), '\\(.)', '\1', 'g') ELSE tok END) AS option_label FROM u)
+SELECT row_id, row_number() OVER (PARTITION BY row_id ORDER BY i)::BIGINT AS pos, option_label FROM c WHERE option_label <> ''"""
