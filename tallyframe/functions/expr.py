@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -87,3 +87,9 @@ def suppress(value: Column, *enough: Column) -> Column:
 def left_closed_band(col: Column, width: float) -> Column:
     """Lower edge of the left-closed band of ``width`` that holds the value."""
     return (F.floor(col / width) * width).cast("double")
+
+
+def with_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Adds the columns of a one-row aggregate to every row, as a scalar subquery (no join)."""
+    packed = df.withColumn("__one", one.select(F.struct(*one.columns)).scalar())
+    return packed.select(*df.columns, *[F.col(f"__one.{c}").alias(c) for c in one.columns])

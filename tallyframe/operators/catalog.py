@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import holds, sha_hex
+from ..functions.expr import holds, sha_hex, with_row
 
 
 @dataclass(frozen=True)
@@ -46,7 +46,7 @@ def scope_summary(df: DataFrame, identity: str, cohort: list[str], values: list[
     for v in values:
         x = df.select(F.col(v).cast("double").alias("x")).filter("NOT isnan(x) AND abs(x) < double('infinity')").groupBy("x").agg(F.count("*").alias("n"))
         parts.append(x.agg(F.percentile("x", 0.5, F.col("n")).alias(f"{v}_median"), F.min("x").alias(f"{v}_min"), F.max("x").alias(f"{v}_max")))
-    one = reduce(lambda a, b: a.crossJoin(b), parts)  # one row each
+    one = reduce(with_row, parts)
     ends = ["first_date", "last_date"] if date else []
     return one.select("n_rows", "n_ids", "n_cohorts", *[f"{v}_{k}" for v in values for k in ("median", "min", "max")], *ends)
 

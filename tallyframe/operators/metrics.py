@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.expr import with_row
+
 
 def regression(actual: str, predicted: str, digits: int = 6) -> list[Column]:
     """Aggregates n, mae, rmse, r2 (null for one row or constant actuals), wape_pct, bias, p95_error."""
@@ -90,7 +92,7 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     cell = t.agg(F.sum(two(F.col("n"))).alias("ij"), F.sum("n").alias("n"))
     ra = t.groupBy(a).agg(F.sum("n").alias("m")).agg(F.sum(two(F.col("m"))).alias("i"))
     rb = t.groupBy(b).agg(F.sum("n").alias("m")).agg(F.sum(two(F.col("m"))).alias("j"))
-    s = cell.crossJoin(ra).crossJoin(rb)  # one row each
+    s = with_row(with_row(cell, ra), rb)
     expected = F.col("i") * F.col("j") / two(F.col("n"))
     top = (F.col("i") + F.col("j")) / 2.0
     return s.select(F.col("n").alias("n"), F.round(F.when(top != expected, (F.col("ij") - expected) / (top - expected)).otherwise(1.0), 9).alias("ari"))

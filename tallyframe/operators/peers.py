@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.expr import with_row
+
 
 def numeric_bounds(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """One row of clip bounds per column."""
@@ -50,7 +52,7 @@ def nearest_peers(df: DataFrame, key: str, family: str, equal: list[str], near:
     """
     columns = [c for num, cat in blocks for c in (*num, *cat)]
     nums = [c for num, _ in blocks for c in num]
-    pairs = candidate_pairs(df, key, family, equal, near, window, columns).crossJoin(F.broadcast(numeric_bounds(df, nums)))  # one row
+    pairs = with_row(candidate_pairs(df, key, family, equal, near, window, columns), numeric_bounds(df, nums))
     ds = [block_distance(num, cat) for num, cat in blocks]
     n = reduce(lambda a, b: a + b, [d.isNotNull().cast("int") for d in ds])
     total = reduce(lambda a, b: a + b, [F.coalesce(d, F.lit(0.0)) for d in ds])

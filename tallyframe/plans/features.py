@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.expr import finite, hash_mod, norm_key
+from ..functions.expr import finite, hash_mod, norm_key, with_row
 from .registry import Registry, Tables
 
 q = Registry()
@@ -160,7 +160,7 @@ SELECT o_orderkey, round(0.004 * (o_totalprice - (SELECT avg(o_totalprice) FROM
 def linear_contributions(t: Tables):
     """Additive parts of a linear score: coefficient times the distance from the mean."""
     m = t.orders.agg(F.avg("o_totalprice").alias("mp"), F.avg(F.month("o_orderdate")).alias("mm"))
-    j = t.orders.crossJoin(F.broadcast(m))  # one row
+    j = with_row(t.orders, m)
     return j.select("o_orderkey", F.round((F.col("o_totalprice") - F.col("mp")) * 0.004, 4).alias("price_part"), F.round((F.month("o_orderdate") - F.col("mm")) * 2.5, 4).alias("month_part"))
 
 

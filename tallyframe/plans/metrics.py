@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.expr import with_row
 from ..operators import metrics as M
 from .registry import Registry, Tables
 
@@ -48,7 +49,7 @@ def error_concentration(t: Tables):
     """Share of squared error per segment, and of it in the largest hundredth of rows."""
     e = _predictions(t).withColumn("sq", F.pow(F.col("predicted") - F.col("o_totalprice"), 2))
     c = e.agg(F.percentile("sq", 0.99).alias("cut"), F.sum("sq").alias("total"))
-    j = e.crossJoin(F.broadcast(c))  # one row
+    j = with_row(e, c)
     return j.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("sq") / F.max("total"), 6).alias("share"), F.round(F.sum(F.when(F.col("sq") >= F.col("cut"), F.col("sq"))) / F.max("total"), 6).alias("top_share"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.expr import sha_hex
+from ..functions.expr import sha_hex, with_row
 from ..operators import peers as P
 from ..operators import sampling as S
 from .registry import Registry, Tables
@@ -90,7 +90,7 @@ WITH b AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders)
 def equal_bins(t: Tables):
     """Sixty bins between the ends of a column."""
     b = t.orders.agg(F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"))
-    j = t.orders.crossJoin(F.broadcast(b))  # one row
+    j = with_row(t.orders, b)
     k = F.least(F.lit(60), F.floor((F.col("o_totalprice") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 60)) + 1).cast("bigint")
     return j.groupBy(k.alias("bin")).agg(F.count("*").alias("n"))
 
@@ -145,7 +145,7 @@ SELECT run, round(mae, 4) AS mae, row_number() OVER (ORDER BY mae, run)::BIGINT
 def run_comparison(t: Tables):
     """Metric tables of several runs stacked and ranked; the last is the median baseline."""
     med = t.orders.agg(F.percentile("o_totalprice", 0.5).alias("v"))
-    base = t.orders.crossJoin(F.broadcast(med)).agg(F.avg(F.abs(F.col("o_totalprice") - F.col("v"))).alias("mae")).select(F.lit("c").alias("run"), "mae")
+    base = with_row(t.orders, med).agg(F.avg(F.abs(F.col("o_totalprice") - F.col("v"))).alias("mae")).select(F.lit("c").alias("run"), "mae")
     runs = [t.orders.agg(F.avg(F.abs(F.col("o_totalprice") - v)).alias("mae")).select(F.lit(n).alias("run"), "mae") for n, v in (("a", 100000), ("b", 150000))]
     u = runs[0].unionByName(runs[1]).unionByName(base)
     return u.select("run", F.round("mae", 4).alias("mae"), F.row_number().over(W.orderBy("mae", "run")).cast("bigint").alias("place"))
