@@ -38,3 +38,11 @@ def test_empty(spark):
     tg = spark.createDataFrame([("m", "a", 1.0, 1, 1.0)], "mix_name string, source string, target_share double, max_repeats bigint, size_ratio double")
     drawn, report = M.draw_mixes(df, tg)
     assert drawn.count() == 0 and report.first().drawn_tokens == 0
+
+
+def test_token_counts(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("", 0), (None, 0), ("hello world", 2), ("<|endoftext|>", 7)]
+    got = spark.createDataFrame([(t,) for t, _ in rows], "t string").select(M.token_count_udf(M.TOKENIZER)(F.coalesce("t", F.lit(""))).alias("n")).collect()
+    assert [r.n for r in got] == [n for _, n in rows]
