@@ -114,6 +114,21 @@ _FOREIGN = regex.compile(r"[^\x00-\x7F\p{Latin}\p{Han}\p{Hiragana}\p{Katakana}\p
 _MAY_INTRODUCE = regex.compile(rf"(?:^|[\s(,]){TITLES}\s+\p{{Lu}}|{_INTRO.pattern[:-1]}\p{{Lu}}", _FLAGS)
 
 
+# Parts of words without one of which the pattern beside them can't match. They only save
+# time; the patterns decide.
+_AT_HINTS = ("@", "(at", "( at", "[at", "[ at", "{at", "{ at", "<at", "< at", " dot")
+_ID_HINTS = ("ssn", "s.s.n", "social", "tax", "tin", "ein", "passport", "licen", "dl", "dni", "nie", "nif", "curp", "rfc", "cpf", "pesel", "bsn", "nino", "national", "identity", "id card", "id", "personal", "reisepass", "steuer", "hrerschein", "pasaporte", "passeport", "permis")
+_BOX_HINTS = ("box", "postfach", "apartado", "postale")
+_DE_HINTS = ("allee", "straße", "strasse", "weg", "gasse", "platz", "damm", "ufer", "str.")
+_ROMANCE_HINTS = ("calle", "avenida", "avda", "plaza", "rua", "via", "piazza", "rue", "boulevard", "avenue", "chemin", "allee", "allée")
+_INTRO_HINTS = ("name", "i am called", "ich hei", "me llamo", "nombre", "m'appelle", "chiamo", "nome", "nazywam", "naam", "contact", "driver", "advisor", "correspondence", "ask for", "pregunta", "demandez", "miss", "prof", "herr", "frau")
+_TITLE_HINT = regex.compile(r"(?:^|[\s(,])(?:mr|mrs|ms|dr|sr|sra|mme|m)\.?\s", _FLAGS)
+
+
+def _has(low: str, hints: tuple[str, ...]) -> bool:
+    return any(h in low for h in hints)
+
+
 @lru_cache(maxsize=20_000)
 def _plain_char(c: str) -> str:
     """A character written plainly: width and ligature forms as letters, blanks as one blank, ignorable
@@ -144,10 +159,11 @@ class Plain:
         if _SPELLED_HINT.search(self.text):
             self._rewrite(_SPELLED, lambda m: "".join(_DIGITS[d.lower()] for d in _SPELLED_ONE.findall(m.group())))
         low = self.text.lower()
-        if "at" in low or " @ " in low:
+        if _has(low, _AT_HINTS):
             self._rewrite(_AT, lambda m: "@")
             if "dot" in low and "@" in self.text:
                 self._rewrite(_DOT, lambda m: ".")
+        self.low = self.text.lower()
 
     def _lookalikes(self) -> None:
         """Letters of other scripts inside a word that also has ASCII letters are written as Latin."""
@@ -219,23 +235,28 @@ class Detector:
         if "@" in t:
             for m in _EMAIL.finditer(t):
                 take(m.start(), m.end(), "EMAIL")
-        if _DIGIT.search(t):
+        digits = len(_DIGIT.findall(t))
+        if digits >= 5 and _has(p.low, _ID_HINTS):
             for m in _ID.finditer(t):
                 v = m.group("v")
                 if sum(c.isdigit() for c in v) >= 5:
                     take(*m.span("v"), "ID_NUMBER")
+        if digits >= 9:
             for m in _SSN.finditer(t):
                 if not _NOT_PERSONAL.search(t, 0, m.start()):
                     take(*m.span("v"), "ID_NUMBER")
-            for m in _BOX.finditer(t):
-                take(m.start(), self._tail(t, m.end()), "ADDRESS")
-            self._streets(t, take)
+        if digits:
+            if _has(p.low, _BOX_HINTS):
+                for m in _BOX.finditer(t):
+                    take(m.start(), self._tail(t, m.end()), "ADDRESS")
+            self._streets(t, p.low, take)
+        if digits >= 9:
             for m in _PHONE.finditer(t):
-                digits = sum(c.isdigit() for c in m.group())
-                if 9 <= digits <= 21 and not _NOT_PERSONAL.search(t, max(0, m.start() - 40), m.start()):
+                n = sum(c.isdigit() for c in m.group())
+                if 9 <= n <= 21 and not _NOT_PERSONAL.search(t, max(0, m.start() - 40), m.start()):
                     extra = m.group().endswith(")") and m.group().count(")") > m.group().count("(")
                     take(m.start(), m.end() - extra, "PHONE")
-        if any(_bare(w) in _GIVEN_SET for w in set(_NAME_WORD.findall(t))) or _MAY_INTRODUCE.search(t):
+        if any(_bare(w) in _GIVEN_SET for w in set(_NAME_WORD.findall(t))) or (_has(p.low, _INTRO_HINTS) or _TITLE_HINT.search(t)) and _MAY_INTRODUCE.search(t):
             self._names(t, take, taken)
         return sorted((*p.back(a, b), kind) for a, b, kind in got)
 
@@ -244,7 +265,7 @@ class Detector:
         m = _TAIL.match(t, at)
         return m.end() if m else at
 
-    def _streets(self, t: str, take) -> None:
+    def _streets(self, t: str, low: str, take) -> None:
         lower = not any(c.isupper() for c in t)
         at = 0
         while m := _STREET.search(t, at):
@@ -260,8 +281,8 @@ class Detector:
                 continue
             take(m.start(), self._tail(t, m.end()), "ADDRESS")
             at = m.end()
-        for pattern in (_STREET_DE, _STREET_ROMANCE):
-            for m in pattern.finditer(t):
+        for pattern, hints in ((_STREET_DE, _DE_HINTS), (_STREET_ROMANCE, _ROMANCE_HINTS)):
+            for m in pattern.finditer(t) if _has(low, hints) else ():
                 if lower or m.group()[:1].isupper() or m.group()[:1].isdigit() or pattern is _STREET_ROMANCE:
                     take(m.start(), m.end(), "ADDRESS")
 
