@@ -54,7 +54,11 @@ SEEDS = {
 }
 CJK = r"\p{Han}\p{Hiragana}\p{Katakana}ー"
 _TOKEN = regex.compile(rf"[{CJK}]|[\p{{L}}\p{{M}}]+(?:['’][\p{{L}}\p{{M}}]+)*")
-_NOISE = regex.compile(r"(?:https?://|www\.)\S+|[\w.+-]+\s*(?:@|\(at\)|\[at\])\s*[\w.-]+(?:\s+dot\s+\w+)*|@[\w.-]+|[A-Za-z_]*\d[A-Za-z\d_./-]*")
+_LINK = regex.compile(r"(?:https?://|www\.)\S+")
+_ADDRESS = regex.compile(r"[\w.+-]+\s*(?:@|\(at\)|\[at\])\s*[\w.-]+(?:\s+dot\s+\w+)*|@[\w.-]+")
+_NUMBER = regex.compile(r"[A-Za-z_]*\d[A-Za-z\d_./-]*")
+_DIGIT = regex.compile(r"\d")
+_HAN, _CJK_CHAR = regex.compile(r"\p{Han}"), regex.compile(rf"[{CJK}]$")
 _BREAK = regex.compile(r"[.!?…。！？\n/|—–;:]")
 _LONG = regex.compile(r"(\p{L})\1{2,}")
 
@@ -80,19 +84,27 @@ def fold(word: str) -> str:
 def tokens(text: str) -> list[tuple[str, int, int, bool]]:
     """(word, start, end, whether a sentence may begin here). Addresses, handles, links and everything
     with digits are blanked first, keeping offsets."""
-    clean = _NOISE.sub(lambda m: " " * len(m.group()), text)
+    clean, blank = text, lambda m: " " * len(m.group())
+    if "http" in text or "www." in text:
+        clean = _LINK.sub(blank, clean)
+    if "@" in text or "(at)" in text or "[at]" in text:
+        clean = _ADDRESS.sub(blank, clean)
+    if _DIGIT.search(clean):
+        clean = _NUMBER.sub(blank, clean)
     out, last = [], 0
     for m in _TOKEN.finditer(clean):
-        out.append((m.group(), m.start(), m.end(), last == 0 or _BREAK.search(text, last, m.start()) is not None))
-        last = m.end()
+        start, end = m.span()
+        gap = text[last:start]
+        out.append((m.group(), start, end, last == 0 or gap != " " and gap != "" and _BREAK.search(gap) is not None))
+        last = end
     return out
 
 
 def grams(word: str) -> list[str]:
     """n-grams of a word: itself as written and folded, and 3- to 5-grams of the folded word with its
     ends marked. One character of Chinese or Japanese script is its own n-gram, with its script."""
-    if regex.match(rf"[{CJK}]$", word):
-        return ["w:" + word, "s:kana" if not regex.match(r"\p{Han}", word) else "s:han"]
+    if _CJK_CHAR.match(word):
+        return ["w:" + word, "s:han" if _HAN.match(word) else "s:kana"]
     w = fold(word)
     raw = _LONG.sub(r"\1", word.lower().replace("’", "'"))
     out = ["w:" + raw, "f:" + w, "f:" + w]
