@@ -316,7 +316,7 @@ def training_rows(texts: DataFrame, named: DataFrame, per_language: int = 3000)
     share = F.try_element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))]), F.col("code"))
     unit = F.pmod(F.xxhash64(F.lit("lang"), F.col("k").cast("string")), F.lit(1_000_000).cast("bigint")) / 1e6
     drawn = named.filter(unit < share).limit(2 * per_language * len(LANGUAGES))
-    rows = texts.join(F.broadcast(drawn), "k").select("k", "t", "code").limit(8 * per_language * len(LANGUAGES)).collect()
+    rows = texts.filter("t IS NOT NULL").join(F.broadcast(drawn), "k").select("k", "t", "code").limit(8 * per_language * len(LANGUAGES)).collect()
     return sorted((r.t, r.code) for r in rows)
 
 
