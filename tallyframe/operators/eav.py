@@ -73,7 +73,7 @@ def entity_maps(df: DataFrame, keys: list[str], attribute: Column, value: str, s
     """
     names = {i: a.name for a in spec for i in a.ids}
     kinds = {a.name: a.data_type for a in spec}
-    as_map = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    as_map = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv]) if d else F.create_map(F.lit(""), F.lit(""))
     k = [f"__k{i}" for i in range(len(keys))]
     rows = df.select(*[F.col(c).alias(n) for c, n in zip(keys, k)], F.try_element_at(as_map(names), attribute).alias("__a"), F.col(value).alias("__raw"), (F.col(recency) if recency else F.lit(None).cast("timestamp")).alias("__at"))
     rows = rows.filter(F.col("__a").isNotNull()).withColumn("__v", clean_value(F.col("__raw"), F.try_element_at(as_map(kinds), F.col("__a")))).filter(F.col("__v").isNotNull())
@@ -100,6 +100,8 @@ def eav_to_wide(df: DataFrame, keys: list[str], attribute: Column, value: str, s
 def whole_values(df: DataFrame, keys: list[str], attribute: Column, value: str, spec: list[Attribute], recency: str | None = None) -> DataFrame:
     """``keys``, attribute_name, int_value: every distinct whole number an entity has for an int attribute."""
     ints = [a for a in spec if a.data_type == "int"]
+    if not ints:
+        return df.select(*keys, F.lit("").alias("attribute_name"), F.lit(0).cast("bigint").alias("int_value")).limit(0)
     wide = project_typed(entity_maps(df, keys, attribute, value, ints, recency), keys, ints)
     pairs = F.array_compact(F.array(*[F.when(F.col(f"`{a.name}`").isNotNull(), F.struct(F.lit(a.name).alias("a"), F.col(f"`{a.name}`").alias("v"))) for a in ints]))
     long = wide.select(*keys, F.explode(pairs).alias("__x"))
@@ -107,8 +109,10 @@ def whole_values(df: DataFrame, keys: list[str], attribute: Column, value: str,
 
 
 def spec_from_metadata(meta: DataFrame, limit: int = 5000) -> list[Attribute]:
-    """Attributes from a metadata table (variable_code, variable_id, data_type); an error beyond ``limit``."""
-    rows = meta.select("variable_code", clean_id(F.col("variable_id")).alias("i"), "data_type").limit(limit + 1).collect()
+    """Attributes from a metadata table (variable_code, variable_id, data_type); an error beyond ``limit``.
+    Rows with a null in one of them or an unknown type are left out, repeats count once."""
+    known = meta.select("variable_code", clean_id(F.col("variable_id")).alias("i"), "data_type").dropna().filter(F.col("data_type").isin(*TYPES)).dropDuplicates(["variable_code"])
+    rows = known.limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError("too many attributes for one wide table")
     return [Attribute(r[0], r[2], (r[1],)) for r in sorted(rows)]

@@ -32,7 +32,7 @@ def checked_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "l
         return left.join(right, on, how)
     if sides[1] == "1":
         rest = [c for c in right.columns if c not in on]
-        unique = right.groupBy(*on).agg(F.count("*").alias("__n"), *[F.first(c).alias(c) for c in rest])
+        unique = right.dropna(subset=on).groupBy(*on).agg(F.count("*").alias("__n"), *[F.first(c).alias(c) for c in rest])
         right = unique.filter(F.assert_true(F.col("__n") == 1, F.lit(f"repeated keys in {on}")).isNull()).drop("__n")
     return left.join(right, on, how)
 

@@ -24,8 +24,8 @@ def regression(actual: str, predicted: str, digits: int = 6) -> list[Column]:
 
 def segmented(df: DataFrame, dimensions: list[str], aggs: list[Column]) -> DataFrame:
     """dimension, segment and the aggregates: each dimension alone, from one scan. Null is a segment."""
-    long = df.select("*", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col(d).cast("string").alias("s")) for d in dimensions])).alias("__x"))
-    return long.groupBy(F.col("__x.d").alias("dimension"), F.col("__x.s").alias("segment")).agg(*aggs)
+    long = df.select("*", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col(d).cast("string").alias("s")) for d in dimensions])).alias("__dimension__"))
+    return long.groupBy(F.col("__dimension__.d").alias("dimension"), F.col("__dimension__.s").alias("segment")).agg(*aggs)
 
 
 def grouped_sets(df: DataFrame, a: str, b: str, aggs: list[Column]) -> DataFrame:

@@ -6,9 +6,19 @@ from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import IDF, PCA, HashingTF, Imputer, NGram, StandardScaler, StringIndexer, Tokenizer, VectorAssembler
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _none(df: DataFrame, **columns) -> DataFrame | None:
+    """An empty table has no model: the empty frame with the result columns, or None if there are rows."""
+    if df.limit(1).count():
+        return None
+    extra = [T.StructField(n, k) for n, k in columns.items()]
+    return df.sparkSession.createDataFrame([], T.StructType([*[f for f in df.schema.fields if f.name not in columns], *extra]))
 
 
 def features(numeric: list[str], categorical: list[str]) -> Pipeline:
@@ -25,6 +35,8 @@ def with_flags(df: DataFrame, numeric: list[str]) -> DataFrame:
 
 def cluster(df: DataFrame, numeric: list[str], categorical: list[str], k: int, seed: int = 42, weight: str | None = None) -> DataFrame:
     """``cluster`` and ``cluster_distance`` (to the centre) of every row."""
+    if (empty := _none(df, cluster=T.IntegerType(), features=VectorUDT())) is not None:
+        return empty
     base = with_flags(df, numeric)
     x = features(numeric, categorical).fit(base).transform(base)
     km = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster")
@@ -40,6 +52,8 @@ def silhouette(clustered: DataFrame) -> float:
 
 def log_price_model(train: DataFrame, test: DataFrame, target: str, numeric: list[str], categorical: list[str], kind: str = "linear") -> DataFrame:
     """``prediction`` in the target's own scale, of a model of its logarithm."""
+    if (empty := _none(train, prediction=T.DoubleType())) is not None:
+        return empty
     fit_on = with_flags(train.filter(F.col(target) > 0), numeric).withColumn("__y", F.log1p(target))
     pipe = features(numeric, categorical).fit(fit_on)
     reg = LinearRegression(labelCol="__y", featuresCol="features", regParam=0.01, elasticNetParam=0.5) if kind == "linear" else GBTRegressor(labelCol="__y", featuresCol="features", maxIter=20, maxBins=256)
@@ -50,6 +64,8 @@ def log_price_model(train: DataFrame, test: DataFrame, target: str, numeric: lis
 
 def tfidf(df: DataFrame, text: str, buckets: int = 1 << 14, pairs: bool = True) -> DataFrame:
     """``tfidf``: hashed words (and word pairs), weighted by rarity over all rows."""
+    if (empty := _none(df, tfidf=VectorUDT())) is not None:
+        return empty
     base = df.withColumn("__t", F.coalesce(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), F.lit("")))
     words = Tokenizer(inputCol="__t", outputCol="__w").transform(base)
     if pairs:
@@ -60,6 +76,8 @@ def tfidf(df: DataFrame, text: str, buckets: int = 1 << 14, pairs: bool = True)
 
 def project(df: DataFrame, numeric: list[str], k: int = 2) -> DataFrame:
     """``projection``: principal components of standardised columns, fitted on all rows."""
+    if (empty := _none(df, projection=VectorUDT())) is not None:
+        return empty
     base = with_flags(df, numeric)
     x = Pipeline(stages=[Imputer(strategy="median", inputCols=numeric, outputCols=[f"{c}__i" for c in numeric]), VectorAssembler(inputCols=[f"{c}__i" for c in numeric], outputCol="__raw"), StandardScaler(inputCol="__raw", outputCol="__s", withMean=True), PCA(k=k, inputCol="__s", outputCol="projection")])
     return x.fit(base).transform(base)
@@ -80,6 +98,8 @@ def reject_far(clustered: DataFrame, centres: list, share: float = 0.95) -> Data
 
 def topics(df: DataFrame, text: str, k: int, seed: int = 42, vocabulary: int = 5000) -> DataFrame:
     """``topics``: mixture of k topics of every row."""
+    if (empty := _none(df, topics=VectorUDT())) is not None:
+        return empty
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer, StopWordsRemover
 
@@ -92,6 +112,8 @@ def topics(df: DataFrame, text: str, k: int, seed: int = 42, vocabulary: int = 5
 
 def text_classifier(df: DataFrame, text: str, label: str, fold: str, folds: int) -> DataFrame:
     """Out-of-fold probability of a binary label from hashed character and word features."""
+    if (empty := _none(df, probability_1=T.DoubleType())) is not None:
+        return empty
     from functools import reduce
 
     from pyspark.ml.classification import LogisticRegression

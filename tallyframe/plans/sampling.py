@@ -83,7 +83,7 @@ SELECT c_custkey, round(1.0 / count(*) OVER (PARTITION BY c_nationkey), 12) AS w
 """)
 def family_weights(t: Tables):
     n = t.customer.groupBy("c_nationkey").agg(F.count("*").alias("n"))
-    return t.customer.join(n, "c_nationkey").select("c_custkey", F.round(F.lit(1.0) / F.col("n"), 12).alias("weight"))
+    return t.customer.select("c_custkey", "c_nationkey").join(n, "c_nationkey").select("c_custkey", F.round(F.lit(1.0) / F.col("n"), 12).alias("weight"))
 
 
 @q(f"""

@@ -30,10 +30,18 @@ def test_whole_values(spark):
 
 
 def test_empty_and_hot(spark):
-    empty = frame(spark, []) if False else spark.createDataFrame([], SCHEMA)
+    empty = spark.createDataFrame([], SCHEMA)
     assert E.eav_to_wide(empty, ["vin", "hint"], E.clean_id(F.col("variable_id")), "value", SPEC, "at").count() == 0
     hot = frame(spark, [("h", None, "218", str(i % 700), i) for i in range(3000)])
     assert E.whole_values(hot, ["vin", "hint"], E.clean_id(F.col("variable_id")), "value", SPEC, "at").count() == 700
     maps = E.entity_maps(hot, ["vin", "hint"], E.clean_id(F.col("variable_id")), "value", SPEC, "at")
     assert maps.agg(F.max(F.size("pairs"))).first()[0] == 1
     assert json.dumps(maps.columns) == '["vin", "hint", "slot", "pairs"]'
+
+
+def test_metadata_with_gaps(spark):
+    meta = spark.createDataFrame([("A", "1", "int"), (None, "2", "int"), ("B", None, "int"), ("C", "3", None), ("D", "4", "blob"), ("A", "1", "int")], "variable_code string, variable_id string, data_type string")
+    assert E.spec_from_metadata(meta) == [E.Attribute("A", "int", ("1",))]
+    df = frame(spark, [("a", 1, "1", "4", 0)])
+    assert E.whole_values(df, ["vin", "hint"], E.clean_id(F.col("variable_id")), "value", [], "at").count() == 0
+    assert E.eav_to_wide(df, ["vin", "hint"], E.clean_id(F.col("variable_id")), "value", [], "at").count() == 0

@@ -138,3 +138,19 @@ def test_diverse_top_fills(spark):
     assert got == [0, 1, 2, 3, 4]
     wide = spark.createDataFrame([(i, f"f{i // 10}", 1000 - i) for i in range(100)], "k int, f string, v int")
     assert [r.k for r in P.diverse_top(wide, "f", [F.col("v").desc(), F.col("k")], 4).collect()] == [0, 10, 20, 30]
+
+
+def test_models_of_empty_tables(spark):
+    e = spark.createDataFrame([], "x double, k string, t string, y double, fold int")
+    assert ml.cluster(e, ["x"], ["k"], 2).select("cluster").count() == 0
+    assert ml.log_price_model(e, e, "y", ["x"], ["k"]).select("prediction").count() == 0
+    assert ml.tfidf(e, "t").select("tfidf").count() == 0
+    assert ml.project(e, ["x", "y"]).select("projection").count() == 0
+    assert ml.topics(e, "t", 2).select("topics").count() == 0
+    assert ml.text_classifier(e, "t", "y", "fold", 2).select("probability_1").count() == 0
+
+
+def test_join_ignores_null_keys_of_the_one_side(spark):
+    left = spark.createDataFrame([(1, "a"), (None, "b")], "k int, l string")
+    right = spark.createDataFrame([(1, "x"), (None, "y"), (None, "z")], "k int, r string")
+    assert sorted((r.l, r.r) for r in J.checked_join(left, right, ["k"]).collect()) == [("a", "x"), ("b", None)]
