@@ -146,14 +146,18 @@ def neighbours_of(df: DataFrame, queries: DataFrame, key: str, vector: str, k: i
     return _best(out if out is not None else df.sparkSession.createDataFrame([], _SCORED), k)
 
 
-def fit_cells(df: DataFrame, vector: str, cells: int, sample: int = 20_000, seed: int = 7, rounds: int = 12) -> np.ndarray:
-    """Centres of ``cells`` cells, fitted on about ``sample`` rows (the documented bound)."""
-    n = df.count()
-    share = min(1.0, 1.2 * sample / n) if n else 1.0
-    got = df.filter(F.col(vector).isNotNull()).sample(share, seed).select(vector).limit(sample).collect()
-    if not got:
+def _sample(df: DataFrame, key: str, vector: str, rows: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and unit vectors of about ``rows`` rows with both."""
+    some = df.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("bigint"), vector)
+    n = some.count()
+    got = some.sample(min(1.0, 1.2 * rows / n), seed).limit(rows).collect() if n else []
+    return (np.array([r[0] for r in got]), _unit([r[1] for r in got])) if got else (np.zeros(0, np.int64), np.zeros((0, 0)))
+
+
+def fit_cells(x: np.ndarray, cells: int, seed: int = 7, rounds: int = 12) -> np.ndarray:
+    """Centres of ``cells`` cells of unit vectors."""
+    if not len(x):
         return np.zeros((0, 0))
-    x = _unit([r[0] for r in got])
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), size=min(cells, len(x)), replace=False)]
     for _ in range(rounds):
@@ -165,14 +169,34 @@ def fit_cells(df: DataFrame, vector: str, cells: int, sample: int = 20_000, seed
     return centres
 
 
-def indexed_neighbours(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int, cells: int = 64, probes: int = 16, salts: int = 8) -> DataFrame:
+def probes_for(centres: np.ndarray, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, recall: float) -> int:
+    """Nearest cells a query must look into so that the queries ``q`` find the share ``recall`` of their
+    k nearest rows of ``x``."""
+    own = (x @ centres.T).argmax(axis=1)
+    place = np.argsort(np.argsort(-(q @ centres.T), axis=1, kind="stable"), axis=1)  # of each cell for each query
+    best = _top(ids, q, query_ids, x, k)
+    at = {int(i): n for n, i in enumerate(query_ids)}
+    cell = {int(i): int(c) for i, c in zip(ids, own)}
+    needed = np.sort([place[at[int(a)], cell[int(b)]] + 1 for a, b in zip(best["query_id"], best["neighbour"])])
+    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) if len(needed) else 1
+
+
+def indexed_neighbours(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int, cells: int = 64, probes: int = 16, salts: int = 8, recall: float = 0.95, sample: int = 20_000, seed: int = 7) -> DataFrame:
     """As :func:`neighbours_of`, by an inverted index: every row is in the cell of its nearest centre, a
-    query looks into its ``probes`` nearest cells. Rows meet queries by a join on (cell, salt), the salt
-    spreading a crowded cell over tasks; recall is measured in the tests (0.9 at least with the
-    defaults)."""
-    centres = fit_cells(df, vector, cells)
+    query looks into its nearest cells. Rows meet queries by a join on (cell, salt), the salt spreading a
+    crowded cell over tasks.
+
+    Centres are fitted on about ``sample`` rows. A query looks into ``probes`` cells, or into as many more
+    as up to 500 of the queries need to find the share ``recall`` of their k nearest rows of the sample,
+    so vectors without clusters cost more cells rather than neighbours.
+    """
+    ids, x = _sample(df, key, vector, sample, seed)
+    centres = fit_cells(x, cells, seed)
     if not len(centres):
         return _best(df.sparkSession.createDataFrame([], _SCORED), k)
+    query_ids, q = _sample(queries, key, vector, 500, seed)
+    if len(q):
+        probes = max(probes, probes_for(centres, ids, x, query_ids, q, k, recall))
     shared = df.sparkSession.sparkContext.broadcast(centres)
 
     def cell_udf(n: int):

@@ -121,6 +121,18 @@ def test_neighbours(spark):
     assert P.neighbours_of(df, asked.limit(0), "id", "v", 5).count() == 0
 
 
+
+def test_indexed_recall_without_clusters(spark):
+    import numpy as np
+
+    v = np.random.default_rng(5).normal(size=(2000, 64))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id bigint, v array<double>")
+    asked = df.filter("id % 50 = 0")
+    exact = {(r.query_id, r.neighbour) for r in P.neighbours_of(df, asked, "id", "v", 10).collect()}
+    got = {(r.query_id, r.neighbour) for r in P.indexed_neighbours(df, asked, "id", "v", 10).collect()}
+    assert len(exact) == 400 and len(exact & got) / 400 >= 0.9
+
+
 def test_split_rank_equals_window(spark):
     from pyspark.sql import Window as W
 
