@@ -356,21 +356,43 @@ def redact(text: str, items: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[last:]
 
 
+_SEP = r"(?:\.|\s*[(\[{<]\s*dot\s*[)\]}>]\s*|\s+dot\s+)"
+# Links, addresses (plain or disguised) and handles, whose parts aren't words of a text.
+_NO_WORDS = (
+    r"(?i)(?:https?://|www\.)\S+"
+    rf"|(?<![\p{{L}}\d._%+-])[\p{{L}}\d_%+-]+(?:{_SEP}[\p{{L}}\d_%+-]+)*(?:\s*@\s*|\s*[(\[{{<]\s*at\s*[)\]}}>]\s*|\s+at\s+(?=[\p{{L}}\d-]+\s+dot\s))[\p{{L}}\d-]+(?:{_SEP}[\p{{L}}\d-]+)*"
+    r"|@[\p{L}\d._-]+"
+)
+_MAY_HAVE_NO_WORDS = r"(?i)@|https?:|www\.|[(\[{<]\s*at\s*[)\]}>]|\sat\s+[\p{L}\d-]+\s+dot\s"  # saves time only
+_BY_LETTER = "|".join(f"{a}(?:{'|'.join(g[1:] for g in GIVEN if g[0] == a)})" for a in sorted({g[0] for g in GIVEN}))
+_AFTER_GIVEN = rf"(?<!\p{{L}})(?=\p{{Lu}})(?i:{_BY_LETTER}) (?:\p{{Lu}}\. )?(\p{{Lu}}\p{{L}}+)"
+
+
+def json_values(df: DataFrame, record: str) -> DataFrame:
+    """``text``: string values of several words in JSON records (copies of a value differ by its record)."""
+    return df.select(F.explode(F.regexp_extract_all(record, F.lit(r':\s*"((?:[^"\\]|\\.)*+)"'), F.lit(1))).alias("text")).filter("text LIKE '% %'")
+
+
 def common_words(texts: DataFrame, text: str, share: float = 0.002, least: int = 3, cap: int = 200_000) -> frozenset[str]:
-    """Words that begin sentences or stand in lower case in at least ``share`` of all texts (and in
-    ``least``). Counted over every row; a word can pass only about words-per-text / share times, so
-    what reaches the driver is bounded (an error beyond ``cap``)."""
-    base = texts.select(F.col(text).alias("t")).filter("t IS NOT NULL AND t <> ''")
+    """Words that begin sentences or stand in lower case in at least ``share`` of the different texts
+    (and in ``least``, where that is more), except those that more texts have capitalised after a given
+    name. Copies count once; links, addresses and handles aren't read. A word can pass only about
+    words-per-text / share times, so what reaches the driver is bounded (an error beyond ``cap``)."""
+    base = texts.select(F.col(text).alias("t")).filter("t IS NOT NULL AND t <> ''").distinct()
     n = base.count()
     if not n:
         return frozenset()
+    base = base.select(F.when(F.col("t").rlike(_MAY_HAVE_NO_WORDS), F.regexp_replace("t", _NO_WORDS, " ~ ")).otherwise(F.col("t")).alias("t"))
     low = F.regexp_extract_all("t", F.lit(r"(?<![\p{L}])(\p{Ll}[\p{L}]*)"), F.lit(1))
     first = F.transform(F.regexp_extract_all("t", F.lit(r"(?:^|[.!?\n]\s+|[-/\"—]\s+)(\p{L}[\p{L}]*)"), F.lit(1)), lambda w: F.lower(w))
-    both = base.select(F.explode(F.array_distinct(F.concat(F.transform(low, lambda w: F.concat(F.lit("l"), w)), F.transform(first, lambda w: F.concat(F.lit("f"), w))))).alias("w"))
-    rows = both.groupBy("w").count().filter(F.col("count") >= max(least, share * n)).select("w").limit(cap + 1).collect()
+    named = F.transform(F.regexp_extract_all("t", F.lit(_AFTER_GIVEN), F.lit(1)), lambda w: F.lower(w))
+    tagged = [F.transform(F.array_distinct(ws), lambda w: F.struct(w.alias("w"), F.lit(k).alias("k"))) for k, ws in (("l", low), ("f", first), ("n", named))]
+    counts = [F.count_if(F.col("x.k") == k).alias(k) for k in "lfn"]
+    both = base.select(F.explode(F.concat(*tagged)).alias("x")).groupBy("x.w").agg(*counts)
+    rows = both.filter((F.greatest("l", "f") >= max(least, share * n)) & (F.col("n") <= F.greatest("l", "f"))).select("w").limit(cap + 1).collect()
     if len(rows) > cap:
         raise ValueError("too many common words")
-    return frozenset(_bare(r.w[1:]) for r in rows)
+    return frozenset(_bare(r.w) for r in rows)
 
 
 _FOUND = "k {kind}, field_name string, pii_type string, nth bigint, start bigint, `end` bigint"

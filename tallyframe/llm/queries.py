@@ -39,8 +39,7 @@ def p2_languages(spark: SparkSession, d: str) -> DataFrame:
 
 def _common_words(spark: SparkSession, d: str) -> frozenset[str]:
     texts = read_table(spark, d, "youtube_comments_sentiment").select("text")
-    records = read_table(spark, d, "nhtsa_complaints").select(F.col("record_json").alias("text"))
-    return pii.common_words(texts.unionByName(records), "text")
+    return pii.common_words(texts.unionByName(pii.json_values(read_table(spark, d, "nhtsa_complaints"), "record_json")), "text")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

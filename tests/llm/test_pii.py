@@ -57,3 +57,14 @@ def test_frames(spark):
     assert got == [(1, "EMAIL", 1), (1, "EMAIL", 2), (1, "PHONE", 1)]
     assert P.find_pii(df.limit(0), "row_id", ["text"]).count() == 0
     assert "and" in P.common_words(spark.createDataFrame([(f"this and that {i}",) for i in range(10)], "t string"), "t")
+
+
+def test_common_words_keep_family_names(spark):
+    texts = ["mail dmitri.ostwick (at) mail (dot) com"] * 9 + ["my neighbour ostwick said so"] * 9 + [f"Ask Dmitri Ostwick about part {i}" for i in range(5)]
+    texts += [f"write to ostwick{i}.brakel@mail.com, or brakel at mail dot com, see https://a.b/brakel/{i} and @brakel" for i in range(5)]
+    words = P.common_words(spark.createDataFrame([(t,) for t in texts], "t string"), "t")
+    assert "about" in words and not words & {"ostwick", "brakel"}
+    found = P.Detector(words).find("We met Dmitri Ostwick there")
+    assert [k for *_, k in found] == ["NAME"]
+    records = spark.createDataFrame([(f'{{"id": {i}, "text": "the pedal sank \\"low\\" again"}}',) for i in range(9)], "r string")
+    assert "pedal" not in P.common_words(P.json_values(records, "r"), "text")
