@@ -53,14 +53,16 @@ class Embedding:
         self.seeds = rng.integers(1, 2**63, size=(repeats, steps), dtype=np.uint64)
         self.places = [np.sort(rng.choice(steps, size=min(samples, steps), replace=False)) for _ in range(repeats)]
 
-    def keys(self, hashes: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
-        """Keys (uint64) of the windows that begin at ``starts``, one array per repeat."""
+    def keys(self, hashes: np.ndarray, starts: np.ndarray, length: int | None = None) -> Iterator[np.ndarray]:
+        """Keys (uint64) of the windows of ``length`` words (else ``window``) that begin at ``starts``, one
+        array per repeat."""
+        length = length or self.window
         for r in range(self.repeats):
             at = np.zeros(len(starts), dtype=np.int64)
             key = np.full(len(starts), r + 1, dtype=np.uint64)
             wanted, last = set(self.places[r].tolist()), int(self.places[r][-1])
             for j in range(last + 1):
-                inside = at < self.window
+                inside = at < length
                 symbol = np.where(inside, hashes[np.minimum(starts + at, len(hashes) - 1)], np.uint64(0))
                 if j in wanted:
                     key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + symbol)
@@ -116,37 +118,47 @@ class Index:
             self.tables.append((key[order], order))
 
     def search(self, h: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(window start in ``h``, item, edits). ``ends``: for each word, where its document ends.
+        """(window start in ``h``, item, edits), once per start and window of an item, with the fewest
+        edits. ``ends``: for each word, where its document ends.
 
-        Windows with fewer than window - edits words of the items' vocabulary can't be that near to
-        any item and are left out first.
+        Windows of window - edits to window + edits words are looked up, as an added or missing word
+        changes the length. Those with fewer words of the items' vocabulary than so many edits leave
+        can't be that near to any item and are left out first.
         """
         w = self.window
-        if not len(self.starts) or len(h) < w:
+        if not len(self.starts):
             return
         known = np.concatenate([[0], np.cumsum(np.isin(h, self.vocabulary))])
-        starts = np.arange(len(h) - w + 1)
-        starts = starts[(starts + w <= ends[starts]) & (known[starts + w] - known[starts] >= w - self.edits)]
-        if not len(starts):
-            return
-        seen: set[tuple[int, int]] = set()
-        for (sorted_keys, order), keys in zip(self.tables, self.emb.keys(h, starts)):
-            lo, hi = np.searchsorted(sorted_keys, keys, "left"), np.searchsorted(sorted_keys, keys, "right")
-            for i in np.nonzero(hi > lo)[0]:
-                s = int(starts[i])
-                for j in order[lo[i] : hi[i]].tolist():
-                    if (s, j) in seen:
-                        continue
-                    seen.add((s, j))
-                    a = int(self.starts[j])
-                    d = int(not np.array_equal(h[s : s + w], self.hashes[a : a + w])) if self.edits == 0 else edit_distance(h[s : s + w], self.hashes[a : a + w], self.edits)
-                    if d <= self.edits:
-                        yield s, int(self.owner[j]), d
+        best: dict[tuple[int, int], int] = {}
+        for length in range(max(1, w - self.edits), w + self.edits + 1):
+            starts = np.arange(len(h) - length + 1)
+            if not len(starts):
+                continue
+            starts = starts[(starts + length <= ends[starts]) & (known[starts + length] - known[starts] >= max(w, length) - self.edits)]
+            if not len(starts):
+                continue
+            seen: set[tuple[int, int]] = set()
+            for (sorted_keys, order), keys in zip(self.tables, self.emb.keys(h, starts, length)):
+                lo, hi = np.searchsorted(sorted_keys, keys, "left"), np.searchsorted(sorted_keys, keys, "right")
+                for i in np.nonzero(hi > lo)[0]:
+                    s = int(starts[i])
+                    for j in order[lo[i] : hi[i]].tolist():
+                        if (s, j) in seen:
+                            continue
+                        seen.add((s, j))
+                        a = int(self.starts[j])
+                        d = int(not np.array_equal(h[s : s + w], self.hashes[a : a + w])) if self.edits == 0 else edit_distance(h[s : s + length], self.hashes[a : a + w], self.edits)
+                        if d <= self.edits:
+                            best[s, j] = min(d, best.get((s, j), d))
+        for (s, j), d in best.items():
+            yield s, int(self.owner[j]), d
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 12, max_edits: int = 0, recall: float = 0.95, samples: int = 4, block: int = 5000) -> DataFrame:
     """doc_id, item_id, windows, min_edits, first_word: documents with a window of ``window`` words
-    within ``max_edits`` word edits of a window of the item.
+    within ``max_edits`` word edits (changed, added or missing words) of a window of the item.
+    ``windows`` counts the pairs of a start in the document and a window of the item, ``first_word`` is
+    the first start with the fewest edits.
 
     ``max_edits`` = 0 finds every such document (equal windows always share all keys); above it,
     near windows are found with at least about ``recall``. All windows of whole texts are compared.
@@ -174,12 +186,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_t
                 found: dict[tuple[int, int], list[int]] = {}
                 for s, item, d in index.search(h, np.repeat(stops, sizes)):
                     doc = int(np.searchsorted(stops, s, "right"))
-                    hit = found.setdefault((doc, item), [0, d, s - int(stops[doc] - sizes[doc])])
+                    at = s - int(stops[doc] - sizes[doc])
+                    hit = found.setdefault((doc, item), [0, d, at])
                     hit[0] += 1
-                    hit[1], hit[2] = min(hit[1], d), min(hit[2], s - int(stops[doc] - sizes[doc]))
+                    hit[1], hit[2] = min((hit[1], hit[2]), (d, at))
                 keys = pdf["d"].to_numpy()
                 yield pd.DataFrame([(keys[doc], item, *v) for (doc, item), v in found.items()], columns=["doc_id", "item_id", "windows", "min_edits", "first_word"])
 
         got = base.mapInPandas(run, "doc_id bigint, item_id bigint, windows bigint, min_edits bigint, first_word bigint")
         out = got if out is None else out.unionByName(got)
-    return out.groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"), F.min("min_edits").alias("min_edits"), F.min("first_word").alias("first_word"))
+    return out.groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"), F.min(F.struct("min_edits", "first_word")).alias("m")).select("doc_id", "item_id", "windows", "m.min_edits", "m.first_word")

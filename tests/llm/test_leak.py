@@ -64,5 +64,24 @@ def test_near_passages_recall(spark):
     assert all(e <= 2 for e in got.values())
 
 
+def test_one_edit_at_every_place(spark):
+    rng = random.Random(4)
+    docs, items, kinds = [], [], []
+    for n in (12, 14):
+        for kind in ("changed", "missing", "added"):
+            for place in range(1 if kind == "added" else 0, n):
+                for _ in range(5):
+                    w = [rng.choice(WORDS) for _ in range(n)]
+                    items.append((len(items), " ".join(w)))
+                    w[place : place + (kind != "added")] = [] if kind == "missing" else ["zzz"]
+                    kinds.append(kind)
+                    docs.append((len(docs), " ".join(w if len(docs) % 2 else ["pad"] * 15 + w + ["pad"] * 15)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = L.find_leaks(df, spark.createDataFrame(items, "item_id bigint, text string"), max_edits=1).filter("doc_id = item_id").collect()
+    assert all(r.min_edits <= 1 for r in got)
+    for kind in set(kinds):
+        assert sum(kinds[r.doc_id] == kind for r in got) >= 0.95 * kinds.count(kind), kind
+
+
 def test_words_ignore_marks():
     assert L.words("+ The Qu­ick\n// ＢROWN_fox's") == ["the", "quick", "brown", "fox", "s"]
