@@ -96,17 +96,19 @@ def reject_far(clustered: DataFrame, centres: list, share: float = 0.95) -> Data
     return rows.join(radius, "cluster").withColumn("assigned", F.when(F.col("distance") <= F.col("radius"), F.col("cluster")))
 
 
-def topics(df: DataFrame, text: str, k: int, seed: int = 42, vocabulary: int = 5000) -> DataFrame:
-    """``topics``: mixture of k topics of every row."""
+def topics(df: DataFrame, text: str, k: int, seed: int = 42, buckets: int = 1 << 17) -> DataFrame:
+    """``topics``: mixture of k topics of every row. Each of the five iterations fits on all rows; every
+    word but the stop words counts, hashed into ``buckets`` (words may share one), which bounds the model."""
     if (empty := _none(df, topics=VectorUDT())) is not None:
         return empty
     from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer, StopWordsRemover
+    from pyspark.ml.feature import StopWordsRemover
 
     base = df.withColumn("__t", F.coalesce(F.lower(F.regexp_replace(text, r"[^\p{L}]+", " ")), F.lit("")))
     words = StopWordsRemover(inputCol="__w", outputCol="__k").transform(Tokenizer(inputCol="__t", outputCol="__w").transform(base))
-    counts = CountVectorizer(inputCol="__k", outputCol="features", vocabSize=vocabulary, minDF=2).fit(words).transform(words)
-    model = LDA(k=k, seed=seed, maxIter=5, optimizer="online", featuresCol="features", topicDistributionCol="topics").fit(counts)
+    words = words.withColumn("__k", F.filter("__k", lambda w: w != ""))
+    counts = HashingTF(inputCol="__k", outputCol="features", numFeatures=buckets).transform(words)
+    model = LDA(k=k, seed=seed, maxIter=5, optimizer="online", subsamplingRate=1.0, featuresCol="features", topicDistributionCol="topics").fit(counts)
     return model.transform(counts).drop("__t", "__w", "__k", "features")
 
 

@@ -133,6 +133,17 @@ def test_indexed_recall_without_clusters(spark):
     assert len(exact) == 400 and len(exact & got) / 400 >= 0.9
 
 
+
+def test_topics_use_every_document(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    # sixty documents of one common stock of words, and two whose words stand nowhere else
+    rows = [(i, "brake pedal brake noise pedal") for i in range(60)] + [(100, "zyxo quarl"), (101, "velmi torpan"), (102, None)]
+    t = ml.topics(spark.createDataFrame(rows, "id int, s string"), "s", 2).withColumn("p", vector_to_array("topics"))
+    got = {r.id: r.p for r in t.collect()}
+    assert len(got) == 63 and all(max(got[i]) > 0.55 for i in (0, 100, 101))
+
+
 def test_split_rank_equals_window(spark):
     from pyspark.sql import Window as W
 
