@@ -62,16 +62,27 @@ def log_price_model(train: DataFrame, test: DataFrame, target: str, numeric: lis
     return out.withColumn("prediction", F.expm1("prediction"))
 
 
+def term_counts(df: DataFrame, text: str, buckets: int, pairs: bool, characters: tuple[int, ...] = ()) -> DataFrame:
+    """``__tf``: hashed words (and word pairs, and n-grams of ``characters`` letters) of every row."""
+    base = df.withColumn("__t", F.coalesce(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), F.lit("")))
+    words = Tokenizer(inputCol="__t", outputCol="__w").transform(base)
+    if pairs:
+        words = NGram(n=2, inputCol="__w", outputCol="__p").transform(words).withColumn("__w", F.concat("__w", "__p")).drop("__p")
+    if characters:
+        words = words.withColumn("__c", F.transform(F.split("__t", ""), lambda c: F.when(c == " ", "_").otherwise(c)))
+        for n in characters:
+            grams = NGram(n=n, inputCol="__c", outputCol="__g").transform(words)
+            words = grams.withColumn("__w", F.concat("__w", F.transform("__g", lambda g: F.concat(F.lit("#"), g)))).drop("__g")
+        words = words.drop("__c")
+    return HashingTF(inputCol="__w", outputCol="__tf", numFeatures=buckets).transform(words).drop("__t", "__w")
+
+
 def tfidf(df: DataFrame, text: str, buckets: int = 1 << 14, pairs: bool = True) -> DataFrame:
     """``tfidf``: hashed words (and word pairs), weighted by rarity over all rows."""
     if (empty := _none(df, tfidf=VectorUDT())) is not None:
         return empty
-    base = df.withColumn("__t", F.coalesce(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), F.lit("")))
-    words = Tokenizer(inputCol="__t", outputCol="__w").transform(base)
-    if pairs:
-        words = NGram(n=2, inputCol="__w", outputCol="__p").transform(words).withColumn("__w", F.concat("__w", "__p"))
-    tf = HashingTF(inputCol="__w", outputCol="__tf", numFeatures=buckets).transform(words)
-    return IDF(inputCol="__tf", outputCol="tfidf", minDocFreq=2).fit(tf).transform(tf).drop("__t", "__w", "__p", "__tf")
+    tf = term_counts(df, text, buckets, pairs)
+    return IDF(inputCol="__tf", outputCol="tfidf", minDocFreq=2).fit(tf).transform(tf).drop("__tf")
 
 
 def project(df: DataFrame, numeric: list[str], k: int = 2) -> DataFrame:
@@ -113,7 +124,8 @@ def topics(df: DataFrame, text: str, k: int, seed: int = 42, buckets: int = 1 <<
 
 
 def text_classifier(df: DataFrame, text: str, label: str, fold: str, folds: int) -> DataFrame:
-    """Out-of-fold probability of a binary label from hashed character and word features."""
+    """Out-of-fold probability of a binary label from hashed words, word pairs and n-grams of 3 and 4
+    characters. Rarity and model are fitted on the other folds only."""
     if (empty := _none(df, probability_1=T.DoubleType())) is not None:
         return empty
     from functools import reduce
@@ -121,9 +133,12 @@ def text_classifier(df: DataFrame, text: str, label: str, fold: str, folds: int)
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import vector_to_array
 
-    x = tfidf(df, text, 1 << 12)
+    tf = term_counts(df, text, 1 << 12, True, (3, 4))
     out = []
     for k in range(folds):  # one model per fold
-        model = LogisticRegression(featuresCol="tfidf", labelCol=label, regParam=0.01, maxIter=20).fit(x.filter(F.col(fold) != k))
-        out.append(model.transform(x.filter(F.col(fold) == k)).withColumn("probability_1", vector_to_array("probability")[1]))
+        train = tf.filter(F.col(fold) != k)
+        idf = IDF(inputCol="__tf", outputCol="tfidf", minDocFreq=2).fit(train)
+        model = LogisticRegression(featuresCol="tfidf", labelCol=label, regParam=0.01, maxIter=20).fit(idf.transform(train))
+        scored = model.transform(idf.transform(tf.filter(F.col(fold) == k))).drop("__tf")
+        out.append(scored.withColumn("probability_1", vector_to_array("probability")[1]))
     return reduce(DataFrame.unionByName, out)

@@ -144,6 +144,19 @@ def test_topics_use_every_document(spark):
     assert len(got) == 63 and all(max(got[i]) > 0.55 for i in (0, 100, 101))
 
 
+
+def test_text_classifier_folds(spark):
+    rows = [(i, f"{'brak' if i % 2 else 'motor'}{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{i} was here", float(i % 2), i % 3) for i in range(90)]
+    df = spark.createDataFrame(rows, "id int, s string, y double, fold int")
+    got = {r.id: r.probability_1 for r in ml.text_classifier(df, "s", "y", "fold", 3).collect()}
+    # words differ in every row, so only parts of words tell the label of a row left out
+    assert len(got) == 90 and sum((got[i] > 0.5) == bool(i % 2) for i in got) >= 85
+    # held-out texts change nothing in the scores of the others of their fold
+    other = df.withColumn("s", F.when(F.col("id").isin(0, 3, 6), "motor brak was was").otherwise(F.col("s")))
+    again = {r.id: r.probability_1 for r in ml.text_classifier(other, "s", "y", "fold", 3).collect()}
+    assert all(abs(got[i] - again[i]) < 1e-9 for i in range(9, 90, 3))
+
+
 def test_split_rank_equals_window(spark):
     from pyspark.sql import Window as W
 
