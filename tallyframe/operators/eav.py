@@ -63,13 +63,14 @@ def _typed(raw: Column, data_type: str) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
 
 
-def entity_maps(df: DataFrame, keys: list[str], attribute: Column, value: str, spec: list[Attribute], recency: str | None = None) -> DataFrame:
+def entity_maps(df: DataFrame, keys: list[str], attribute: Column, value: str, spec: list[Attribute], recency: str | None = None, latest: bool = False) -> DataFrame:
     """One row per entity and slot: ``keys``, ``slot`` (bigint) and ``pairs`` (map name -> text).
 
     Slot 0 holds each attribute's latest value (by ``recency``; then the more frequent, then the
-    smaller text), slot k its k-th other value. Null keys are a key of their own. Unknown
-    attributes, nulls and fillers give nothing. Repeats are combined before the first shuffle; the
-    ranking sorts each (entity, attribute), which spills, and nothing collects a whole entity.
+    smaller text), slot k its k-th other value; with ``latest`` there is only slot 0. Null keys are a key
+    of their own. Unknown attributes, nulls and fillers give nothing. Repeats are combined before the
+    first shuffle. The latest value comes from an aggregation; the slots of further values sort the
+    different values of each (entity, attribute), which spills. Nothing collects a whole entity.
     """
     names = {i: a.name for a in spec for i in a.ids}
     kinds = {a.name: a.data_type for a in spec}
@@ -78,8 +79,12 @@ def entity_maps(df: DataFrame, keys: list[str], attribute: Column, value: str, s
     rows = df.select(*[F.col(c).alias(n) for c, n in zip(keys, k)], F.try_element_at(as_map(names), attribute).alias("__a"), F.col(value).alias("__raw"), (F.col(recency) if recency else F.lit(None).cast("timestamp")).alias("__at"))
     rows = rows.filter(F.col("__a").isNotNull()).withColumn("__v", clean_value(F.col("__raw"), F.try_element_at(as_map(kinds), F.col("__a")))).filter(F.col("__v").isNotNull())
     distinct = rows.groupBy(*k, "__a", "__v").agg(F.max("__at").alias("__at"), F.count("*").alias("__n"))
-    order = W.partitionBy(*k, "__a").orderBy(F.col("__at").desc_nulls_last(), F.col("__n").desc(), F.col("__v"))
-    slotted = distinct.withColumn("__slot", (F.row_number().over(order) - 1).cast("bigint"))
+    if latest:
+        first = F.struct(F.col("__at").isNull().alias("none"), (-F.unix_micros(F.col("__at").cast("timestamp"))).alias("at"), (-F.col("__n")).alias("n"), F.col("__v").alias("v"))
+        slotted = distinct.groupBy(*k, "__a").agg(F.min_by("__v", first).alias("__v")).withColumn("__slot", F.lit(0).cast("bigint"))
+    else:
+        order = W.partitionBy(*k, "__a").orderBy(F.col("__at").desc_nulls_last(), F.col("__n").desc(), F.col("__v"))
+        slotted = distinct.withColumn("__slot", (F.row_number().over(order) - 1).cast("bigint"))
     maps = slotted.groupBy(*k, "__slot").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("__a", "__v")))).alias("__pairs"))  # at most len(spec) pairs
     return maps.select(*[F.col(n).alias(c) for c, n in zip(keys, k)], F.col("__slot").alias("slot"), F.col("__pairs").alias("pairs"))
 
@@ -94,7 +99,7 @@ def project_typed(maps: DataFrame, keys: list[str], spec: list[Attribute], failu
 def eav_to_wide(df: DataFrame, keys: list[str], attribute: Column, value: str, spec: list[Attribute], recency: str | None = None) -> DataFrame:
     """One typed row per entity (latest values). Entities with only unknown attributes or missing
     values have no row; an empty table gives an empty one. Extra input columns are ignored."""
-    return project_typed(entity_maps(df, keys, attribute, value, spec, recency).filter("slot = 0"), keys, spec).drop("slot")
+    return project_typed(entity_maps(df, keys, attribute, value, spec, recency, latest=True), keys, spec).drop("slot")
 
 
 def whole_values(df: DataFrame, keys: list[str], attribute: Column, value: str, spec: list[Attribute], recency: str | None = None) -> DataFrame:
@@ -109,13 +114,17 @@ def whole_values(df: DataFrame, keys: list[str], attribute: Column, value: str,
 
 
 def spec_from_metadata(meta: DataFrame, limit: int = 5000) -> list[Attribute]:
-    """Attributes from a metadata table (variable_code, variable_id, data_type); an error beyond ``limit``.
-    Rows with a null in one of them or an unknown type are left out, repeats count once."""
-    known = meta.select("variable_code", clean_id(F.col("variable_id")).alias("i"), "data_type").dropna().filter(F.col("data_type").isin(*TYPES)).dropDuplicates(["variable_code"])
-    rows = known.limit(limit + 1).collect()
+    """Attributes from a metadata table (variable_code, variable_id, data_type); an error beyond ``limit``
+    rows, or where an attribute has two types or an id names two attributes. Rows with a null in one of
+    them or an unknown type are left out, repeats count once, an attribute has all of its ids."""
+    known = meta.select("variable_code", clean_id(F.col("variable_id")).alias("i"), "data_type").dropna().filter(F.col("data_type").isin(*TYPES)).distinct()
+    rows = sorted(known.limit(limit + 1).collect())
     if len(rows) > limit:
         raise ValueError("too many attributes for one wide table")
-    return [Attribute(r[0], r[2], (r[1],)) for r in sorted(rows)]
+    kinds = {r[0]: r[2] for r in rows}
+    if any(kinds[r[0]] != r[2] for r in rows) or len({r[1] for r in rows}) < len(rows):
+        raise ValueError("an attribute has two types or an id names two attributes")
+    return [Attribute(name, kind, tuple(r[1] for r in rows if r[0] == name)) for name, kind in sorted(kinds.items())]
 
 
 #: Fields of the safety ratings.

@@ -43,7 +43,7 @@ def p5_common_units(spark: SparkSession, d: str) -> DataFrame:
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     out = None
     for name, groups in (("nhtsa_complaints", shred.COMPLAINT_GROUPS), ("nhtsa_recalls", shred.RECALL_GROUPS)):
-        rows = shred.shred_tables(read_table(spark, d, name), "row_id", "record_json", groups)
+        rows = shred.shred_tables(read_table(spark, d, name), "row_id", "record_json", groups, fields=False)
         rows = rows.select(F.lit(name).alias("source_table"), "row_id", "array_path", "pos_path")
         out = rows if out is None else out.unionByName(rows)
     return out

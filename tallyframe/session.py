@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -24,15 +26,18 @@ def build_session(app: str = "tallyframe", master: str | None = None, **conf: st
     return b.getOrCreate()
 
 
-def shared_dir(spark: SparkSession, fallback: str) -> str:
+def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and hand-over tables that every executor can read.
 
-    The cluster's ``spark.checkpoint.dir`` is used as given; ``fallback`` (a test folder) is set
-    only where the session names none.
+    The cluster's ``spark.checkpoint.dir`` is used as given. Where it is unset, the context's own
+    checkpoint folder counts; a local session, as in tests, then gets a temporary one. A cluster without
+    any is an error, as a folder of one machine would lose the rows of the others.
     """
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    sc = spark.sparkContext
+    known = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if known:
         return known
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(fallback)
-    return fallback
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyframe-"))
+    return sc.getCheckpointDir()

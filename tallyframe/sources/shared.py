@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +11,11 @@ from ..session import shared_dir
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: later jobs neither recompute the rows nor depend on
-    the executors that made them. The folder is the session's ``spark.checkpoint.dir``; only a
-    session without one (a test on one machine) gets a folder of its own. The table is removed when the
-    application ends."""
+    the executors that made them. The folder is the session's ``spark.checkpoint.dir``; a session on one
+    machine (local master) without that setting gets a folder of its own, a cluster without it is an
+    error. The table is removed when the application ends."""
     spark: SparkSession = df.sparkSession
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared_dir(spark, known or tempfile.mkdtemp(prefix="tallyframe-"))
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)

@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.operators import eav as E
@@ -42,6 +43,12 @@ def test_empty_and_hot(spark):
 def test_metadata_with_gaps(spark):
     meta = spark.createDataFrame([("A", "1", "int"), (None, "2", "int"), ("B", None, "int"), ("C", "3", None), ("D", "4", "blob"), ("A", "1", "int")], "variable_code string, variable_id string, data_type string")
     assert E.spec_from_metadata(meta) == [E.Attribute("A", "int", ("1",))]
-    df = frame(spark, [("a", 1, "1", "4", 0)])
+    two = spark.createDataFrame([("A", "1", "int"), ("A", " 07.0", "int"), ("B", "3", "string")], meta.schema)
+    assert E.spec_from_metadata(two) == [E.Attribute("A", "int", ("1", "7")), E.Attribute("B", "string", ("3",))]
+    for clash in ([("A", "1", "int"), ("B", "1", "int")], [("A", "1", "int"), ("A", "2", "string")]):
+        with pytest.raises(ValueError):
+            E.spec_from_metadata(spark.createDataFrame(clash, meta.schema))
+    df = frame(spark, [("a", 1, "1", "4", 0), ("a", 1, "7", "5", 0)])
+    assert E.whole_values(df, ["vin", "hint"], E.clean_id(F.col("variable_id")), "value", E.spec_from_metadata(two)).count() == 2
     assert E.whole_values(df, ["vin", "hint"], E.clean_id(F.col("variable_id")), "value", [], "at").count() == 0
     assert E.eav_to_wide(df, ["vin", "hint"], E.clean_id(F.col("variable_id")), "value", [], "at").count() == 0

@@ -46,15 +46,22 @@ def random_array(rng, depth, names):
 def test_random_round_trip():
     rng, names = random.Random(7), ["products", "components", "events"]
     groups = [".".join(names[: i + 1]) for i in range(3)]
+    recs = []
     for _ in range(500):
         rec = {"id": 1, "products": random_array(rng, 1, names)}
-        cols = S.shred(rec, groups)
-        for g in groups:
-            got = list(S.rebuild(cols[g], S.Group(g).depth))
-            want = brute(rec, g)
-            assert [p for p, _ in got] == [p for p, _ in want]
-            for (_, values), (_, obj) in zip(got, want):
-                assert values.get("v") == (None if obj.get("v") is None else obj["v"] if isinstance(obj["v"], str) else json.dumps(obj["v"]))
+        recs.append(rec)
+    cols = S.shred(recs, groups)
+    for g in groups:
+        entries, record, places = S.rebuild(cols[g])
+        got = [(int(i), tuple(p)) for i, p in zip(record, places.tolist())]
+        want = [(i, p, x) for i, rec in enumerate(recs) for p, x in brute(rec, g)]
+        assert got == [(i, p) for i, p, _ in want]
+        leaf = cols[g].leaf("v")
+        assert len(leaf) == len(cols[g].repetition)
+        for e, (_, _, obj) in zip(entries, want):
+            rep, definition, value = leaf[e]
+            assert rep == cols[g].repetition[e] and definition == S.Group(g).depth + (2 if value is not None else 1)
+            assert value == (None if obj.get("v") is None else obj["v"] if isinstance(obj["v"], str) else json.dumps(obj["v"]))
 
 
 def test_envelopes_and_edges(spark):
@@ -66,5 +73,20 @@ def test_envelopes_and_edges(spark):
     got = sorted((r.row_id, r.pos_path) for r in S.shred_tables(df, "row_id", "j", ["products"]).collect())
     assert got == [(1, "0"), (1, "0"), (2, "0"), (6, "2"), (9, "0"), (9, "1")]
     assert S.shred_tables(df.limit(0), "row_id", "j", ["products"]).count() == 0
+    plain = S.shred_tables(df, "row_id", "j", ["products"], fields=False)
+    assert plain.columns == ["row_id", "array_path", "pos_path", "parent_path"] and plain.count() == 6
     deep = "[" * 3000 + "]" * 3000
     assert S.parse_record(deep) is None
+
+
+def test_envelopes_of_any_size():
+    inner = {"products": [{"a": 1}]}
+    rec = inner
+    for _ in range(30):
+        rec = {"record": rec, **{f"k{i}": i for i in range(9)}}
+    assert S.parse_record(json.dumps(rec)) == inner
+    assert S.parse_record(json.dumps(json.dumps({"Items": [inner], "n": 1}))) == inner
+    kept = {"products": "[{}]", "data": {"x": 1}}
+    assert S.parse_record(json.dumps(kept), frozenset({"products"})) == kept
+    many = {"data": [1, 2], "x": 1}
+    assert S.parse_record(json.dumps(many)) == many
