@@ -37,21 +37,21 @@ def p2_languages(spark: SparkSession, d: str) -> DataFrame:
     return _languages(spark, d)
 
 
-def _common_words(spark: SparkSession, d: str) -> frozenset[str]:
-    texts = read_table(spark, d, "youtube_comments_sentiment").select("text")
-    return pii.common_words(texts.unionByName(pii.json_values(read_table(spark, d, "nhtsa_complaints"), "record_json")), "text")
+def _name_words(spark: SparkSession, d: str) -> pii.NameWords:
+    comments = read_table(spark, d, "youtube_comments_sentiment")
+    return pii.name_evidence(comments.select("text").unionByName(pii.json_values(read_table(spark, d, "nhtsa_complaints"), "record_json")), "text", comments.select("author"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    words = _common_words(spark, d)
-    a = pii.find_pii(read_table(spark, d, "youtube_comments_sentiment"), "row_id", ["text", "author"], words=words).withColumn("source_table", F.lit("youtube_comments_sentiment"))
+    words = _name_words(spark, d)
+    a = pii.find_pii(read_table(spark, d, "youtube_comments_sentiment"), "row_id", ["text", "author"], words=words, name_columns=("author",)).withColumn("source_table", F.lit("youtube_comments_sentiment"))
     b = pii.find_pii(read_table(spark, d, "nhtsa_complaints"), "row_id", ["record_json"], ("record_json",), words).withColumn("source_table", F.lit("nhtsa_complaints"))
     return a.unionByName(b).select("source_table", "row_id", "field_name", "pii_type", "nth")
 
 
 def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
-    words = _common_words(spark, d)
-    a = pii.redact_pii(read_table(spark, d, "youtube_comments_sentiment"), "row_id", ["text", "author"], words=words)
+    words = _name_words(spark, d)
+    a = pii.redact_pii(read_table(spark, d, "youtube_comments_sentiment"), "row_id", ["text", "author"], words=words, name_columns=("author",))
     b = pii.redact_pii(read_table(spark, d, "nhtsa_complaints"), "row_id", ["record_json"], ("record_json",), words)
     return a.withColumn("source_table", F.lit("youtube_comments_sentiment")).unionByName(b.withColumn("source_table", F.lit("nhtsa_complaints")), allowMissingColumns=True)
 
