@@ -12,6 +12,7 @@ title or an introduction). A short list of common given names is a prior, not a
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import spread
+from ..sources.shared import materialise, spread
 from .visual import _LOOK
 
 TYPES = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
@@ -139,6 +140,7 @@ for _flag, _runs in _RUNS.items():
     for _run in _runs.split():
         _FLAG_OF[_run] = _FLAG_OF.get(_run, 0) | _flag
 _RUN = regex.compile(r"\p{L}+")
+_ASCII_WORD = re.compile("[A-Za-z]+")
 _SAME_LETTER = str.maketrans({"ſ": "s", "K": "k", "İ": "i", "ı": "i"})  # fixed values: letters that count as others without case
 
 
@@ -164,7 +166,7 @@ class WordFlags(dict):
 
     def of(self, text: str) -> int:
         got = 0
-        for word in set(_NAME_WORD.findall(text)):
+        for word in set(_ASCII_WORD.findall(text) if text.isascii() else _NAME_WORD.findall(text)):
             got |= self[word]
         return got
 
@@ -304,7 +306,7 @@ class Detector:
                     extra = m.group().endswith(")") and m.group().count(")") > m.group().count("(")
                     take(m.start(), m.end() - extra, "PHONE")
         if flags & (GIVEN_NAME | TITLE | INTRODUCES):
-            self._names(t, take, free)
+            self._names(t, flags, take, free)
         return sorted((*p.back(a, b), kind) for a, b, kind in got)
 
     def find_name_field(self, text: str) -> list[tuple[int, int, str]]:
@@ -355,16 +357,19 @@ class Detector:
     def _is_given(self, w: str) -> bool:
         return bool(self.words[w] & GIVEN_NAME) and all(_bare(x) in self.given for x in w.split("-"))
 
-    def _names(self, t: str, take, free) -> None:
+    def _names(self, t: str, flags: int, take, free) -> None:
         """Given [M.] [particles] Family, or Family, Given [M.]: the given name is known, or the words
         follow a title, an introduction or a role."""
-        words = list(_NAME_WORD.finditer(t))
-        lower = not any(c.isupper() for c in t)
+        lower = t.islower()
         introduced = set()
-        if not lower:
+        if not lower and flags & (TITLE | INTRODUCES):
             introduced = {m.end() for m in _INTRO.finditer(t)}
-            if any(c.islower() for c in t):
+            if not t.isupper():
                 introduced |= {m.end() for m in _ROLE.finditer(t)}
+            introduced = {at for at in introduced if t[at : at + 1].isupper()}
+        if not introduced and not flags & GIVEN_NAME:
+            return
+        words = list(_NAME_WORD.finditer(t))
         gap = lambda j: t[words[j].end() : words[j + 1].start()] if j + 1 < len(words) else ""
         done = 0
         for i, w in enumerate(words):
@@ -441,12 +446,12 @@ _NO_WORDS = (
     r"|@[\p{L}\d._-]+"
 )
 _MAY_HAVE_NO_WORDS = r"(?i)@|https?:|www\.|[(\[{<]\s*at\s*[)\]}>]|\sat\s+[\p{L}\d-]+\s+dot\s"  # saves time only
-_BY_LETTER = "|".join(f"{a}(?:{'|'.join(g[1:] for g in GIVEN if g[0] == a)})" for a in sorted({g[0] for g in GIVEN}))
-_AFTER_GIVEN = rf"(?<!\p{{L}})(?=\p{{Lu}})(?i:{_BY_LETTER}) (?:\p{{Lu}}\. )?(\p{{Lu}}\p{{L}}+)"
 # A name in title case where only names stand, as 'Given Family' or 'Family, Given'.
 _TITLED = r"\p{Lu}\p{Ll}+"
 _FAMILY_TITLED = rf"{_TITLED}(?:['’-]{_TITLED})*"
 _AS_FIELD = rf"^\s*(?i:{TITLES} )?({_TITLED} (?:\p{{Lu}}\. )?{_FAMILY_TITLED}|{_FAMILY_TITLED}, {_TITLED})(?: \p{{Lu}}\.)?\s*$"
+_TWO_TITLED = rf"(?<![\p{{L}}\p{{M}}])({_TITLED} (?:\p{{Lu}}\. )?{_FAMILY_TITLED}|{_FAMILY_TITLED}, {_TITLED})(?!\p{{L}})"
+_MAY_BE_TWO = r"\p{Lu}\p{Ll}+,? (?:\p{Lu}\. )?\p{Lu}\p{Ll}"  # saves time only: every name in title case holds it
 _AFTER_INTRO = rf"(?:(?<!\p{{L}})(?i:{_INTRODUCED})[,:]?|(?<![^\s(,])(?i:{TITLES}))\s+({_TITLED} (?:\p{{Lu}}\. )?{_FAMILY_TITLED}|{_FAMILY_TITLED}, {_TITLED})(?!\p{{L}})"
 
 
@@ -486,24 +491,27 @@ def name_evidence(texts: DataFrame, text: str, fields: DataFrame | None = None,
     if fields is not None:
         base = base.unionByName(fields.select(F.col(fields.columns[0]).alias("t"), F.lit(True).alias("field")))
     base = base.filter("t IS NOT NULL AND t <> ''").distinct()
-    n = base.filter("NOT field").count()
     base = base.select("field", F.when(F.col("t").rlike(_MAY_HAVE_NO_WORDS), F.regexp_replace("t", _NO_WORDS, " ~ ")).otherwise(F.col("t")).alias("t"))
     none = F.array().cast("array<string>")
-    in_text = lambda pattern: F.when(~F.col("field"), F.regexp_extract_all("t", F.lit(pattern), F.lit(1))).otherwise(none)
-    low = in_text(r"(?<![\p{L}])(\p{Ll}[\p{L}]*)")
-    first = F.transform(in_text(r"(?:^|[.!?\n]\s+|[-/\"—]\s+)(\p{L}[\p{L}]*)"), F.lower)
-    named = F.transform(F.regexp_extract_all("t", F.lit(_AFTER_GIVEN), F.lit(1)), F.lower)
-    titled = F.transform(F.regexp_extract_all("t", F.lit(r"(?<![\p{L}\p{M}])(\p{Lu}\p{Ll}+)(?!\p{L})"), F.lit(1)), F.lower)
-    pairs = F.transform(F.when(F.col("field"), F.regexp_extract_all("t", F.lit(_AS_FIELD), F.lit(1))).otherwise(F.regexp_extract_all("t", F.lit(_AFTER_INTRO), F.lit(1))), _pair)
+    all_of = lambda pattern, where: F.when(where, F.regexp_extract_all("t", F.lit(pattern), F.lit(1))).otherwise(none)
+    field, two = F.col("field"), F.col("t").rlike(_MAY_BE_TWO)
+    low = all_of(r"(?<![\p{L}])(\p{Ll}[\p{L}]*)", ~field)
+    first = F.transform(all_of(r"(?:^|[.!?\n]\s+|[-/\"—]\s+)(\p{L}[\p{L}]*)", ~field), F.lower)
+    titled = F.transform(all_of(r"(?<![\p{L}\p{M}])(\p{Lu}\p{Ll}+)(?!\p{L})", F.lit(True)), F.lower)
+    pairs = F.transform(F.concat(all_of(_AS_FIELD, field & two), all_of(_AFTER_INTRO, ~field & two)), _pair)
+    after_known = F.filter(F.transform(all_of(_TWO_TITLED, two), _pair), lambda x: x["w"].isin(*sorted(known)) if known else F.lit(False))
     alone = F.lit(None).cast("string")
-    tagged = [F.transform(F.array_distinct(ws), lambda w: F.struct(w.alias("w"), F.lit(k).alias("k"), alone.alias("other"))) for k, ws in (("l", low), ("f", first), ("n", F.concat(named, F.transform(pairs, lambda x: x["other"]))), ("c", titled))]
+    other = lambda x: x["other"]
+    tagged = [F.transform(F.array_distinct(ws), lambda w: F.struct(w.alias("w"), F.lit(k).alias("k"), alone.alias("other"))) for k, ws in (("l", low), ("f", first), ("n", F.concat(F.transform(after_known, other), F.transform(pairs, other))), ("c", titled))]
     tagged.append(F.transform(F.array_distinct(pairs), lambda x: F.struct(x["w"].alias("w"), F.lit("s").alias("k"), x["other"].alias("other"))))
+    tagged.append(F.array(F.struct(F.lit("").alias("w"), F.when(field, "t").otherwise("l").alias("k"), alone.alias("other"))))  # the empty word counts the texts
     seen = base.select(F.explode(F.concat(*tagged)).alias("x")).groupBy("x.w", "x.k", "x.other").agg(F.count("*").alias("n"))
     sums = [F.coalesce(F.sum(F.when(F.col("k") == k, F.col("n"))), F.lit(0)).alias(k) for k in "lfncs"]
-    words = seen.groupBy("w").agg(*sums, F.count_if(F.col("k") == "s").alias("partners"))
+    words = materialise(seen.groupBy("w").agg(*sums, F.count_if(F.col("k") == "s").alias("partners")), "words")
+    n = words.filter("w = ''").agg(F.coalesce(F.sum("l"), F.lit(0))).first()[0]
     common = (F.greatest("l", "f") >= max(least, share * n)) & (F.col("n") <= F.greatest("l", "f"))
     given = ~common & (F.col("partners") >= partners) & (F.col("s") >= strong * F.col("c"))
-    rows = words.select("w", common.alias("common"), given.alias("given")).filter("common OR given").limit(cap + 1).collect()
+    rows = words.select("w", common.alias("common"), given.alias("given")).filter("w <> '' AND (common OR given)").limit(cap + 1).collect()
     if len(rows) > cap:
         raise ValueError("too many common words and given names")
     return NameWords(frozenset(_bare(r.w) for r in rows if r.common), known | frozenset(b for r in rows if r.given and (b := _bare(r.w)) not in _PLAIN_SET))
