@@ -2,13 +2,20 @@
 
 Item-sized windows of words are embedded by the CGK random walk, which turns edit distance into
 Hamming distance; repeated bit sampling of the embeddings gives LSH keys that near windows share
-with the recall wanted; candidates are verified by exact edit distance.
+with the recall wanted; documents and items meet in a join on the keys, and candidates are verified
+by exact edit distance.
+
+Neither side is held whole: the items' keys and the documents' keys are tables. What is broadcast is
+one bit table of the items' runs of words of a size fixed by a parameter; it decides which places of
+a document are embedded at all, which loses nothing (see :func:`gram_rule`).
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -91,108 +98,197 @@ def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
         if min(cur) > limit:
             return limit + 1
         prev = cur
-    return prev[-1]
-
-
-class Index:
-    """LSH tables of every window of the items in a block."""
-
-    def __init__(self, items: list[tuple[int, str]], window: int, edits: int, emb: Embedding):
-        self.window, self.edits, self.emb = window, edits, emb
-        hashes, owner, starts = [], [], []
-        at = 0
-        for item, text in items:
-            h = word_hashes(words(text))
-            n = len(h) - window + 1
-            if n > 0:
-                starts.extend(range(at, at + n))
-                owner.extend([item] * n)
-                hashes.append(h)
-                at += len(h)
-        self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        self.starts, self.owner = np.array(starts, np.int64), np.array(owner, np.int64)
-        self.vocabulary = np.unique(self.hashes)
-        self.tables = []
-        for key in emb.keys(self.hashes, self.starts) if len(self.starts) else ():
-            order = np.argsort(key, kind="stable")
-            self.tables.append((key[order], order))
-
-    def search(self, h: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(window start in ``h``, item, edits), once per start and window of an item, with the fewest
-        edits. ``ends``: for each word, where its document ends.
-
-        Windows of window - edits to window + edits words are looked up, as an added or missing word
-        changes the length. Those with fewer words of the items' vocabulary than so many edits leave
-        can't be that near to any item and are left out first.
-        """
-        w = self.window
-        if not len(self.starts):
+    return min(prev[-1], limit + 1)
+
+
+#: A window as a table row: its words as hashes.
+_ITEM_KEYS = "key bigint, item_id bigint, length int, words binary"
+_DOC_KEYS = "key bigint, doc_id bigint, at bigint, words binary"
+
+
+def gram_rule(window: int, edits: int) -> tuple[int, int]:
+    """(q, least): a window of ``window`` words or more within ``edits`` edits of another shares at least
+    ``least`` of its runs of q words with it, as each edit touches q of them at most."""
+    for q in (4, 3, 2, 1):
+        least = window - q + 1 - q * edits
+        if least >= max(1, window // 4) or q == 1:
+            return q, max(least, 0)
+    raise AssertionError
+
+
+def gram_hashes(h: np.ndarray, q: int) -> np.ndarray:
+    """Hash of the run of q words at each place of ``h``."""
+    out = np.full(max(0, len(h) - q + 1), q, dtype=np.uint64)
+    for i in range(q):
+        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(out)])
+    return out
+
+
+@dataclass(frozen=True)
+class Plan:
+    """How windows are formed: passages of ``window`` words, or whole items of ``shortest`` words and more
+    that are shorter than that; within ``edits`` word edits; ``embeddings`` by length."""
+
+    window: int
+    shortest: int
+    edits: int
+    bits: int
+    embeddings: dict[int, Embedding]
+
+    def starts(self, n: int) -> tuple[int, range]:
+        """(length, starts) of the windows of an item of n words."""
+        length = min(n, self.window)
+        return length, range(n - length + 1) if length >= self.shortest else range(0)
+
+
+def make_plan(window: int, max_edits: int, recall: float, samples: int, shortest: int | None, bits: int) -> Plan:
+    shortest = window if shortest is None else shortest
+    return Plan(window, shortest, max_edits, bits, {n: Embedding(n, repeats_for(recall, max_edits, n, samples), samples) for n in range(shortest, window + 1)})
+
+
+def _item_rows(plan: Plan):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for item, text in zip(pdf["k"], pdf["t"]):
+                h = word_hashes(words(text))
+                length, at = plan.starts(len(h))
+                if not at:
+                    continue
+                starts = np.arange(len(at))
+                held = [h[s : s + length].tobytes() for s in at]
+                for key in plan.embeddings[length].keys(h, starts, length):
+                    yield pd.DataFrame({"key": key.view(np.int64), "item_id": np.full(len(at), item, np.int64), "length": np.full(len(at), length, np.int32), "words": held})
+
+    return run
+
+
+def _gram_bits(plan: Plan):
+    """Bit places, by length of the windows, of the runs of words of the items in a batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for text in pdf["t"]:
+                h = word_hashes(words(text))
+                length, at = plan.starts(len(h))
+                if at:
+                    places = np.unique(_places(plan, h, length))
+                    yield pd.DataFrame({"length": np.full(len(places), length, np.int32), "place": places})
+
+    return run
+
+
+def _places(plan: Plan, h: np.ndarray, length: int) -> np.ndarray:
+    grams = _mix(gram_hashes(h, gram_rule(length, plan.edits)[0]) + np.uint64(length))
+    return (grams >> np.uint64(64 - plan.bits)).astype(np.int64)
+
+
+def _doc_rows(plan: Plan, shared):
+    """Keys of the windows of documents that may be near an item's."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if not plan.embeddings:
             return
-        known = np.concatenate([[0], np.cumsum(np.isin(h, self.vocabulary))])
-        best: dict[tuple[int, int], int] = {}
-        for length in range(max(1, w - self.edits), w + self.edits + 1):
-            starts = np.arange(len(h) - length + 1)
-            if not len(starts):
-                continue
-            starts = starts[(starts + length <= ends[starts]) & (known[starts + length] - known[starts] >= max(w, length) - self.edits)]
-            if not len(starts):
+        table = np.unpackbits(np.frombuffer(zlib.decompress(shared.value), np.uint8)).view(bool)
+        for pdf in batches:
+            per_doc = [word_hashes(words(t)) for t in pdf["t"]]
+            if not per_doc:
                 continue
-            seen: set[tuple[int, int]] = set()
-            for (sorted_keys, order), keys in zip(self.tables, self.emb.keys(h, starts, length)):
-                lo, hi = np.searchsorted(sorted_keys, keys, "left"), np.searchsorted(sorted_keys, keys, "right")
-                for i in np.nonzero(hi > lo)[0]:
-                    s = int(starts[i])
-                    for j in order[lo[i] : hi[i]].tolist():
-                        if (s, j) in seen:
-                            continue
-                        seen.add((s, j))
-                        a = int(self.starts[j])
-                        d = int(not np.array_equal(h[s : s + w], self.hashes[a : a + w])) if self.edits == 0 else edit_distance(h[s : s + length], self.hashes[a : a + w], self.edits)
-                        if d <= self.edits:
-                            best[s, j] = min(d, best.get((s, j), d))
-        for (s, j), d in best.items():
-            yield s, int(self.owner[j]), d
-
-
-def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 12, max_edits: int = 0, recall: float = 0.95, samples: int = 4, block: int = 5000) -> DataFrame:
-    """doc_id, item_id, windows, min_edits, first_word: documents with a window of ``window`` words
-    within ``max_edits`` word edits (changed, added or missing words) of a window of the item.
-    ``windows`` counts the pairs of a start in the document and a window of the item, ``first_word`` is
-    the first start with the fewest edits.
-
-    ``max_edits`` = 0 finds every such document (equal windows always share all keys); above it,
-    near windows are found with at least about ``recall``. All windows of whole texts are compared.
-    Items are held as LSH tables in blocks of ``block`` items, one pass over the documents each, so
-    what is broadcast has a bound. Null and empty texts and items shorter than the window give no
-    row; a repeated doc_id gives one row per item.
+            sizes = np.fromiter((len(x) for x in per_doc), np.int64, len(per_doc))
+            stops = np.cumsum(sizes)
+            h = np.concatenate(per_doc)
+            ends, ids = np.repeat(stops, sizes), np.repeat(pdf["d"].to_numpy(np.int64), sizes)
+            first = np.repeat(stops - sizes, sizes)
+            for length, embedding in plan.embeddings.items():
+                q, _ = gram_rule(length, plan.edits)
+                if len(h) < q:
+                    continue
+                known = np.concatenate([[0], np.cumsum(table[_places(plan, h, length)])])
+                for n in range(max(1, length - plan.edits), length + plan.edits + 1):
+                    least = max(n, length) - q + 1 - q * plan.edits
+                    starts = np.arange(len(h) - n + 1)
+                    if n >= q and least > 0:
+                        starts = starts[known[starts + n - q + 1] - known[starts] >= least]
+                    starts = starts[starts + n <= ends[starts]]
+                    if not len(starts):
+                        continue
+                    held = [h[s : s + n].tobytes() for s in starts.tolist()]
+                    for key in embedding.keys(h, starts, n):
+                        yield pd.DataFrame({"key": key.view(np.int64), "doc_id": ids[starts], "at": starts - first[starts], "words": held})
+
+    return run
+
+
+def edit_distances(a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
+    """:func:`edit_distance` of each row of ``a`` from the same row of ``b``, all rows at once and only in the
+    band of cells that ``limit`` edits can reach."""
+    n, m = a.shape[1], b.shape[1]
+    far = limit + 1
+    if abs(n - m) > limit:
+        return np.full(len(a), far, np.int64)
+    outside = np.full(len(a), far, np.int64)
+    row = {j: np.full(len(a), j, np.int64) for j in range(min(m, limit) + 1)}
+    for i in range(1, n + 1):
+        new = {0: np.full(len(a), i, np.int64)} if i <= limit else {}
+        for j in range(max(1, i - limit), min(m, i + limit) + 1):
+            cell = row.get(j - 1, outside) + (a[:, i - 1] != b[:, j - 1])
+            cell = np.minimum(cell, np.minimum(row.get(j, outside), new.get(j - 1, outside)) + 1)
+            new[j] = np.minimum(cell, far)
+        row = new
+    return row[m]
+
+
+def _verified(limit: int):
+    """Candidates with their distance, where it is within ``limit``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sizes = (pdf["words"].map(len) * 1_000_000 + pdf["other"].map(len)).to_numpy(np.int64)
+            for size in np.unique(sizes):
+                part = pdf[sizes == size]
+                both = [np.frombuffer(b"".join(part[c]), np.uint64).reshape(len(part), -1) for c in ("words", "other")]
+                found = part[["doc_id", "item_id", "at"]].assign(edits=edit_distances(*both, limit))
+                yield found[found["edits"] <= limit]
+
+    return run
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 12, max_edits: int = 0, recall: float = 0.95, samples: int = 4, shortest: int | None = None, max_bits: int = 28, salts: int = 4) -> DataFrame:
+    """doc_id, item_id, windows, min_edits, first_word: documents with a passage within ``max_edits`` word
+    edits (changed, added or missing words) of a window of the item. An item's windows are its runs of
+    ``window`` words; an item of fewer words, but at least ``shortest``, is a window as a whole (not by
+    default). ``windows`` counts the different places of the document, ``first_word`` is the first with
+    the fewest edits.
+
+    ``max_edits`` = 0 finds every such document, and so does any setting for passages without an edit
+    (equal windows always share all keys); above it, near windows are found with at least about
+    ``recall``. All windows of whole texts are compared, in one pass over the documents.
+
+    Items give a table of keys, one row per window and repeat, and a bit table of their runs of words
+    with at least 8 places per run, up to 2 ** ``max_bits`` places (32 MB), which is put together from
+    distinct places and broadcast.
+    Documents give keys only where enough of their runs are in it: a fuller table lets more through and
+    never loses a window. Both are joined on the key with the documents spread over ``salts``, so a
+    window that many documents share isn't one task; equal windows of one item meet once. Null and empty
+    texts and shorter items give no row; a repeated doc_id gives one row per item.
     """
     spark = docs.sparkSession
-    emb = Embedding(window, repeats_for(recall, max_edits, window, samples), samples)
-    keyed = items.select(F.col(item_key).cast("bigint").alias("k"), F.col(item_text).alias("t")).filter("k IS NOT NULL AND t IS NOT NULL")
-    rows = [(r.k, r.t) for r in keyed.orderBy("k").toLocalIterator()]  # the query set; see block
-    blocks = [rows[i : i + block] for i in range(0, len(rows), block)] or [[]]
-    base = spread(docs.select(F.col(doc_key).cast("bigint").alias("d"), F.col(doc_text).alias("t")).filter("t IS NOT NULL AND t <> ''"))
-    out = None
-    for part in blocks:
-        shared = spark.sparkContext.broadcast(Index(part, window, max_edits, emb))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = shared.value
-            for pdf in batches:
-                per_doc = [word_hashes(words(t)) for t in pdf["t"]]
-                sizes = np.fromiter((len(x) for x in per_doc), np.int64, len(per_doc))
-                stops = np.cumsum(sizes)
-                h = np.concatenate(per_doc) if len(per_doc) else np.zeros(0, np.uint64)
-                found: dict[tuple[int, int], list[int]] = {}
-                for s, item, d in index.search(h, np.repeat(stops, sizes)):
-                    doc = int(np.searchsorted(stops, s, "right"))
-                    at = s - int(stops[doc] - sizes[doc])
-                    hit = found.setdefault((doc, item), [0, d, at])
-                    hit[0] += 1
-                    hit[1], hit[2] = min((hit[1], hit[2]), (d, at))
-                keys = pdf["d"].to_numpy()
-                yield pd.DataFrame([(keys[doc], item, *v) for (doc, item), v in found.items()], columns=["doc_id", "item_id", "windows", "min_edits", "first_word"])
-
-        got = base.mapInPandas(run, "doc_id bigint, item_id bigint, windows bigint, min_edits bigint, first_word bigint")
-        out = got if out is None else out.unionByName(got)
-    return out.groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"), F.min(F.struct("min_edits", "first_word")).alias("m")).select("doc_id", "item_id", "windows", "m.min_edits", "m.first_word")
+    base_items = items.select(F.col(item_key).cast("bigint").alias("k"), F.col(item_text).alias("t")).filter("k IS NOT NULL AND t IS NOT NULL AND t <> ''")
+    size = base_items.agg(F.sum(F.length("t"))).first()[0] or 0  # a run of words ends at a character of its own
+    plan = make_plan(window, max_edits, recall, samples, shortest, min(max_bits, max(12, size.bit_length() + 3)))
+    places = base_items.select("t").mapInPandas(_gram_bits(plan), "length int, place bigint").distinct()
+    word = F.expr("bit_or(shiftleft(1L, 31 - CAST(place & 31 AS INT)))")
+    table, lengths = np.zeros(1 << (plan.bits - 5), ">u4"), set()
+    for r in places.groupBy("length", F.shiftright("place", 5).alias("at")).agg(word.alias("bits")).collect():  # at most 2 ** (bits - 5) rows a length
+        table[r.at] |= r.bits
+        lengths.add(r.length)
+    plan = replace(plan, embeddings={n: e for n, e in plan.embeddings.items() if n in lengths})
+    shared = spark.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
+    keyed = base_items.mapInPandas(_item_rows(plan), _ITEM_KEYS).distinct()
+    base = spread(docs.select(F.col(doc_key).cast("bigint").alias("d"), F.col(doc_text).alias("t")).filter("d IS NOT NULL AND t IS NOT NULL AND t <> ''"))
+    found = base.mapInPandas(_doc_rows(plan, shared), _DOC_KEYS).withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(salts).cast("bigint")))
+    salted = keyed.withColumn("salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)"))).select("key", "salt", "item_id", F.col("words").alias("other"))
+    pairs = found.join(salted, ["key", "salt"]).select("doc_id", "at", "item_id", "words", "other").distinct()
+    near = pairs.mapInPandas(_verified(max_edits), "doc_id bigint, item_id bigint, at bigint, edits bigint")
+    per_place = near.groupBy("doc_id", "item_id", "at").agg(F.min("edits").alias("edits"))
+    out = per_place.groupBy("doc_id", "item_id").agg(F.count("*").alias("windows"), F.min(F.struct("edits", "at")).alias("m"))
+    return out.select("doc_id", "item_id", "windows", F.col("m.edits").alias("min_edits"), F.col("m.at").alias("first_word"))

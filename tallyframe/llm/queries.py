@@ -57,12 +57,14 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leak.find_leaks(read_table(spark, d, "documents"), read_table(spark, d, "benchmark")).select("doc_id", "item_id")
+    """Of the passages within one edit, those that have 12 words of the item as they are."""
+    near = leak.find_leaks(read_table(spark, d, "documents"), read_table(spark, d, "benchmark"), max_edits=1)
+    return near.filter("min_edits = 0").select("doc_id", "item_id")
 
 
 def p8_near(spark: SparkSession, d: str) -> DataFrame:
-    """Also passages with one word changed, added or missing."""
-    return leak.find_leaks(read_table(spark, d, "documents"), read_table(spark, d, "benchmark"), max_edits=1)
+    """Also passages with one word changed, added or missing, and whole items of 6 to 11 words."""
+    return leak.find_leaks(read_table(spark, d, "documents"), read_table(spark, d, "benchmark"), max_edits=1, shortest=6)
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:

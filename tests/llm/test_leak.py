@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tallyframe.llm import leak as L
 
 WORDS = [f"w{i}" for i in range(60)]
@@ -21,8 +23,6 @@ def corpus(seed=2):
 
 
 def near(a, b, k):
-    import numpy as np
-
     return L.edit_distance(np.array([hash(x) for x in a]), np.array([hash(x) for x in b]), k) <= k
 
 
@@ -38,7 +38,7 @@ def test_exact_passages(spark):
             y = L.words(x)
             if {tuple(w[j : j + 12]) for j in range(len(w) - 11)} & {tuple(y[j : j + 12]) for j in range(len(y) - 11)}:
                 want.add((d, i))
-    rows = [(r.doc_id, r.item_id) for r in L.find_leaks(df, it, block=11).collect()]
+    rows = [(r.doc_id, r.item_id) for r in L.find_leaks(df, it).collect()]
     assert set(rows) == want and len(rows) == len(want) > 10
     assert L.find_leaks(df.limit(0), it).count() == 0
     assert L.find_leaks(df, it.limit(0)).count() == 0
@@ -85,3 +85,26 @@ def test_one_edit_at_every_place(spark):
 
 def test_words_ignore_marks():
     assert L.words("+ The Qu­ick\n// ＢROWN_fox's") == ["the", "quick", "brown", "fox", "s"]
+
+
+def test_distances_at_once():
+    rng = np.random.default_rng(5)
+    for n, m in ((5, 5), (5, 6), (4, 6), (3, 9), (1, 1)):
+        a, b = rng.integers(0, 3, (200, n)).astype(np.uint64), rng.integers(0, 3, (200, m)).astype(np.uint64)
+        for limit in (0, 1, 2, 3):
+            assert L.edit_distances(a, b, limit).tolist() == [L.edit_distance(x, y, limit) for x, y in zip(a, b)]
+
+
+def test_gram_rule_loses_nothing():
+    rng = random.Random(8)
+    for _ in range(3000):
+        n, edits = rng.randint(4, 14), rng.randint(0, 2)
+        a = [rng.randrange(9) for _ in range(n)]
+        b = list(a)
+        for _ in range(edits):
+            i = rng.randrange(len(b))
+            b[i : i + rng.randint(0, 1)] = [] if rng.random() < 0.4 and len(b) > 1 else [99]
+        q, _ = L.gram_rule(n, edits)
+        grams = {tuple(a[i : i + q]) for i in range(n - q + 1)}
+        shared = sum(tuple(b[i : i + q]) in grams for i in range(len(b) - q + 1))
+        assert shared >= max(n, len(b)) - q + 1 - q * edits
