@@ -12,16 +12,16 @@ a document are embedded at all, which loses nothing (see :func:`gram_rule`).
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import spread
@@ -77,15 +77,37 @@ class Embedding:
             yield key
 
 
-def repeats_for(recall: float, edits: int, window: int, samples: int) -> int:
-    """Repeats that reach ``recall`` for windows ``edits`` edits apart, taking twice the edits squared
-    plus 4 per edit as the walks' Hamming distance (measured; see the tests)."""
+@lru_cache(maxsize=64)
+def repeats_for(recall: float, edits: int, window: int, samples: int, trials: int = 1500) -> int:
+    """Repeats with which, of ``trials`` seeded random windows with ``edits`` random edits, half of the
+    chance to miss that ``recall`` leaves isn't used up, for changed, missing and added words each."""
     if edits == 0:
         return 1
-    steps = WALK * window
-    differ = min(steps - 1, 2 * edits * edits + 4 * edits)
-    hit = max(1e-3, (1 - differ / steps) ** samples)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
+    rng = np.random.default_rng(7)
+    top = 256
+    emb = Embedding(window, top, samples)
+    plain = rng.integers(1, 2**62, (trials, window)).astype(np.uint64)
+    at = np.arange(trials) * window
+    want = np.array(list(emb.keys(plain.ravel(), at, window)))
+    most = 1
+    for kind in ("changed", "missing", "added"):
+        other = plain
+        for _ in range(edits):
+            n = other.shape[1]
+            place = rng.integers(0, n, trials)
+            grid = np.arange(n + 1 if kind == "added" else n)
+            if kind == "changed":
+                other = np.where(grid == place[:, None], rng.integers(1, 2**62, (trials, 1)).astype(np.uint64), other)
+            elif kind == "missing" and n > 1:
+                other = other[grid != place[:, None]].reshape(trials, n - 1)
+            elif kind == "added":
+                moved = np.minimum(grid - (grid > place[:, None]), n - 1)
+                other = np.where(grid == place[:, None], rng.integers(1, 2**62, (trials, 1)).astype(np.uint64), np.take_along_axis(other, moved, 1))
+        n = other.shape[1]
+        hit = np.array(list(emb.keys(other.ravel(), np.arange(trials) * n, n))) == want
+        found = np.maximum.accumulate(hit, axis=0).mean(axis=1)
+        most = max(most, int(np.argmax(found >= (1 + recall) / 2)) + 1 if found[-1] >= (1 + recall) / 2 else top)
+    return most
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
@@ -102,8 +124,8 @@ def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
 
 
 #: A window as a table row: its words as hashes.
-_ITEM_KEYS = "key bigint, item_id bigint, length int, words binary"
-_DOC_KEYS = "key bigint, doc_id bigint, at bigint, words binary"
+_ITEM_KEYS = "item_id bigint, other binary, keys array<bigint>"
+_DOC_KEYS = "doc_id bigint, at bigint, words binary, keys array<bigint>"
 
 
 def gram_rule(window: int, edits: int) -> tuple[int, int]:
@@ -154,10 +176,9 @@ def _item_rows(plan: Plan):
                 length, at = plan.starts(len(h))
                 if not at:
                     continue
-                starts = np.arange(len(at))
-                held = [h[s : s + length].tobytes() for s in at]
-                for key in plan.embeddings[length].keys(h, starts, length):
-                    yield pd.DataFrame({"key": key.view(np.int64), "item_id": np.full(len(at), item, np.int64), "length": np.full(len(at), length, np.int32), "words": held})
+                held = [h[i : i + length].tobytes() for i in at]
+                keys = np.array(list(plan.embeddings[length].keys(h, np.arange(len(at)), length)))
+                yield pd.DataFrame({"item_id": np.full(len(at), item, np.int64), "other": held, "keys": list(keys.T.view(np.int64))})
 
     return run
 
@@ -212,8 +233,8 @@ def _doc_rows(plan: Plan, shared):
                     if not len(starts):
                         continue
                     held = [h[s : s + n].tobytes() for s in starts.tolist()]
-                    for key in embedding.keys(h, starts, n):
-                        yield pd.DataFrame({"key": key.view(np.int64), "doc_id": ids[starts], "at": starts - first[starts], "words": held})
+                    keys = np.array(list(embedding.keys(h, starts, n)))
+                    yield pd.DataFrame({"doc_id": ids[starts], "at": starts - first[starts], "words": held, "keys": list(keys.T.view(np.int64))})
 
     return run
 
@@ -247,12 +268,25 @@ def _verified(limit: int):
                 part = pdf[sizes == size]
                 both = [np.frombuffer(b"".join(part[c]), np.uint64).reshape(len(part), -1) for c in ("words", "other")]
                 found = part[["doc_id", "item_id", "at"]].assign(edits=edit_distances(*both, limit))
-                yield found[found["edits"] <= limit]
+                yield found[found["edits"] <= limit].drop_duplicates()
 
     return run
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 12, max_edits: int = 0, recall: float = 0.95, samples: int = 4, shortest: int | None = None, max_bits: int = 28, salts: int = 4) -> DataFrame:
+def _may_be_near(edits: int) -> Column:
+    """Necessary for windows ``words`` and ``other`` to be within ``edits`` edits, in the JVM: none leaves all
+    words, one leaves either the words before it or those after it, which are half of them."""
+    if edits == 0:
+        return F.col("words") == F.col("other")
+    if edits > 1:
+        return F.lit(True)
+    half = F.expr("8 * ((greatest(octet_length(words), octet_length(other)) DIV 8 - 1) DIV 2)").cast("int")
+    ends = lambda c: F.substring(F.col(c), F.octet_length(c) - half + 1, half)
+    starts = lambda c: F.substring(F.col(c), F.lit(1), half)
+    return (starts("words") == starts("other")) | (ends("words") == ends("other"))
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 12, max_edits: int = 0, recall: float = 0.95, samples: int = 10, shortest: int | None = None, max_bits: int = 28, salts: int = 8, broadcast_rows: int = 200_000) -> DataFrame:
     """doc_id, item_id, windows, min_edits, first_word: documents with a passage within ``max_edits`` word
     edits (changed, added or missing words) of a window of the item. An item's windows are its runs of
     ``window`` words; an item of fewer words, but at least ``shortest``, is a window as a whole (not by
@@ -265,30 +299,35 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_t
 
     Items give a table of keys, one row per window and repeat, and a bit table of their runs of words
     with at least 8 places per run, up to 2 ** ``max_bits`` places (32 MB), which is put together from
-    distinct places and broadcast.
-    Documents give keys only where enough of their runs are in it: a fuller table lets more through and
-    never loses a window. Both are joined on the key with the documents spread over ``salts``, so a
-    window that many documents share isn't one task; equal windows of one item meet once. Null and empty
-    texts and shorter items give no row; a repeated doc_id gives one row per item.
+    distinct places and broadcast. Documents give keys only where enough of their runs are in it: a
+    fuller table lets more through and never loses a window. Both are joined on the key: item keys of up
+    to ``broadcast_rows`` rows (counted; about 200 bytes each) are broadcast, more are shuffled, with the
+    documents spread over ``salts``, so that a window that many documents share isn't one task. Null and
+    empty texts and shorter items give no row; a repeated doc_id gives one row per item.
     """
     spark = docs.sparkSession
     base_items = items.select(F.col(item_key).cast("bigint").alias("k"), F.col(item_text).alias("t")).filter("k IS NOT NULL AND t IS NOT NULL AND t <> ''")
     size = base_items.agg(F.sum(F.length("t"))).first()[0] or 0  # a run of words ends at a character of its own
     plan = make_plan(window, max_edits, recall, samples, shortest, min(max_bits, max(12, size.bit_length() + 3)))
-    places = base_items.select("t").mapInPandas(_gram_bits(plan), "length int, place bigint").distinct()
+    places = base_items.select("t").mapInPandas(_gram_bits(plan), "length int, place bigint").groupBy("length", "place").agg(F.count("*").alias("n"))
     word = F.expr("bit_or(shiftleft(1L, 31 - CAST(place & 31 AS INT)))")
-    table, lengths = np.zeros(1 << (plan.bits - 5), ">u4"), set()
-    for r in places.groupBy("length", F.shiftright("place", 5).alias("at")).agg(word.alias("bits")).collect():  # at most 2 ** (bits - 5) rows a length
+    table, grams, lengths = np.zeros(1 << (plan.bits - 5), ">u4"), 0, set()
+    for r in places.groupBy("length", F.shiftright("place", 5).alias("at")).agg(word.alias("bits"), F.sum("n").alias("n")).collect():  # at most 2 ** (bits - 5) rows a length
         table[r.at] |= r.bits
+        grams += r.n
         lengths.add(r.length)
     plan = replace(plan, embeddings={n: e for n, e in plan.embeddings.items() if n in lengths})
     shared = spark.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
-    keyed = base_items.mapInPandas(_item_rows(plan), _ITEM_KEYS).distinct()
+    rows = grams * max((e.repeats for e in plan.embeddings.values()), default=1)  # an item has no more windows than runs of words
     base = spread(docs.select(F.col(doc_key).cast("bigint").alias("d"), F.col(doc_text).alias("t")).filter("d IS NOT NULL AND t IS NOT NULL AND t <> ''"))
-    found = base.mapInPandas(_doc_rows(plan, shared), _DOC_KEYS).withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(salts).cast("bigint")))
-    salted = keyed.withColumn("salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)"))).select("key", "salt", "item_id", F.col("words").alias("other"))
-    pairs = found.join(salted, ["key", "salt"]).select("doc_id", "at", "item_id", "words", "other").distinct()
-    near = pairs.mapInPandas(_verified(max_edits), "doc_id bigint, item_id bigint, at bigint, edits bigint")
+    found = base.mapInPandas(_doc_rows(plan, shared), _DOC_KEYS).withColumn("key", F.explode("keys")).drop("keys")
+    keyed = base_items.mapInPandas(_item_rows(plan), _ITEM_KEYS).withColumn("key", F.explode("keys")).drop("keys").distinct()
+    if rows <= broadcast_rows:
+        pairs = found.join(F.broadcast(keyed), "key")
+    else:
+        salted = keyed.withColumn("salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)"))).hint("merge")
+        pairs = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(salts).cast("bigint"))).join(salted, ["key", "salt"])
+    near = pairs.filter(_may_be_near(max_edits)).select("doc_id", "item_id", "at", "words", "other").mapInPandas(_verified(max_edits), "doc_id bigint, item_id bigint, at bigint, edits bigint")
     per_place = near.groupBy("doc_id", "item_id", "at").agg(F.min("edits").alias("edits"))
     out = per_place.groupBy("doc_id", "item_id").agg(F.count("*").alias("windows"), F.min(F.struct("edits", "at")).alias("m"))
     return out.select("doc_id", "item_id", "windows", F.col("m.edits").alias("min_edits"), F.col("m.at").alias("first_word"))

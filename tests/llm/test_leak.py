@@ -44,6 +44,40 @@ def test_exact_passages(spark):
     assert L.find_leaks(df, it.limit(0)).count() == 0
 
 
+def test_joined_in_shuffle(spark):
+    """Item tables too large to broadcast give the same rows."""
+    docs, items = corpus(6)
+    df, it = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    for edits in (0, 1):
+        a, b = (sorted(tuple(r) for r in L.find_leaks(df, it, max_edits=edits, broadcast_rows=n).collect()) for n in (0, 10**6))
+        assert a == b and len(a) > 10
+
+
+def test_recall_at_a_thousand_edits(spark):
+    """The registered setting (one edit) on 1000 seeded passages, and two edits."""
+    rng = random.Random(21)
+    for edits in (1, 2):
+        docs, items = [], []
+        for i in range(1000):
+            w = [f"t{rng.randrange(5000)}" for _ in range(rng.choice([12, 20, 30]))]
+            items.append((i, " ".join(w)))
+            s = rng.randrange(len(w) - 11)
+            p = w[s : s + 12]
+            for _ in range(edits):
+                at = rng.randrange(len(p))
+                p[at : at + rng.randint(0, 1)] = [] if rng.random() < 0.3 else ["zzz"]
+            docs.append((i, " ".join(["pad"] * 20 + p + ["pad"] * 20)))
+        got = L.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), max_edits=edits)
+        assert got.filter("doc_id = item_id").count() >= 950
+
+
+def test_short_items_as_a_whole(spark):
+    docs = spark.createDataFrame([(1, "see the quick brown fox jumps over it"), (2, "the quick brown ox jumps over")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, "the quick brown fox jumps over")], "item_id bigint, text string")
+    assert L.find_leaks(docs, items, max_edits=1).count() == 0
+    assert sorted((r.doc_id, r.min_edits) for r in L.find_leaks(docs, items, max_edits=1, shortest=6).collect()) == [(1, 0), (2, 1)]
+
+
 def test_near_passages_recall(spark):
     rng = random.Random(9)
     docs, items, truth = [], [(i, " ".join(rng.choice(WORDS) for _ in range(14))) for i in range(60)], 0
