@@ -79,11 +79,16 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return visual.lookalike_pairs(read_table(spark, d, "documents"), "doc_id", "text")
 
 
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with the class of those that look like it."""
+    return visual.lookalike_classes(read_table(spark, d, "documents"), "doc_id", "text")
+
+
 def p10_forms(spark: SparkSession, d: str) -> DataFrame:
     return visual.normalise(read_table(spark, d, "documents"), ["doc_id"], "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_merged_slices, p2_found, p2_languages, p3_found, p3_redacted, p8_found, p8_near, p9_drawn, p9_report, p10_found, p10_forms)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_merged_slices, p2_found, p2_languages, p3_found, p3_redacted, p8_found, p8_near, p9_drawn, p9_report, p10_found, p10_classes, p10_forms)}
 
 _PS = ", ".join(map(str, PERCENTILES))
 ORACLE = {

@@ -35,7 +35,15 @@ LOOKALIKES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
     # Armenian and Latin variants
     "օ": "o", "ս": "u", "ո": "n", "հ": "h", "ց": "g", "ɑ": "a", "ɡ": "g", "ı": "i", "ɩ": "i", "ǀ": "l",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭵ": "i", "Ꭹ": "y", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮍ": "Y", "Ꮐ": "G", "Ꮒ": "h", "Ꮓ": "Z", "Ꮟ": "b",
+    "Ꮢ": "R", "Ꮤ": "W", "Ꮥ": "S", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ꮷ": "d", "Ᏻ": "G", "Ᏼ": "B",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V",
+    "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
 }
+# small capitals whose small letter has the same shape
+LOOKALIKES |= {unicodedata.lookup(f"LATIN LETTER SMALL CAPITAL {c}"): c.lower() for c in "COUVWZ"} | {"ꜱ": "s"}
 _STRIP = {c: None for lo, hi in IGNORABLE for c in range(lo, hi + 1)} | {c: " " for c in SPACES}
 _LOOK = _STRIP | {ord(k): v for k, v in LOOKALIKES.items()}
 
@@ -51,7 +59,7 @@ def canonical(text: str, fold: bool = True, lookalikes: bool = True) -> str:
     t = unicodedata.normalize("NFKD", text).translate(_LOOK if lookalikes else _STRIP)
     t = unicodedata.normalize("NFC", t)
     if fold:
-        t = unicodedata.normalize("NFC", unicodedata.normalize("NFKD", t.casefold()).translate(_LOOK if lookalikes else _STRIP))
+        t = unicodedata.normalize("NFC", unicodedata.normalize("NFKD", t.casefold()).translate(_LOOK if lookalikes else _STRIP).casefold())
     return t
 
 
@@ -133,3 +141,24 @@ def lookalike_pairs(df: DataFrame, key: str, text: str, salts: int = 16) -> Data
     again = left.withColumn("salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")))
     both = again.join(salted.select("look", F.col("exact").alias("xb"), "salt", F.col("id").alias("ib")), ["look", "xb", "salt"])
     return both.filter("ia <> ib").select(F.least("ia", "ib").alias("doc_id_a"), F.greatest("ia", "ib").alias("doc_id_b")).distinct()
+
+
+def lookalike_classes(df: DataFrame, key: str, text: str, hot: int = 1000) -> DataFrame:
+    """One row per row with non-empty text: ``key``, class_id (the smallest key of the texts that look the
+    same), links (rows of the class with another text) and copies (other rows with the same text).
+
+    Rows are counted per text before classes are formed, so a class is an aggregation of its different
+    texts, however many rows it has. Texts with more than 1 / ``hot`` of the rows are fewer than ``hot``
+    and meet their rows by a broadcast; of the others none has more rows than that in one task. Empty and
+    null texts have no row; a repeated key gives its rows again.
+    """
+    rows = materialise(look_classes(df, key, text), "looks")
+    by = ["fold", "look", "exact"]
+    texts = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    classes = texts.groupBy("fold", "look").agg(F.min("least").alias("class_id"), F.sum("n").alias("rows"))
+    info = texts.join(classes, ["fold", "look"]).select(*by, "class_id", (F.col("rows") - F.col("n")).alias("links"), (F.col("n") - 1).alias("copies"))
+    info = materialise(info, "classes")
+    bound = rows.count() // hot
+    large = F.broadcast(info.filter(F.col("copies") > bound))
+    out = rows.join(large, by).unionByName(rows.join(large.select(*by), by, "left_anti").join(info.filter(F.col("copies") <= bound), by))
+    return out.select(F.col("id").alias(key), "class_id", "links", "copies")
