@@ -2,22 +2,25 @@
 
 A value's own unit text counts first. Bare numbers take the unit of their source, found by a
 source graph: sources are linked through the entities they share, each pair gets a robust scale
-and offset, the scale is snapped to a known conversion, and units spread from the sources whose
-note names one.
+and offset, both are snapped to a known conversion, and units spread from the sources whose unit is
+known: those whose note names one, and the values that name their own, which stand as one more source.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import let
+from ..sources.shared import materialise
 
 #: Common units (inches) in one unit of each length.
 LENGTH_UNITS = {"in": 1.0, "ft": 12.0, "cm": 1 / 2.54, "mm": 1 / 25.4, "m": 100 / 2.54}
+#: Scale and offset to degrees Celsius.
+TEMPERATURE_UNITS = {"C": (1.0, 0.0), "F": (5 / 9, -160 / 9), "K": (1.0, -273.15)}
+STATED = "\0stated"  # the source of values that name their unit, in the common unit
 MISSING_TEXT = ("", "-", "--", "n/a", "na", "none", "null", "nan", "unknown", "tbd", "not available")  # fixed values
 
 
@@ -108,113 +111,170 @@ def money_factor(unit: str, rates: dict[str, float]) -> float:
     return rates[code] * (0.01 if unit.endswith("/100") else 1000.0 if unit.endswith("*1000") else 1.0)
 
 
+@dataclass
+class Edge:
+    """What the shared entities tell about two sources: the medians of both in the lower and the upper half
+    of the entities (by a), the line through them and how far ratios lie from their median."""
+
+    a: str
+    b: str
+    entities: int
+    low: tuple[float, float]
+    high: tuple[float, float]
+    scale: float
+    offset: float
+    spread: float
+
+    def turned(self) -> Edge:
+        scale = 1 / self.scale if self.scale else float("inf")
+        return Edge(self.b, self.a, self.entities, self.low[::-1], self.high[::-1], scale, -self.offset * scale, self.spread)
+
+    def miss(self, unit_a: tuple[float, float], unit_b: tuple[float, float]) -> float:
+        """How far the line that two units imply lies from the medians of b, relative to the smaller."""
+        scale, offset = unit_a[0] / unit_b[0], (unit_a[1] - unit_b[1]) / unit_b[0]
+        pairs = [(scale * x + offset, y) for x, y in (self.low, self.high)]
+        return sum(abs(p - y) / max(1e-9, min(abs(p), abs(y))) for p, y in pairs) / len(pairs)
+
+
 @dataclass
 class UnitGraph:
-    """``factors``: common units per recorded unit of each source. ``units``: their names.
-    ``edges``: (a, b, entities, scale, offset, spread) as estimated. ``conflicts``: sources whose
-    stated unit isn't the one the estimates snap to."""
+    """``units`` of the sources and their ``factors``: scale and offset to the common unit. ``edges`` as
+    estimated. ``conflicts``: sources whose stated unit isn't the one the estimates snap to."""
 
-    factors: dict[str, float]
+    factors: dict[str, tuple[float, float]]
     units: dict[str, str]
-    edges: list[tuple] = field(default_factory=list)
+    edges: list[Edge] = field(default_factory=list)
     conflicts: dict[str, str] = field(default_factory=dict)
 
 
-def pair_scales(df: DataFrame, entity: list[str], source: str, value: str, accuracy: int = 2000) -> DataFrame:
-    """One row per pair of sources (a < b): shared entities, robust scale and offset of b over a.
-
-    Each (entity, source) is first reduced to its median (a mergeable sketch, so a hot entity is
-    combined before the shuffle). scale = median of the entities' ratios b/a; offset = median of
-    b - scale * a; spread = median absolute deviation of ln(b/a). Zero, negative, NaN and null
-    values don't take part. The self-join is on the entity and holds at most one row per source.
-    """
+def source_medians(df: DataFrame, quantity: str, entity: list[str], source: str, value: str, accuracy: int = 2000) -> DataFrame:
+    """One row per quantity, entity and source: the median of its values, from a mergeable sketch, so that a
+    hot entity is combined before the shuffle. NaN and null values and null keys don't take part."""
     v = F.col(value).cast("double")
-    ok = df.filter(v.isNotNull() & ~F.isnan(v) & (v > 0) & F.col(source).isNotNull())
+    ok = df.filter(v.isNotNull() & ~F.isnan(v) & F.col(source).isNotNull())
     for c in entity:
         ok = ok.filter(F.col(c).isNotNull())
-    med = ok.groupBy(*[F.col(c).alias(f"__e{i}") for i, c in enumerate(entity)], F.col(source).alias("__s")).agg(F.percentile_approx(v, 0.5, accuracy).alias("__m"))
-    keys = [f"__e{i}" for i in range(len(entity))]
-    a = med.select(*keys, F.col("__s").alias("a"), F.col("__m").alias("__va"))
-    b = med.select(*keys, F.col("__s").alias("b"), F.col("__m").alias("__vb"))
-    pairs = a.join(b, keys).filter(F.col("a") < F.col("b")).withColumn("__l", F.ln(F.col("__vb") / F.col("__va")))
-    scale = pairs.groupBy("a", "b").agg(F.percentile_approx("__l", 0.5, accuracy).alias("__ls"), F.count("*").alias("entities"))
-    dev = pairs.join(F.broadcast(scale), ["a", "b"])  # at most one row per pair of sources; the caller checks their number
-    return dev.groupBy("a", "b").agg(
-        F.first("entities").alias("entities"),
-        F.exp(F.first("__ls")).alias("scale"),
-        F.percentile_approx(F.col("__vb") - F.exp("__ls") * F.col("__va"), 0.5, accuracy).alias("offset"),
-        F.percentile_approx(F.abs(F.col("__l") - F.col("__ls")), 0.5, accuracy).alias("spread"),
-    )
+    return ok.groupBy(F.col(quantity).alias("quantity"), *[F.col(c).alias(f"__e{i}") for i, c in enumerate(entity)], F.col(source).alias("source")).agg(F.percentile_approx(v, 0.5, accuracy).alias("median"))
+
+
+def pair_lines(medians: DataFrame, accuracy: int = 2000) -> DataFrame:
+    """One row per quantity and pair of sources (a < b) with shared entities: their number, a robust line of
+    b over a, and the spread of the ratios.
+
+    The line goes through the medians of both sources in the lower and in the upper half of the
+    entities, which outliers hardly move; with fewer than two different values of a it goes through the
+    origin. spread = median absolute deviation of ln(b / a), 0 where signs differ. The self-join is on
+    the entity and holds one row per source.
+    """
+    keys = ["quantity", *[c for c in medians.columns if c.startswith("__e")]]
+    a = medians.select(*keys, F.col("source").alias("a"), F.col("median").alias("va"))
+    b = medians.select(*keys, F.col("source").alias("b"), F.col("median").alias("vb"))
+    pair = ["quantity", "a", "b"]
+    mid = lambda c, p=0.5: F.percentile_approx(c, p, accuracy)
+    pairs = a.join(b, keys).filter(F.col("a") < F.col("b")).withColumn("l", F.ln(F.try_divide("vb", "va")))
+    whole = pairs.groupBy(*pair).agg(mid("va").alias("ma"), mid("l").alias("ml"), F.count("*").alias("entities"))
+    dev = pairs.join(whole, pair)
+    low, high = F.col("va") <= F.col("ma"), F.col("va") >= F.col("ma")
+    out = dev.groupBy(*pair).agg(
+        F.first("entities").alias("entities"), mid(F.when(low, F.col("va"))).alias("a_low"), mid(F.when(low, F.col("vb"))).alias("b_low"),
+        mid(F.when(high, F.col("va"))).alias("a_high"), mid(F.when(high, F.col("vb"))).alias("b_high"), F.coalesce(mid(F.abs(F.col("l") - F.col("ml"))), F.lit(0.0)).alias("spread"),
+    )
+    scale = F.when(F.col("a_high") > F.col("a_low"), (F.col("b_high") - F.col("b_low")) / (F.col("a_high") - F.col("a_low"))).otherwise(F.try_divide("b_high", "a_high"))
+    return out.withColumn("scale", F.coalesce(scale, F.lit(0.0))).withColumn("offset", F.col("b_low") - F.col("scale") * F.col("a_low"))
+
+
+def _affine(factor: float | tuple[float, float]) -> tuple[float, float]:
+    return factor if isinstance(factor, tuple) else (factor, 0.0)
 
 
-def solve_units(edges: list[tuple], sources: list[str], stated: dict[str, str], factors: dict[str, float], default: str, prefer: float = 0.05) -> UnitGraph:
-    """Spread units from the sources with a stated unit over the estimated scales.
+def solve_units(edges: list[Edge], sources: list[str], stated: dict[str, str], factors: dict[str, float | tuple[float, float]], default: str, prefer: float = 0.05) -> UnitGraph:
+    """Spread units from the sources with a stated unit along the edges, best linked sources first.
 
-    ``edges``: (a, b, entities, scale, offset, spread). A source without a stated unit takes the
-    known unit nearest (in log scale) to what its best linked neighbours imply, ``default`` if that is
-    within ``prefer`` of the nearest or if nothing links it. A stated unit always holds; if the
-    neighbours imply another, the source is listed in ``conflicts``.
+    A source without a stated unit takes the known conversion whose line comes nearest to the estimated
+    one at both ends of the shared entities, so scale and offset both decide; ``default`` if that comes
+    within ``prefer`` of the nearest, or if nothing links the source. Neighbours vote by their entities
+    and by how close and how tight the estimate is. A stated unit always holds; if the neighbours imply
+    another, the source is listed in ``conflicts``.
     """
-    near: dict[str, list[tuple]] = {s: [] for s in sources}
-    for a, b, n, scale, offset, spread in edges:
-        weight = n / (0.01 + spread)
-        near[a].append((weight, b, math.log(scale)))
-        near[b].append((weight, a, -math.log(scale)))
+    known_units = {u: _affine(f) for u, f in factors.items()}
+    near: dict[str, list[Edge]] = {s: [] for s in sources}
+    for e in edges:
+        near[e.a].append(e.turned())
+        near[e.b].append(e)
     known = dict(stated)
 
-    def implied(s: str) -> str | None:
+    def implied(s: str) -> tuple[str, float] | None:
         votes: dict[str, float] = {}
-        for weight, other, log_scale in near[s]:  # value_other / value_s = factor_s / factor_other
-            if other in known:
-                want = math.log(factors[known[other]]) + log_scale
-                miss = {u: abs(math.log(f) - want) for u, f in factors.items()}
+        for e in near[s]:
+            if e.a in known:
+                miss = {u: e.miss(known_units[known[e.a]], f) for u, f in known_units.items()}
                 best = min(miss, key=miss.get)
                 if default in miss and miss[default] <= miss[best] + prefer:
                     best = default
-                votes[best] = votes.get(best, 0) + weight / (0.02 + miss[best])
-        return max(votes, key=votes.get) if votes else None
+                votes[best] = votes.get(best, 0) + e.entities / (0.01 + e.spread) / (0.02 + miss[best])
+        return max(votes.items(), key=lambda v: v[1]) if votes else None
 
     graph = UnitGraph({}, {}, edges)
     for s in stated:
-        others = implied(s)
-        if others and others != stated[s]:
-            graph.conflicts[s] = others
+        others = implied(s) if s in near else None
+        if others and others[0] != stated[s]:
+            graph.conflicts[s] = others[0]
     pending = [s for s in sources if s not in known]
     while pending:
-        ready = {s: u for s in pending if (u := implied(s))}
+        ready = {s: found for s in pending if (found := implied(s))}
         if not ready:
-            ready = {s: default for s in pending}
-        known |= ready
-        pending = [s for s in pending if s not in known]
+            known |= {s: default for s in pending}
+            break
+        best = max(ready, key=lambda s: (ready[s][1], s))
+        known[best] = ready[best][0]
+        pending.remove(best)
     graph.units = known
-    graph.factors = {s: factors[u] for s, u in known.items()}
+    graph.factors = {s: known_units[u] for s, u in known.items()}
     return graph
 
 
-def fit_source_units(df: DataFrame, entity: list[str], source: str, value: str, stated: dict[str, str], factors: dict[str, float], default: str, max_sources: int = 500) -> UnitGraph:
-    """Estimate, snap and spread in one go. Sources are collected to the driver: at most
-    ``max_sources`` of them (an error beyond), so at most ``max_sources`` squared pairs."""
-    sources = [r[0] for r in df.select(source).filter(F.col(source).isNotNull()).distinct().limit(max_sources + 1).collect()]
-    if len(sources) > max_sources:
+def fit_source_units(df: DataFrame, quantity: str, entity: list[str], source: str, value: str, known: dict[str, tuple[dict, dict, str]], max_sources: int = 500) -> dict[str, UnitGraph]:
+    """Graph of each quantity in one go. ``known``: quantity -> (stated units, factors, default). At most
+    ``max_sources`` sources a quantity (an error beyond), so at most that many squared pairs reach the
+    driver."""
+    medians = materialise(source_medians(df, quantity, entity, source, value), "medians")
+    rows = medians.select("quantity", "source").distinct().limit(max_sources * len(known) + 1).collect()
+    if len(rows) > max_sources * len(known):
         raise ValueError(f"more than {max_sources} sources in {source!r}")
-    edges = [tuple(r) for r in pair_scales(df, entity, source, value).select("a", "b", "entities", "scale", "offset", "spread").collect()]
-    return solve_units(edges, sorted(sources), {s: u for s, u in stated.items() if s in set(sources)}, factors, default)
+    edges: dict[str, list[Edge]] = {q: [] for q in known}
+    for r in pair_lines(medians).collect():
+        edges[r.quantity].append(Edge(r.a, r.b, r.entities, (r.a_low, r.b_low), (r.a_high, r.b_high), r.scale, r.offset, r.spread))
+    out = {}
+    for q, (stated, factors, default) in known.items():
+        sources = sorted({r.source for r in rows if r.quantity == q})
+        out[q] = solve_units(sorted(edges[q], key=lambda e: (e.a, e.b)), sources, stated, factors, default)
+    return out
 
 
-def source_factor(source: Column, graph: UnitGraph, default: float) -> Column:
-    """Column of each row's source factor; ``default`` for null or unknown sources."""
-    if not graph.factors:
+def _by_source(source: Column, values: dict[str, float], default: float) -> Column:
+    if not values:
         return F.lit(default)
-    table = F.create_map(*[F.lit(x) for kv in sorted(graph.factors.items()) for x in kv])
+    table = F.create_map(*[F.lit(x) for kv in sorted(values.items()) for x in kv])
     return F.coalesce(F.try_element_at(table, source), F.lit(default))
 
 
+def source_factor(source: Column, graph: UnitGraph, default: float) -> Column:
+    """Column of each row's scale to the common unit; ``default`` for null or unknown sources."""
+    return _by_source(source, {s: f[0] for s, f in graph.factors.items()}, default)
+
+
+def to_common(value: Column, source: Column, graph: UnitGraph) -> Column:
+    """A bare value in the common unit, by scale and offset of its source; unknown sources are in it."""
+    return value * source_factor(source, graph, 1.0) + _by_source(source, {s: f[1] for s, f in graph.factors.items()}, 0.0)
+
+
 def common_units(cars: DataFrame, notes: DataFrame, rates: DataFrame, entity: tuple[str, ...] = ("make_name", "model_name")) -> DataFrame:
     """Heights in inches and prices in US dollars for every listing.
 
     Returns row_id, height_in (double), height_recorded_in_inches, price_usd (double),
     price_recorded_in_usd. Missing or unreadable heights and null prices give nulls; repeated rows
-    stay. ``notes`` and ``rates`` are the fixed tables of feeds and currencies (collected; an error
+    stay. The unit in the value, price_unit or description counts first, then the unit of the feed as its
+    note or else the graph gives it. Values are parsed once and handed over. ``notes`` and ``rates`` are the fixed tables of feeds and currencies (collected; an error
     beyond 500 rows).
     """
     fx_rows = rates.select("currency", "usd_per_unit").limit(501).collect()
@@ -231,19 +291,21 @@ def common_units(cars: DataFrame, notes: DataFrame, rates: DataFrame, entity: tu
         money_unit(F.col("price_unit")).alias("__pu0"), money_unit(F.col("description")).alias("__pu1"),
         *[F.upper(F.regexp_replace(F.col(c), r"[^\p{L}\p{N}]", "")).alias(k) for c, k in zip(entity, link)],
     )
-    base = base.withColumn("__pu", F.coalesce("__pu0", "__pu1"))
-    bare_h = base.filter(F.col("__h.raw").isNotNull()).select("feed", *link, F.col("__h.value").alias("__v"))
-    bare_p = base.filter(F.col("price").isNotNull() & F.col("__pu").isNull()).select("feed", *link, F.col("price").cast("double").alias("__v"))
+    base = materialise(base.withColumn("__pu", F.coalesce("__pu0", "__pu1")).drop("__pu0", "__pu1"), "units")
     stated_h = {r.feed: r.l for r in note_rows if r.feed is not None and r.l}
     stated_p = {r.feed: r.m for r in note_rows if r.feed is not None and r.m in money}
-    gh = fit_source_units(bare_h, link, "feed", "__v", stated_h, LENGTH_UNITS, "in")
-    gp = fit_source_units(bare_p, link, "feed", "__v", stated_p, money, "USD")
+    named = F.try_element_at(named_money, F.col("__pu"))
+    height = F.struct(F.lit("height").alias("q"), F.when(F.col("__h.raw").isNotNull(), F.col("feed")).otherwise(STATED).alias("s"), F.coalesce(F.col("__h.inches"), F.col("__h.value")).alias("v"))
+    price = F.struct(F.lit("price").alias("q"), F.when(F.col("__pu").isNull(), F.col("feed")).otherwise(STATED).alias("s"), (F.col("price") * F.when(F.col("__pu").isNull(), 1.0).otherwise(named)).alias("v"))
+    seen = base.select(*link, F.explode(F.array(height, price)).alias("x")).select(*link, "x.*").filter("v > 0")
+    graphs = fit_source_units(seen, "q", link, "s", "v", {"height": ({STATED: "in"} | stated_h, LENGTH_UNITS, "in"), "price": ({STATED: "USD"} | stated_p, money, "USD")})
+    gh, gp = graphs["height"], graphs["price"]
 
     feed_h = source_factor(F.col("feed"), gh, 1.0)
     grouped = F.when(F.abs(feed_h - LENGTH_UNITS["mm"]) < 1e-9, _number(F.col("__h.raw"), F.lit(True))).otherwise(F.col("__h.value"))
     height = F.coalesce(F.col("__h.inches"), grouped * feed_h)
     in_inches = F.when(F.col("__h.inches").isNotNull(), F.col("__h.unit") == "in").when(F.col("__h.raw").isNotNull(), feed_h == 1.0)
-    factor = F.coalesce(F.try_element_at(named_money, F.col("__pu")), source_factor(F.col("feed"), gp, 1.0))
+    factor = F.coalesce(named, source_factor(F.col("feed"), gp, 1.0))
     out = base.select(
         "row_id", height.alias("height_in"), in_inches.alias("height_recorded_in_inches"),
         F.round(F.col("price") * factor, 6).alias("price_usd"),

@@ -1,4 +1,5 @@
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -25,18 +26,60 @@ def test_money_unit(spark):
         assert r.u == cases[r.t], r.t
 
 
+def fit(df, stated, factors, default):
+    return U.fit_source_units(df.withColumn("q", F.lit("x")), "q", ["m"], "s", "v", {"x": (stated, factors, default)})["x"]
+
+
 def test_graph_spreads_and_snaps(spark):
     """Unnamed sources get the unit that the shared entities imply; a stated unit always holds."""
     rows = []
     for m in range(40):
         h = 50 + m * 0.5
         rows += [(f"m{m}", "a", h), (f"m{m}", "b", h * 2.54), (f"m{m}", "c", h * 25.4 * 1.003), (f"m{m}", "d", h), (f"m{m}", "e", h / 12)]
-    rows += [("m0", "a", float("nan")), ("m0", None, 3.0), (None, "a", 9.0), ("m1", "alone", None)]
+    rows += [("m0", "a", float("nan")), ("m0", None, 3.0), (None, "a", 9.0), ("m1", "alone", None), ("only", "apart", 4.0)]
     df = spark.createDataFrame(rows, "m string, s string, v double")
-    g = U.fit_source_units(df, ["m"], "s", "v", {"b": "cm", "e": "in"}, U.LENGTH_UNITS, "in")
+    g = fit(df, {"b": "cm", "e": "in"}, U.LENGTH_UNITS, "in")
     assert {k: g.units[k] for k in "abcd"} == {"a": "in", "b": "cm", "c": "mm", "d": "in"}
     assert g.units["e"] == "in" and g.conflicts["e"] == "ft"
-    assert g.units["alone"] == "in"
+    assert g.units["apart"] == "in" and "alone" not in g.units
+
+
+def test_offset_decides(spark):
+    """Celsius and Kelvin have one scale; only the offset tells them apart, through a source linked by another."""
+    rng = random.Random(3)
+    rows = []
+    for m in range(60):
+        c = rng.uniform(-15, 45)
+        noise = lambda: rng.gauss(0, 0.3) + (rng.random() < 0.05) * 400
+        rows += [(f"m{m}", "plain", c + noise()), (f"m{m}", "f", c * 9 / 5 + 32 + noise()), (f"m{m}", "far", c + 273.15 + noise() / 50 + 0.0)]
+    df = spark.createDataFrame(rows, "m string, s string, v double")
+    g = fit(df, {"plain": "C"}, U.TEMPERATURE_UNITS, "C")
+    assert g.units == {"plain": "C", "f": "F", "far": "K"}
+    wide = df.withColumn("x", U.to_common(F.col("v"), F.col("s"), g)).groupBy("m").pivot("s", ["plain", "f", "far"]).agg(F.max("x"))
+    off = wide.agg(F.median(F.abs(F.col("f") - F.col("plain"))).alias("f"), F.median(F.abs(F.col("far") - F.col("plain"))).alias("k")).first()
+    assert off.f < 1 and off.k < 1
+
+
+def test_feeds_without_any_note(spark):
+    """Only the graph can tell the units of these feeds: values that name their unit are the anchor."""
+    rng = random.Random(5)
+    rows, want = [], {}
+    kinds = {"a": 1.0, "b": 2.54, "c": 25.4, "d": 1 / 12}
+    for i in range(600):
+        m = rng.randrange(30)
+        inches = 50 + m + rng.gauss(0, 0.4)
+        feed = rng.choice(list(kinds))
+        named = rng.random() < 0.15
+        rows.append((i, feed, f"{inches:.2f} in" if named else f"{inches * kinds[feed]:.3f}", 100, "USD", None, "Make", f"m{m}"))
+        if not named and feed != "a":
+            want[i] = round(inches)
+    cars = spark.createDataFrame(rows, "row_id bigint, feed string, height string, price bigint, price_unit string, description string, make_name string, model_name string")
+    notes = spark.createDataFrame([(f, None) for f in kinds], "feed string, note string")
+    fx = spark.createDataFrame([("USD", 1.0)], "currency string, usd_per_unit double")
+    got = {r.row_id: r.common_value for r in U.converted_values(U.common_units(cars, notes, fx)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) <= 1 for i in want)
+    alone = U.solve_units([], sorted(kinds), {}, U.LENGTH_UNITS, "in")
+    assert set(alone.units.values()) == {"in"}  # without the graph no row would be converted
 
 
 def test_common_units_edges(spark):
