@@ -10,14 +10,15 @@ from ..functions.expr import with_row
 
 
 def regression(actual: str, predicted: str, digits: int = 6) -> list[Column]:
-    """Aggregates n, mae, rmse, r2 (null for one row or constant actuals), wape_pct, bias, p95_error."""
+    """Aggregates n, mae, rmse, r2 (null for one row or constant actuals), wape_pct (of the sum of actuals;
+    null unless that is positive), bias, p95_error."""
     a, p = F.col(actual), F.col(predicted)
     e = p - a
     sse, spread = F.sum(e * e), F.var_pop(a) * F.count("*")
     return [
         F.count("*").alias("n"), F.round(F.avg(F.abs(e)), digits).alias("mae"), F.round(F.sqrt(F.avg(e * e)), digits).alias("rmse"),
         F.round(F.when(spread > 0, 1 - sse / spread), digits).alias("r2"),
-        F.round(F.try_divide(F.lit(100.0) * F.sum(F.abs(e)), F.sum(F.abs(a))), digits).alias("wape_pct"),
+        F.round(F.when(F.sum(a) > 0, F.lit(100.0) * F.sum(F.abs(e)) / F.sum(a)), digits).alias("wape_pct"),
         F.round(F.avg(e), digits).alias("bias"), F.round(F.percentile(F.abs(e), 0.95), digits).alias("p95_error"),
     ]
 
@@ -41,11 +42,17 @@ def confusion(truth: str, guess: str) -> list[Column]:
     return [tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), tn.alias("tn"), F.round(F.try_divide(tp, tp + fn), 9).alias("recall"), F.round(F.try_divide(tp, tp + fp), 9).alias("precision")]
 
 
-def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
-    """Lower and upper end of the Wilson interval; null without observations."""
+def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
+    """Lower and upper end of the Wilson interval within 0 and 1; without observations all of it."""
     p = F.try_divide(hits, n)
     mid, half = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
-    return (mid - half) / (1 + z * z / n), (mid + half) / (1 + z * z / n)
+    low, high = (mid - half) / (1 + z * z / n), (mid + half) / (1 + z * z / n)
+    return F.when(n > 0, F.greatest(F.lit(0.0), low)).otherwise(0.0), F.when(n > 0, F.least(F.lit(1.0), high)).otherwise(1.0)
+
+
+def wilson_gate(hits: Column, n: Column, point: float, lower: float, least: int = 30) -> Column:
+    """Enough observations, a share of at least ``point`` and its Wilson lower end at least ``lower``."""
+    return (n >= least) & (hits / F.greatest(n, F.lit(1)) >= point) & (wilson(hits, n)[0] >= lower)
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:

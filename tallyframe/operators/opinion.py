@@ -32,36 +32,41 @@ def duplicate_rank(df: DataFrame, same: list[str], order: str, out: str = "dup_r
     return split_rank(df, same, part, [F.col(order)], out)
 
 
+RESOLVED = ("positive", "negative", "neutral", "mixed")  # fixed values: polarities that are opinions
+
+
 def balanced(df: DataFrame, unit: str, keys: list[str], polarity: str, min_opinions: int = 20, min_units: int = 5) -> DataFrame:
     """Net opinion per key, every unit (video, user) weighted alike.
 
-    Two stages: per (unit, key) ratios, then their mean, population deviation and the ratio of sums.
-    Values are null below the support minima; the counts stay. ``no_opinion`` is outside the
-    denominator, ``neutral`` and ``mixed`` are inside.
+    Two stages: per (unit, key) the ratio of its opinions, then the mean and population deviation of the
+    ratios and the ratio of sums. Opinions are the resolved polarities; unresolved rows and rows without
+    an opinion (or a null one) are counted and stay outside every ratio, and a unit with nothing else
+    isn't among ``units``, only among ``observed_units``. Values are null below the support minima; the
+    counts stay.
     """
     p = F.col(polarity)
-    told = df.filter(p.isNotNull() & (p != "no_opinion"))
-    per = told.groupBy(unit, *keys).agg(F.count("*").alias("__n"), F.count(F.when(p == "positive", 1)).alias("__p"), F.count(F.when(p == "negative", 1)).alias("__m"))
-    ratio = (F.col("__p") - F.col("__m")) / F.col("__n")
+    has = lambda *v: F.count(F.when(p.isin(*v), 1))
+    per = df.groupBy(unit, *keys).agg(F.count("*").alias("__rows"), has(*RESOLVED).alias("__n"), has("positive").alias("__p"), has("negative").alias("__m"), has("unresolved").alias("__u"))
+    ratio = F.when(F.col("__n") > 0, (F.col("__p") - F.col("__m")) / F.col("__n"))
     out = per.groupBy(*keys).agg(
-        F.sum("__n").alias("opinions"), F.count("*").alias("units"), F.sum("__p").alias("positive"), F.sum("__m").alias("negative"),
-        F.avg(ratio).alias("__b"), F.stddev_pop(ratio).alias("__s"), (F.sum(F.col("__p") - F.col("__m")) / F.sum("__n")).alias("__w"),
+        F.sum("__n").alias("opinions"), F.count(ratio).alias("units"), F.count("*").alias("observed_units"), F.sum("__p").alias("positive"), F.sum("__m").alias("negative"), F.sum("__u").alias("unresolved"),
+        F.round(F.sum("__u") / F.sum("__rows"), 9).alias("unresolved_share"), F.avg(ratio).alias("__b"), F.stddev_pop(ratio).alias("__s"), F.try_divide(F.sum(F.col("__p") - F.col("__m")), F.sum("__n")).alias("__w"),
     )
     enough = (F.col("opinions") >= min_opinions, F.col("units") >= min_units)
     return out.select(
-        *keys, "opinions", "units", "positive", "negative",
+        *keys, "opinions", "units", "observed_units", "positive", "negative", "unresolved", "unresolved_share",
         suppress(F.round("__b", 9), *enough).alias("balanced_net"), suppress(F.round("__s", 9), *enough).alias("unit_std"), suppress(F.round("__w", 9), *enough).alias("weighted_net"),
         (~(enough[0] & enough[1])).alias("support_suppressed"),
     )
 
 
 def collapse(polarities: str) -> Column:
-    """Aggregate: one polarity of several clauses. Unresolved clauses leave it unresolved; positive
-    with negative, or any mixed, is mixed."""
-    has = lambda v: F.bool_or(F.col(polarities) == v)
+    """Aggregate: one polarity of several clauses. No polarity, or an unresolved one, leaves it unresolved;
+    positive with negative is mixed; anything else that is neither is neutral. Nulls don't count."""
+    has = lambda v: F.coalesce(F.bool_or(F.col(polarities) == v), F.lit(False))
     return (
-        F.when(has("unresolved"), "unresolved").when(has("mixed") | (has("positive") & has("negative")), "mixed")
-        .when(has("positive"), "positive").when(has("negative"), "negative").when(has("neutral"), "neutral").otherwise("no_opinion")
+        F.when((F.count(polarities) == 0) | has("unresolved"), "unresolved").when(has("positive") & has("negative"), "mixed")
+        .when(has("positive"), "positive").when(has("negative"), "negative").otherwise("neutral")
     )
 
 
@@ -71,12 +76,13 @@ def window_ends(df: DataFrame, date: str) -> DataFrame:
     return span.select(F.explode(F.sequence(F.trunc("a", "month"), F.trunc("b", "month"), F.expr("interval 1 month"))).alias("m")).select(F.last_day("m").alias("window_end"))
 
 
-def in_windows(df: DataFrame, ends: DataFrame, date: str, days: int) -> DataFrame:
-    """Each row once per window (end - days, end] that holds it. A row's month ends are listed from its
+def in_windows(df: DataFrame, ends: DataFrame, date: str, months: int = 12) -> DataFrame:
+    """Each row once per window that holds it: after the same day ``months`` calendar months before the
+    window's end (the last day of a shorter month), up to the end. A row's month ends are listed from its
     own date, so the join with the ends (one row per month, broadcast) is an equality."""
     d = F.to_date(df[date])
-    own = F.transform(F.sequence(F.trunc(d, "month"), F.trunc(F.date_add(d, days - 1), "month"), F.expr("interval 1 month")), lambda m: F.last_day(m))
-    rows = df.withColumn("window_end", F.explode(F.filter(own, lambda e: e < F.date_add(d, days))))
+    own = F.transform(F.sequence(F.trunc(d, "month"), F.trunc(F.add_months(d, months), "month"), F.expr("interval 1 month")), lambda m: F.last_day(m))
+    rows = df.withColumn("window_end", F.explode(F.filter(own, lambda e: (d <= e) & (d > F.add_months(e, -months)))))
     return rows.join(F.broadcast(ends), "window_end")
 
 

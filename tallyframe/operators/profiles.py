@@ -33,16 +33,22 @@ def label_set(column: str) -> Column:
 
 
 def parent_state(df: DataFrame, parent: list[str], label: str, weight: str, gate: float = 0.9) -> DataFrame:
-    """assigned, mixed, conflicting or insufficient, by the weight share of a parent's labels."""
-    by = df.groupBy(*parent, label).agg(F.sum(weight).alias("__w"))
-    known = F.sum(F.when(F.col(label).isNotNull(), F.col("__w")))
+    """``parent``, weight, known_labels, assigned_label and state of a parent whose parts carry labels.
+
+    conflicting: a part is labelled so. mixed: there are several labels. assigned: the only label has
+    ``gate`` of the whole weight, that of unknown parts included. Otherwise insufficient_evidence. The
+    label is given only where it is assigned; null and 'unknown' are unknown.
+    """
+    name = F.coalesce(F.col(label), F.lit("unknown"))
+    by = df.groupBy(*parent, name.alias("__l")).agg(F.sum(weight).alias("__w"))
+    known = ~F.col("__l").isin("unknown", "conflicting")
     out = by.groupBy(*parent).agg(
-        F.sum("__w").alias("weight"), F.coalesce(known, F.lit(0)).alias("known_weight"),
-        F.count(F.when(F.col(label).isNotNull(), 1)).alias("labels"), F.coalesce(F.max(F.when(F.col(label).isNotNull(), F.col("__w"))), F.lit(0)).alias("top_weight"),
+        F.sum("__w").alias("weight"), F.count(F.when(known, 1)).alias("known_labels"), F.max(F.when(known, F.col("__l"))).alias("__label"),
+        F.coalesce(F.sum(F.when(known, F.col("__w"))), F.lit(0)).alias("__known"), F.coalesce(F.sum(F.when(F.col("__l") == "conflicting", F.col("__w"))), F.lit(0)).alias("__c"),
     )
-    share = F.col("top_weight") / F.col("known_weight")
-    state = F.when(F.col("known_weight") * 2 < F.col("weight"), "insufficient").when(share >= gate, "assigned").when(F.col("labels") > 2, "conflicting").otherwise("mixed")
-    return out.withColumn("state", F.when(F.col("known_weight") == 0, "insufficient").otherwise(state))
+    state = F.when(F.col("__c") != 0, "conflicting").when(F.col("known_labels") > 1, "mixed").when((F.col("known_labels") == 1) & (F.try_divide("__known", "weight") >= gate), "assigned").otherwise("insufficient_evidence")
+    out = out.withColumn("state", state)
+    return out.select(*parent, "weight", "known_labels", F.when(F.col("state") == "assigned", F.col("__label")).alias("assigned_label"), "state")
 
 
 def reconcile_numeric(first: Column, second: Column, absolute: float, relative: float) -> tuple[Column, Column]:

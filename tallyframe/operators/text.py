@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.expr import let
+
 
 def word_hash(text: Column) -> Column:
     """SHA-256 of the words in lower case; punctuation and spacing don't count."""
@@ -60,21 +62,34 @@ def clauses(df: DataFrame, key: str, text: str) -> DataFrame:
     return base.mapInPandas(run, f"k {kind}, clause_no bigint, start bigint, `end` bigint, clause string").withColumnRenamed("k", key)
 
 
-def rule_labels(rules: dict[str, str], negation: str = r"\b(no|not|never|without|if|would|could)\b", reach: int = 45):
-    """UDF: sorted labels of the rules that match a text outside the reach of a negation before them."""
-    compiled = {k: re.compile(v, re.I) for k, v in sorted(rules.items())}
-    neg = re.compile(negation, re.I)
+_NEGATION = r"no|not|never|without"  # fixed values
+_SUPPOSED = r"could|may|might|would|will|risk of|worried about"  # fixed values
+
+
+def rule_labels(text: Column, rules: dict[str, str], supposed: bool = False, always: tuple[str, ...] = (), reach: int = 45) -> Column:
+    """Sorted labels of the rules (patterns over lower-case text) with a match that nothing before it takes back.
+
+    What is before a match counts up to ``reach`` characters and to the start of its sentence: a
+    negation at most three words ahead, or, with ``supposed``, any word of supposition. Labels in
+    ``always`` are given for every match. Null texts give null. Each rule marks its matches and folds over
+    the pieces between them, in the JVM.
+    """
+    stop = r"(?U)\b(?:" + _NEGATION + r")\b(?:[^\w.;!?]+\w+){0,3}[^\w.;!?]*$"
+    if supposed:
+        stop += r"|\b(?:" + _SUPPOSED + r")\b[^.;!?]*$"
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(text: pd.Series) -> pd.Series:
-        def labels(t):
-            if t is None:
-                return None
-            return [k for k, r in compiled.items() if any(not neg.search(t, max(0, m.start() - reach), m.start()) for m in r.finditer(t))]
+    def free(t: Column, pattern: str) -> Column:
+        pieces = F.split(F.regexp_replace(t, f"(?U)(?:{pattern})", "\x01$0"), "\x01")
+        tail = lambda x: F.substring(x, -reach, reach)
+        start = F.struct(tail(F.get(pieces, 0)).alias("before"), F.lit(False).alias("hit"))
+        step = lambda acc, piece: F.struct(tail(F.concat(acc["before"], piece)).alias("before"), (acc["hit"] | ~acc["before"].rlike(stop)).alias("hit"))
+        return F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), start, step, lambda acc: acc["hit"])
 
-        return text.map(labels)
+    def labels(t: Column) -> Column:
+        found = [F.when(t.rlike(f"(?U)(?:{p})") if name in always else free(t, p), name) for name, p in sorted(rules.items())]
+        return F.array_compact(F.array(*found))
 
-    return run
+    return F.when(text.isNotNull(), let(F.lower(F.replace(text, F.lit("\x01"), F.lit(" "))), labels))
 
 
 def calibrated(scores: list[Column], temperature: float = 1.0) -> tuple[list[Column], Column, Column]:
@@ -101,13 +116,28 @@ def choose_label(labels: list[str], probs: list[Column], margin: Column, least:
     return F.when((best >= least) & (margin >= least_margin), pick).otherwise(otherwise)
 
 
-def mask_for_model(text: Column) -> Column:
-    """Lower case without campaign ids, years, phone numbers and vehicle ids."""
-    t = F.regexp_replace(text, r"\b\d{2}[A-Z]\d{3,7}\b", " ")
-    t = F.regexp_replace(t, r"\b[A-HJ-NPR-Z0-9]{17}\b", " ")
-    t = F.regexp_replace(t, r"\b(?:19|20)\d{2}\b", " ")
-    t = F.regexp_replace(t, r"\b\d{3}[-. ]\d{3}[-. ]\d{4}\b", " ")
-    return F.trim(F.regexp_replace(F.lower(t), r"\s+", " "))
+def mask_for_model(text: Column, names: list[Column] = ()) -> Column:
+    """Lower-case text with the row's own ``names`` (of three characters or more) as the word vehicle, and
+    without phone numbers and the words that identify something: campaign numbers (two digits, V or E,
+    six digits), years from 1900 to 2099, and vehicle numbers (11 to 17 letters and digits other than I,
+    O and Q, with a digit). Null stays null."""
+    t = F.lower(text)
+    for name in names:
+        n = F.lower(F.trim(name))
+        literal = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.replace(n, F.lit("\\E"), F.lit("")), F.lit(r"\E(?![\p{L}\p{N}_])"))
+        t = F.when(F.length(n) >= 3, F.regexp_replace(t, literal, F.lit("vehicle"))).otherwise(t)
+    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}_])(?:[0-9]{3}[ .-]){2}[0-9]{4}(?![\p{L}\p{N}_])", " ")
+
+    def dropped(w: Column) -> Column:
+        size = F.length(w)
+        year = (size == 4) & w.rlike("^[0-9]+$") & w.try_cast("int").between(1900, 2099)
+        campaign = (size == 9) & w.rlike("^[0-9]{2}[ve][0-9]+$")
+        vehicle = size.between(11, 17) & w.rlike("[0-9]") & ~w.rlike("[^a-z0-9]|[ioq]")
+        return year | campaign | vehicle
+
+    words = F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"), F.lit(0))
+    kept = F.array_join(F.transform(words, lambda w: F.when(dropped(w), " ").otherwise(w)), "")
+    return F.trim(F.regexp_replace(kept, r"[\s\u0085\p{Z}]+", " "))
 
 
 def pooled_vectors(df: DataFrame, group: str, vector: str, digits: int = 9) -> DataFrame:

@@ -14,7 +14,7 @@ QUERIES, ORACLE = q.queries, q.oracle
 _PRED = """p AS (SELECT o.*, s.predicted FROM orders o JOIN (SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS predicted FROM lineitem GROUP BY 1) s ON l_orderkey = o_orderkey)"""
 _AGG = """count(*)::BIGINT AS n, round(avg(abs(predicted - o_totalprice)), 3) AS mae, round(sqrt(avg((predicted - o_totalprice) * (predicted - o_totalprice))), 3) AS rmse,
  round(CASE WHEN var_pop(o_totalprice) > 0 THEN 1 - sum((predicted - o_totalprice) * (predicted - o_totalprice)) / (var_pop(o_totalprice) * count(*)) END, 3) AS r2,
- round(100.0 * sum(abs(predicted - o_totalprice)) / sum(abs(o_totalprice)), 3) AS wape_pct, round(avg(predicted - o_totalprice), 3) AS bias, round(quantile_cont(abs(predicted - o_totalprice), 0.95), 3) AS p95_error"""
+ round(CASE WHEN sum(o_totalprice) > 0 THEN 100.0 * sum(abs(predicted - o_totalprice)) / sum(o_totalprice) END, 3) AS wape_pct, round(avg(predicted - o_totalprice), 3) AS bias, round(quantile_cont(abs(predicted - o_totalprice), 0.95), 3) AS p95_error"""
 
 
 def _predictions(t: Tables):
@@ -70,7 +70,8 @@ WITH x AS (SELECT (l_returnflag = 'R')::INT AS truth, (l_discount >= 0.05)::INT
 c AS (SELECT g, count(*) FILTER (truth = 1 AND guess = 1)::BIGINT AS tp, count(*) FILTER (truth <> 1 AND guess = 1)::BIGINT AS fp, count(*) FILTER (truth = 1 AND guess <> 1)::BIGINT AS fn, count(*) FILTER (truth <> 1 AND guess <> 1)::BIGINT AS tn FROM x GROUP BY 1),
 r AS (SELECT *, tp / nullif(tp + fn, 0) AS p, (tp + fn)::DOUBLE AS m FROM c)
 SELECT g, tp, fp, fn, tn, round(p, 9) AS recall, round(tp / nullif(tp + fp, 0), 9) AS "precision",
- round((p + 1.96 * 1.96 / (2 * m) - 1.96 * sqrt(p * (1 - p) / m + 1.96 * 1.96 / (4 * m * m))) / (1 + 1.96 * 1.96 / m), 9) AS low, round((p + 1.96 * 1.96 / (2 * m) + 1.96 * sqrt(p * (1 - p) / m + 1.96 * 1.96 / (4 * m * m))) / (1 + 1.96 * 1.96 / m), 9) AS high FROM r
+ round(CASE WHEN m > 0 THEN greatest(0, (p + z * z / (2 * m) - z * sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m)) ELSE 0 END, 9) AS low,
+ round(CASE WHEN m > 0 THEN least(1, (p + z * z / (2 * m) + z * sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m)) ELSE 1 END, 9) AS high FROM r, (SELECT 1.959963984540054::DOUBLE AS z)
 """)
 def confusion_wilson(t: Tables):
     x = t.lineitem.select((F.col("l_returnflag") == "R").cast("int").alias("truth"), (F.col("l_discount") >= 0.05).cast("int").alias("guess"), F.col("l_linenumber").alias("g"))

@@ -10,20 +10,21 @@ from .registry import Registry, Tables
 q = Registry()
 QUERIES, ORACLE = q.queries, q.oracle
 
-_POL = "CASE WHEN value IS NULL THEN 'no_opinion' WHEN value > 60 THEN 'positive' WHEN value < 20 THEN 'negative' WHEN value > 50 THEN 'mixed' ELSE 'neutral' END"
+_POL = "CASE WHEN value IS NULL THEN 'no_opinion' WHEN value < 3 THEN 'unresolved' WHEN value > 60 THEN 'positive' WHEN value < 20 THEN 'negative' WHEN value > 50 THEN 'mixed' ELSE 'neutral' END"
 
 
 def _opinions(t: Tables):
     v = F.col("value")
-    p = F.when(v.isNull(), "no_opinion").when(v > 60, "positive").when(v < 20, "negative").when(v > 50, "mixed").otherwise("neutral")
+    p = F.when(v.isNull(), "no_opinion").when(v < 3, "unresolved").when(v > 60, "positive").when(v < 20, "negative").when(v > 50, "mixed").otherwise("neutral")
     return t.events.select("event_id", "user_id", "event_type", "ts", "props", p.alias("polarity"))
 
 
 def _balanced_sql(least: int, units: int, source: str, keys: str) -> str:
     return f"""
-WITH o AS ({source}), per AS (SELECT user_id, {keys}, count(*) AS n, count(*) FILTER (polarity = 'positive') AS p, count(*) FILTER (polarity = 'negative') AS m FROM o WHERE polarity <> 'no_opinion' GROUP BY ALL),
-g AS (SELECT {keys}, sum(n)::BIGINT AS opinions, count(*)::BIGINT AS units, sum(p)::BIGINT AS positive, sum(m)::BIGINT AS negative, avg((p - m) / n) AS b, stddev_pop((p - m) / n) AS s, sum(p - m) / sum(n) AS w FROM per GROUP BY ALL)
-SELECT {keys}, opinions, units, positive, negative, CASE WHEN opinions >= {least} AND units >= {units} THEN round(b, 9) END AS balanced_net,
+WITH o AS ({source}), per AS (SELECT user_id, {keys}, count(*) AS c, count(*) FILTER (polarity IN ('positive', 'negative', 'neutral', 'mixed')) AS n, count(*) FILTER (polarity = 'positive') AS p, count(*) FILTER (polarity = 'negative') AS m, count(*) FILTER (polarity = 'unresolved') AS u FROM o GROUP BY ALL),
+g AS (SELECT {keys}, sum(n)::BIGINT AS opinions, (count(*) FILTER (n > 0))::BIGINT AS units, count(*)::BIGINT AS observed_units, sum(p)::BIGINT AS positive, sum(m)::BIGINT AS negative, sum(u)::BIGINT AS unresolved, round(sum(u) / sum(c), 9) AS unresolved_share,
+ avg((p - m) / n) FILTER (n > 0) AS b, stddev_pop((p - m) / n) FILTER (n > 0) AS s, sum(p - m) / nullif(sum(n), 0) AS w FROM per GROUP BY ALL)
+SELECT {keys}, opinions, units, observed_units, positive, negative, unresolved, unresolved_share, CASE WHEN opinions >= {least} AND units >= {units} THEN round(b, 9) END AS balanced_net,
  CASE WHEN opinions >= {least} AND units >= {units} THEN round(s, 9) END AS unit_std, CASE WHEN opinions >= {least} AND units >= {units} THEN round(w, 9) END AS weighted_net,
  NOT (opinions >= {least} AND units >= {units}) AS support_suppressed FROM g"""
 
@@ -41,16 +42,15 @@ def opinion_deduplicated(t: Tables):
     return O.balanced(first, "user_id", ["event_type"], "polarity")
 
 
-@q(f"""
-WITH ends AS (SELECT (date_trunc('month', m) + INTERVAL 1 MONTH - INTERVAL 1 DAY)::DATE AS window_end FROM (SELECT unnest(generate_series(date_trunc('month', min(ts)), date_trunc('month', max(ts)), INTERVAL 1 MONTH)) AS m FROM events)),
-o AS (SELECT window_end, user_id, event_type, {_POL} AS polarity FROM events JOIN ends ON ts::DATE <= window_end AND ts::DATE > window_end - 20)
-SELECT window_end, event_type, count(*)::BIGINT AS opinions, count(*) FILTER (polarity = 'positive')::BIGINT AS positive FROM o GROUP BY ALL
+@q("""
+WITH ends AS (SELECT (m + INTERVAL 1 MONTH - INTERVAL 1 DAY)::DATE AS window_end FROM (SELECT unnest(generate_series(date_trunc('month', min(published)), date_trunc('month', max(published)), INTERVAL 1 MONTH)) AS m FROM comments))
+SELECT window_end, sentiment, count(*)::BIGINT AS opinions, count(DISTINCT video)::BIGINT AS videos FROM comments JOIN ends ON published::DATE <= window_end AND published::DATE > window_end - INTERVAL 12 MONTH GROUP BY ALL
 """)
 def opinion_windows(t: Tables):
-    """Trailing windows that end at each month end."""
-    ends = O.window_ends(t.events, "ts")
-    rows = O.in_windows(_opinions(t), ends, "ts", 20)
-    return rows.groupBy("window_end", "event_type").agg(F.count("*").alias("opinions"), F.count(F.when(F.col("polarity") == "positive", 1)).alias("positive"))
+    """Trailing windows of twelve calendar months that end at each month end."""
+    ends = O.window_ends(t.comments, "published")
+    rows = O.in_windows(t.comments.select("published", "sentiment", "video").filter("published IS NOT NULL"), ends, "published", 12)
+    return rows.groupBy("window_end", "sentiment").agg(F.count("*").alias("opinions"), F.count_distinct("video").alias("videos"))
 
 
 @q(f"""
@@ -65,8 +65,8 @@ def opinion_wide(t: Tables):
 
 @q(f"""
 WITH o AS (SELECT user_id, event_type, {_POL} AS polarity FROM events)
-SELECT user_id, event_type, CASE WHEN bool_or(polarity = 'unresolved') THEN 'unresolved' WHEN bool_or(polarity = 'mixed') OR (bool_or(polarity = 'positive') AND bool_or(polarity = 'negative')) THEN 'mixed'
- WHEN bool_or(polarity = 'positive') THEN 'positive' WHEN bool_or(polarity = 'negative') THEN 'negative' WHEN bool_or(polarity = 'neutral') THEN 'neutral' ELSE 'no_opinion' END AS polarity FROM o GROUP BY ALL
+SELECT user_id, event_type, CASE WHEN count(polarity) = 0 OR bool_or(polarity = 'unresolved') THEN 'unresolved' WHEN bool_or(polarity = 'positive') AND bool_or(polarity = 'negative') THEN 'mixed'
+ WHEN bool_or(polarity = 'positive') THEN 'positive' WHEN bool_or(polarity = 'negative') THEN 'negative' ELSE 'neutral' END AS polarity FROM o GROUP BY ALL
 """)
 def collapsed_polarity(t: Tables):
     return _opinions(t).groupBy("user_id", "event_type").agg(O.collapse("polarity").alias("polarity"))

@@ -32,13 +32,17 @@ def mode_agreement(t: Tables):
 
 
 @q("""
-WITH b AS (SELECT p_brand, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_type END AS label, sum(p_size)::BIGINT AS w FROM part GROUP BY ALL),
-g AS (SELECT p_brand, sum(w)::BIGINT AS weight, coalesce(sum(w) FILTER (label IS NOT NULL), 0)::BIGINT AS known_weight, count(label)::BIGINT AS labels, coalesce(max(w) FILTER (label IS NOT NULL), 0)::BIGINT AS top_weight FROM b GROUP BY 1)
-SELECT *, CASE WHEN known_weight = 0 OR known_weight * 2 < weight THEN 'insufficient' WHEN top_weight / known_weight >= 0.9 THEN 'assigned' WHEN labels > 2 THEN 'conflicting' ELSE 'mixed' END AS state FROM g
+WITH l AS (SELECT make_name, model_name, fuel_type, CASE WHEN count(DISTINCT body_type) > 1 THEN 'conflicting' ELSE coalesce(max(body_type), 'unknown') END AS label, count(*) AS w FROM used_cars WHERE model_name IS NOT NULL GROUP BY ALL),
+c AS (SELECT make_name, model_name, label, sum(w) AS w FROM l GROUP BY ALL),
+g AS (SELECT make_name, model_name, sum(w)::BIGINT AS weight, (count(*) FILTER (label NOT IN ('unknown', 'conflicting')))::BIGINT AS known_labels, max(label) FILTER (label NOT IN ('unknown', 'conflicting')) AS one, max(w) FILTER (label NOT IN ('unknown', 'conflicting')) AS top, bool_or(label = 'conflicting') AS clash FROM c GROUP BY ALL),
+s AS (SELECT *, CASE WHEN clash THEN 'conflicting' WHEN known_labels > 1 THEN 'mixed' WHEN known_labels = 1 AND top / weight >= 0.9 THEN 'assigned' ELSE 'insufficient_evidence' END AS state FROM g)
+SELECT make_name, model_name, weight, known_labels, CASE WHEN state = 'assigned' THEN one END AS assigned_label, state FROM s
 """)
 def parent_state(t: Tables):
-    rows = t.part.select("p_brand", F.when(F.col("p_size") % 7 != 0, F.col("p_type")).alias("label"), F.col("p_size").cast("bigint").alias("w"))
-    return PR.parent_state(rows, ["p_brand"], "label", "w")
+    """State of each model by the bodies of its fuel variants; a variant with several bodies conflicts."""
+    body = F.when(F.count_distinct("body_type") > 1, "conflicting").otherwise(F.coalesce(F.max("body_type"), F.lit("unknown")))
+    parts = t.used_cars.filter("model_name IS NOT NULL").groupBy("make_name", "model_name", "fuel_type").agg(body.alias("label"), F.count("*").alias("w"))
+    return PR.parent_state(parts, ["make_name", "model_name"], "label", "w")
 
 
 @q("""

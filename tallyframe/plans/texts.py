@@ -65,10 +65,10 @@ def clause_segments(t: Tables):
 
 @q()
 def rule_labels(t: Tables):
-    """Topic labels of clauses by rules, outside the reach of negations."""
-    rules = {"brakes": r"\bbrak", "gearbox": r"\b(gearbox|transmission)", "noise": r"\b(loud|noise)", "price": r"\b(price|money|expensive)", "recall": r"\brecall"}
-    c = X.clauses(t.youtube_comments_sentiment, "row_id", "text")
-    return c.select("row_id", "clause_no", F.concat_ws(";", X.rule_labels(rules)(F.col("clause"))).alias("labels")).filter("labels <> ''")
+    """Topic labels of whole comments by rules; what is denied or only supposed doesn't count."""
+    rules = {"brakes": r"\bbrak\w*", "gearbox": r"\b(?:gearbox|transmission)\b", "noise": r"\b(?:loud|noise)\b", "price": r"\b(?:price|money|expensive)\b", "recall": r"\brecall\w*"}
+    rows = t.youtube_comments_sentiment.select("row_id", F.array_join(X.rule_labels(F.col("text"), rules, supposed=True, always=("recall",)), ";").alias("labels"))
+    return rows.filter("labels <> ''")
 
 
 @q()
@@ -76,14 +76,15 @@ def folded_text_hash(t: Tables):
     return t.documents.select("doc_id", X.folded_hash(F.col("text")).alias("h"))
 
 
-@q("""
-SELECT row_id, trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\b\\d{2}[A-Z]\\d{3,7}\\b', ' ', 'g'), '\\b[A-HJ-NPR-Z0-9]{17}\\b', ' ', 'g'), '\\b(?:19|20)\\d{2}\\b', ' ', 'g'), '\\b\\d{3}[-. ]\\d{3}[-. ]\\d{4}\\b', ' ', 'g')), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS masked
-FROM youtube_comments_sentiment WHERE regexp_full_match(text, '[\\x00-\\x7F]*')
+@q(r"""
+WITH p AS (SELECT row_id, regexp_replace(lower(text), '(^|[^\p{L}\p{N}_])\d{3}[-. ]\d{3}[-. ]\d{4}($|[^\p{L}\p{N}_])', '\1 \2', 'g') AS x FROM youtube_comments_sentiment),
+w AS (SELECT row_id, x, regexp_extract_all(x, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS ws FROM p),
+k AS (SELECT row_id, x, array_to_string(list_transform(ws, lambda y: CASE WHEN regexp_full_match(y, '19\d\d|20\d\d|\d\d[ev]\d{6}') OR (regexp_full_match(y, '[a-hj-npr-z0-9]{11,17}') AND regexp_matches(y, '\d')) THEN ' ' ELSE y END), '') AS joined FROM w)
+SELECT row_id, CASE WHEN x IS NOT NULL THEN trim(regexp_replace(coalesce(joined, ''), '[\s\x{85}\p{Z}]+', ' ', 'g')) END AS masked FROM k
 """)
 def masked_text(t: Tables):
-    """English text prepared for a model: identifiers dropped, lower case."""
-    rows = t.youtube_comments_sentiment.filter(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return rows.select("row_id", X.mask_for_model(F.col("text")).alias("masked"))
+    """Texts of all languages prepared for a model: identifiers dropped, lower case."""
+    return t.youtube_comments_sentiment.select("row_id", X.mask_for_model(F.col("text")).alias("masked"))
 
 
 @q("""

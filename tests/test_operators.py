@@ -1,5 +1,7 @@
 import datetime as dt
 import json
+import random
+import re
 
 import pytest
 from pyspark.errors import PySparkException
@@ -15,6 +17,7 @@ from tallyframe.operators import manifest as MF
 from tallyframe.operators import metrics as M
 from tallyframe.operators import opinion as O
 from tallyframe.operators import peers as P
+from tallyframe.operators import profiles as PR
 from tallyframe.operators import sampling as S
 from tallyframe.operators import text as TX
 from tallyframe.sources import Snapshot
@@ -161,3 +164,71 @@ def test_empty_tables(spark):
     assert E.versions(empty, ["k"], ["v"]).count() == 0
     assert C.scope_summary(empty, "k", ["g"], ["v"], "d").first().n_rows == 0
     assert dt.date.today() and CL.key_quality(empty, ["k"]).first().n_keys == 0
+
+
+def test_unresolved_and_empty_opinions(spark):
+    rows = [("v1", "a", "positive"), ("v1", "a", "unresolved"), ("v2", "a", "unresolved"), ("v2", "a", None), ("v3", "a", "negative"), ("v3", "a", "mixed"), ("v4", "b", "unresolved"), ("v4", "b", "no_opinion")]
+    df = spark.createDataFrame(rows, "video string, make string, p string")
+    got = {r.make: r for r in O.balanced(df, "video", ["make"], "p", 1, 1).collect()}
+    a, b = got["a"], got["b"]
+    assert (a.opinions, a.units, a.observed_units, a.unresolved, a.balanced_net, a.weighted_net) == (3, 2, 3, 2, 0.25, 0.0)
+    assert (b.opinions, b.units, b.observed_units, b.balanced_net, b.support_suppressed, b.unresolved_share) == (0, 0, 1, None, True, 0.5)
+    sets = {"x": [None], "y": ["neutral", "unresolved"], "z": ["positive", "negative", "mixed"], "m": ["mixed"], "n": ["no_opinion", "negative"]}
+    c = spark.createDataFrame([(k, v) for k, vs in sets.items() for v in vs], "k string, p string").groupBy("k").agg(O.collapse("p").alias("c"))
+    assert {r.k: r.c for r in c.collect()} == {"x": "unresolved", "y": "unresolved", "z": "mixed", "m": "neutral", "n": "negative"}
+
+
+def test_calendar_windows(spark):
+    days = ["2023-02-28", "2023-03-01", "2024-02-29", "2024-03-01", "2025-02-28", None]
+    df = spark.createDataFrame([(d,) for d in days], "d string").selectExpr("to_date(d) AS d")
+    got = {(str(r.d), str(r.window_end)) for r in O.in_windows(df, O.window_ends(df, "d"), "d", 12).collect()}
+    assert ("2023-02-28", "2024-01-31") in got and ("2023-02-28", "2024-02-29") not in got
+    assert ("2023-03-01", "2024-02-29") in got and ("2023-03-01", "2024-03-31") not in got
+    assert ("2024-02-29", "2025-01-31") in got and ("2024-02-29", "2025-02-28") in got and len({w for _, w in got}) == 25
+
+
+def test_parent_states(spark):
+    cases = {"a": [("ev", 3), ("unknown", 212)], "b": [("ev", 99), ("ice", 1)], "c": [("ev", 99), ("conflicting", 1)], "d": [("ev", 90), (None, 10)], "e": [(None, 5)], "f": [("x", 1), ("y", 1), ("z", 98)]}
+    df = spark.createDataFrame([(k, lab, w) for k, v in cases.items() for lab, w in v], "k string, l string, w bigint")
+    got = {r.k: (r.state, r.assigned_label) for r in PR.parent_state(df, ["k"], "l", "w").collect()}
+    assert got == {"a": ("insufficient_evidence", None), "b": ("mixed", None), "c": ("conflicting", None), "d": ("assigned", "ev"), "e": ("insufficient_evidence", None), "f": ("mixed", None)}
+
+
+def test_rule_labels_against_python(spark):
+    rules = {"brake": r"\bbrak\w*", "fire": r"\b(?:fire|ignit\w*)\b", "delay": r"\bdelay\w*"}
+
+    def brute(text):
+        out = []
+        for name, pattern in sorted(rules.items()):
+            for m in re.finditer(pattern, text.lower()):
+                before = re.split(r"[.;!?]", text.lower()[max(0, m.start() - 45) : m.start()])[-1]
+                denied = re.search(r"\b(no|not|never|without)\b(?:\W+\w+){0,3}\W*$", before)
+                supposed = re.search(r"\b(could|may|might|would|will|risk of|worried about)\b", before)
+                if name == "delay" or not (denied or supposed):
+                    out.append(name)
+                    break
+        return out
+
+    words = ["no", "not", "brakes", "Brake", "fire", "the", "car", "never", "without", "delayed", "could", "risk of", "ignited", "failed", ".", ";", "!", ",", "a very long descriptive wording", "é"]
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 25))) for _ in range(400)] + ["", "Not one of them. Brakes failed", "x" * 5000 + " brake"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string")
+    got = {r.i: r.got for r in df.select("i", TX.rule_labels(F.col("t"), rules, True, ("delay",)).alias("got")).collect()}
+    assert all(got[i] == brute(t) for i, t in enumerate(texts)) and got[len(texts)] is None
+
+
+def test_mask_for_model(spark):
+    cases = [
+        ("The Calder ALBA of 2015 (12V123456) rang 312-555-0192; VIN 1HGCM82633A004352 ok", "the vehicle vehicle of ( ) rang ; vin ok"),
+        ("Ünïcode 1999ers 1850 2100 café", "ünïcode 1999ers 1850 2100 café"), ("calderas Ab", "calderas ab"), ("", ""), (None, None),
+    ]
+    df = spark.createDataFrame([(t, "Calder", "Alba" if i < 2 else "Ab", w) for i, (t, w) in enumerate(cases)], "t string, make string, model string, want string")
+    for r in df.withColumn("got", TX.mask_for_model(F.col("t"), [F.col("make"), F.col("model")])).collect():
+        assert r.got == r.want
+
+
+def test_wilson_ends(spark):
+    r = spark.sql("SELECT 0D AS h, 0D AS n, 30D AS k").select(*[c.alias(f"c{i}") for i, c in enumerate([*M.wilson(F.col("h"), F.col("n")), *M.wilson(F.col("k"), F.col("k")), M.wilson_gate(F.col("k"), F.col("k"), 0.9, 0.85), M.wilson_gate(F.col("h"), F.col("n"), 0.0, 0.0)])]).first()
+    assert (r.c0, r.c1, round(r.c2, 6), r.c3, r.c4, r.c5) == (0.0, 1.0, 0.886487, 1.0, True, False)
+    w = spark.createDataFrame([(-100.0, 1.0), (50.0, 2.0)], "a double, p double").agg(*M.regression("a", "p")).first()
+    assert w.wape_pct is None
