@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -18,20 +19,28 @@ def numeric_bounds(df: DataFrame, columns: list[str], low: float = 0.01, high: f
     return df.agg(*[F.percentile(c, p).alias(f"__{s}_{c}") for c in columns for s, p in (("lo", low), ("hi", high))])
 
 
-def block_distance(numeric: list[str], categorical: list[str]) -> Column:
-    """Mean of the observed differences of one block between columns a_* and b_*; null with fewer
-    than half of the fields shared (two at least, where there are two). Numbers are clipped to the
-    bounds __lo_*/__hi_* and scaled by their range."""
-    parts = []
+def scaled(df: DataFrame, numeric: list[str]) -> DataFrame:
+    """Numeric columns clipped to their bounds and divided by their range, once per row; constant ones are 0
+    and missing ones stay null."""
+    if not numeric:
+        return df
+    cols = {}
     for c in numeric:
-        clip = lambda side, c=c: F.least(F.greatest(F.col(f"{side}_{c}").cast("double"), F.col(f"__lo_{c}")), F.col(f"__hi_{c}"))
-        span = F.col(f"__hi_{c}") - F.col(f"__lo_{c}")
-        parts.append(F.when(span > 0, F.abs(clip("a") - clip("b")) / span).otherwise(F.when(F.col(f"a_{c}").isNotNull() & F.col(f"b_{c}").isNotNull(), F.lit(0.0))))
+        lo, hi, v = F.col(f"__lo_{c}"), F.col(f"__hi_{c}"), F.col(c).cast("double")
+        cols[c] = F.when(v.isNotNull(), F.when(hi > lo, (F.least(F.greatest(v, lo), hi) - lo) / (hi - lo)).otherwise(0.0))
+    return with_row(df, numeric_bounds(df, numeric)).withColumns(cols).select(*df.columns)
+
+
+def block_distance(numeric: list[str], categorical: list[str], least: int = 2) -> Column:
+    """Mean of the observed differences of one block between columns a_* and b_* (numeric ones
+    :func:`scaled`); null with fewer than half of the fields shared, or fewer than ``least`` where it has
+    so many."""
+    parts = [F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in numeric]
     parts += [F.when(F.col(f"a_{c}") == F.col(f"b_{c}"), 0.0).when(F.col(f"a_{c}") != F.col(f"b_{c}"), 1.0) for c in categorical]
     n = len(parts)
     shared = reduce(lambda a, b: a + b, [p.isNotNull().cast("int") for p in parts])
     total = reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0.0)) for p in parts])
-    return F.when(shared >= max(min(2, n), -(-n // 2)), total / shared)
+    return F.when(shared >= max(min(least, n), -(-n // 2)), total / shared)
 
 
 def candidate_pairs(df: DataFrame, key: str, family: str, equal: list[str], near: str, window: float, columns: list[str]) -> DataFrame:
@@ -52,7 +61,7 @@ def nearest_peers(df: DataFrame, key: str, family: str, equal: list[str], near:
     """
     columns = [c for num, cat in blocks for c in (*num, *cat)]
     nums = [c for num, _ in blocks for c in num]
-    pairs = with_row(candidate_pairs(df, key, family, equal, near, window, columns), numeric_bounds(df, nums))
+    pairs = candidate_pairs(scaled(df.withColumn("__near", F.col(near)), nums), key, family, equal, "__near", window, columns)
     ds = [block_distance(num, cat) for num, cat in blocks]
     n = reduce(lambda a, b: a + b, [d.isNotNull().cast("int") for d in ds])
     total = reduce(lambda a, b: a + b, [F.coalesce(d, F.lit(0.0)) for d in ds])
@@ -62,6 +71,119 @@ def nearest_peers(df: DataFrame, key: str, family: str, equal: list[str], near:
     return best.withColumn("peer_rank", F.row_number().over(w).cast("bigint")).filter(F.col("peer_rank") <= k)
 
 
+@dataclass(frozen=True)
+class Approach:
+    """A way to rank peers: distance less ``bonus`` times the shared categories plus ``penalty`` times the
+    share of differing clusters, and, with ``text``, distance and text mixed by that weight of the text."""
+
+    name: str
+    bonus: float = 0.0
+    penalty: float = 0.0
+    text: float = 0.0
+
+
+#: Ways to rank as the inventory has them.
+APPROACHES = (Approach("direct"), Approach("categories", bonus=0.1), Approach("clusters", penalty=0.1), Approach("categories_clusters", bonus=0.1, penalty=0.1), Approach("with_text", text=0.2))
+
+
+def _shared_categories(dimensions: list[str]) -> Column:
+    """Mean over the dimensions that a has labels in of the best product of both sides' probabilities."""
+    def best(a: Column, b: Column) -> Column:
+        return F.coalesce(F.array_max(F.transform(F.map_keys(a), lambda k: a[k] * F.coalesce(F.try_element_at(b, k), F.lit(0.0)))), F.lit(0.0))
+
+    scores, known = [], []
+    for c in dimensions:
+        a, b = F.col(f"a_{c}"), F.col(f"b_{c}")
+        scores.append(best(a, b))
+        known.append(F.coalesce(F.size(F.map_filter(a, lambda _, v: v > 0)) > 0, F.lit(False)).cast("int"))
+    return reduce(lambda x, y: x + y, scores) / F.greatest(F.lit(1), reduce(lambda x, y: x + y, known)) if scores else F.lit(0.0)
+
+
+def _differing_clusters(clusters: list[str]) -> Column:
+    """Share of the clusterings both sides are in that put them apart; 0 where there is none."""
+    both = [F.col(f"a_{c}").isNotNull() & F.col(f"b_{c}").isNotNull() for c in clusters]
+    apart = [F.when(x & (F.col(f"a_{c}") != F.col(f"b_{c}")), 1.0).otherwise(0.0) for x, c in zip(both, clusters)]
+    return F.coalesce(F.try_divide(reduce(lambda x, y: x + y, apart), reduce(lambda x, y: x + y, [x.cast("double") for x in both])), F.lit(0.0)) if clusters else F.lit(0.0)
+
+
+def ranked_peers(
+    df: DataFrame, key: str, family: str, equal: list[str], near: str, windows: tuple[float, ...], blocks: list[tuple], approaches: tuple[Approach, ...] = APPROACHES[:1],
+    k: int = 5, categories: list[str] = (), clusters: list[str] = (), vector: str | None = None, eligible: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(peers, statuses) of every row of ``df``.
+
+    peers: key, approach, peer_rank, peer, distance, ranking_distance, window: the k nearest eligible rows of
+    other families with equal ``equal``, one per family, ties by key. Every block (numeric fields,
+    categorical fields and how many of them at least) must be shared enough (see :func:`block_distance`). The window on ``near`` is the smallest of ``windows`` in
+    which k families qualify, else the largest. ``categories`` are map columns label -> probability,
+    ``clusters`` columns of cluster ids, ``vector`` an array column for approaches with text, which rank
+    only pairs where both have one.
+
+    statuses: key, approach, slate_size, window, status (query_ineligible, no_compatible_family,
+    no_shared_evidence, shortfall or complete), one row per row and approach, whatever was found.
+
+    Pairs are formed within the largest window by buckets (see :func:`candidate_pairs`) and reduced to one
+    per family before any ranking; each approach is one aggregate of that reduction.
+    """
+    names = [c for num, cat, *_ in blocks for c in (*num, *cat)]
+    extra = [*categories, *clusters, *([vector] if vector else [])]
+    fit = df.filter(F.col(eligible)) if eligible else df
+    fit = fit.dropna(subset=[*equal, near, family])
+    fit = scaled(fit.withColumn("__near", F.col(near)), [c for num, *_ in blocks for c in num])
+    pairs = candidate_pairs(fit, key, family, equal, "__near", max(windows), [*names, *extra])
+    each = [block_distance(*block) for block in blocks]
+    distance = F.round(reduce(lambda a, b: a + b, each) / len(each), 9)  # null where a block has too little
+    similar = F.round((cosine(F.col(f"a_{vector}"), F.col(f"b_{vector}")) + 1) / 2, 9) if vector else F.lit(None).cast("double")
+    scored = pairs.select(
+        F.col(f"a_{key}").alias(key), F.col(f"b_{key}").alias("peer"), F.col(f"b_{family}").alias("__f"), F.abs(F.col("a___near") - F.col("b___near")).alias("__gap"),
+        distance.alias("distance"), _shared_categories(list(categories)).alias("__bonus"), _differing_clusters(list(clusters)).alias("__apart"), similar.alias("__text"),
+    ).filter("distance IS NOT NULL")
+
+    def best(a: Approach, window: float) -> Column:
+        base = (1 - a.text) * F.col("distance") + a.text * (1 - F.col("__text")) if a.text else F.col("distance")
+        rank = F.round(base - a.bonus * F.col("__bonus") + a.penalty * F.col("__apart"), 9)
+        return F.min(F.when((F.col("__gap") <= window) & rank.isNotNull(), F.struct(rank.alias("r"), F.col("peer").alias("p"), F.col("distance").alias("d"))))
+
+    per_family = scored.groupBy(key, "__f").agg(F.min("__gap").alias("__gap"), *[best(a, w).alias(f"__{i}_{j}") for i, a in enumerate(approaches) for j, w in enumerate(windows)])
+    counts = per_family.groupBy(key).agg(*[F.count_if(F.col("__gap") <= w).alias(f"__n{j}") for j, w in enumerate(windows)])
+    chosen, found = F.lit(float(windows[-1])), F.col(f"__n{len(windows) - 1}")
+    for j in reversed(range(len(windows) - 1)):
+        chosen, found = F.when(F.col(f"__n{j}") >= k, float(windows[j])).otherwise(chosen), F.when(F.col(f"__n{j}") >= k, F.col(f"__n{j}")).otherwise(found)
+    counts = counts.select(key, chosen.alias("window"), found.alias("__families"))
+
+    def at_window(i: int) -> Column:
+        pick = None
+        for j, w in enumerate(windows):
+            pick = F.when(F.col("window") == float(w), F.col(f"__{i}_{j}")) if pick is None else pick.when(F.col("window") == float(w), F.col(f"__{i}_{j}"))
+        return pick
+
+    long = per_family.join(counts, key).select(key, "window", F.explode(F.array(*[F.struct(F.lit(a.name).alias("approach"), at_window(i).alias("m")) for i, a in enumerate(approaches)])).alias("x")).filter("x.m IS NOT NULL")
+    w = W.partitionBy(key, "approach").orderBy("ranking_distance", "peer")
+    peers = long.select(key, F.col("x.approach").alias("approach"), F.col("x.m.p").alias("peer"), F.col("x.m.d").alias("distance"), F.col("x.m.r").alias("ranking_distance"), "window")
+    peers = peers.withColumn("peer_rank", F.row_number().over(w).cast("bigint")).filter(F.col("peer_rank") <= k).select(key, "approach", "peer_rank", "peer", "distance", "ranking_distance", "window")
+
+    others = fit.groupBy(*equal).agg(F.min(family).alias("__lo"), F.max(family).alias("__hi"))
+    base = df.select(key, *equal, family, (F.coalesce(F.col(eligible), F.lit(False)) if eligible else F.lit(True)).alias("__ok"), near)
+    base = base.withColumn("__ok", F.col("__ok") & F.col(near).isNotNull() & F.col(family).isNotNull()).join(others, equal, "left").join(counts, key, "left")
+    sizes = peers.groupBy(key, "approach").agg(F.count("*").alias("slate_size"))
+    rows = base.withColumn("approach", F.explode(F.array(*[F.lit(a.name) for a in approaches]))).join(sizes, [key, "approach"], "left")
+    size = F.coalesce("slate_size", F.lit(0)).cast("bigint")
+    compatible = (F.col("__lo") != F.col(family)) | (F.col("__hi") != F.col(family))
+    status = F.when(~F.col("__ok"), "query_ineligible").when(~F.coalesce(compatible, F.lit(False)), "no_compatible_family").when(size == 0, "no_shared_evidence").when(size < k, "shortfall").otherwise("complete")
+    statuses = rows.select(key, "approach", size.alias("slate_size"), F.coalesce("window", F.lit(float(windows[-1]))).alias("window"), status.alias("status"))
+    return peers, statuses
+
+
+def compare_approaches(peers: DataFrame, key: str, base: str) -> DataFrame:
+    """approach, queries, mean_distance, mean_overlap: each approach against ``base`` over the rows for which
+    both have peers (matched populations); overlap is the share of the base's peers it keeps."""
+    lists = peers.groupBy(key, "approach").agg(F.collect_set("peer").alias("p"), F.avg("distance").alias("d"))  # at most k peers
+    ref = lists.filter(F.col("approach") == base).select(key, F.col("p").alias("bp"))
+    both = lists.join(ref, key)
+    overlap = F.size(F.array_intersect("p", "bp")) / F.size("bp")
+    return both.groupBy("approach").agg(F.count("*").alias("queries"), F.round(F.avg("d"), 6).alias("mean_distance"), F.round(F.avg(overlap), 6).alias("mean_overlap"))
+
+
 def diverse_top(df: DataFrame, family: str, order: list[Column], k: int) -> DataFrame:
     """Best row of each family first, then the rest, k in all.
 

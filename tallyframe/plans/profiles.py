@@ -145,3 +145,54 @@ def cosine_neighbors(t: Tables):
 def indexed_neighbors(t: Tables):
     """The same search through an inverted index over all rows (recall is measured in the tests)."""
     return P.indexed_neighbours(t.embeddings, t.embeddings.filter("vec_id % 50 = 0"), "vec_id", "embedding", 10)
+
+
+_CAR_PROFILES = """prof AS (SELECT concat_ws('|', make_name, model_name, year::VARCHAR, body_type) AS id, concat_ws('|', make_name, model_name) AS fam, body_type AS kind, year, round(avg(horsepower), 6) AS hp, round(avg(city_fuel_economy), 6) AS mpg,
+  min(fuel_type) AS fuel, min(wheel_system) AS wheels, round(avg(CASE WHEN transmission = 'A' THEN 1.0 ELSE 0.0 END), 6) AS pa, floor(avg(highway_fuel_economy) / 8)::INT AS cl, count(*) >= 2 AS ok
+  FROM used_cars WHERE make_name IS NOT NULL AND model_name IS NOT NULL AND year IS NOT NULL AND body_type IS NOT NULL GROUP BY make_name, model_name, year, body_type)"""
+_RANKED = f"""
+WITH {_CAR_PROFILES}, fit AS (SELECT * FROM prof WHERE ok),
+b AS (SELECT quantile_cont(hp, 0.01) AS lh, quantile_cont(hp, 0.99) AS hh, quantile_cont(mpg, 0.01) AS lm, quantile_cont(mpg, 0.99) AS hm FROM fit),
+raw AS (SELECT a.id, c.id AS peer, c.fam AS pf, abs(a.year - c.year) AS gap,
+  abs(least(greatest(a.hp, lh), hh) - least(greatest(c.hp, lh), hh)) / (hh - lh) AS d1, abs(least(greatest(a.mpg, lm), hm) - least(greatest(c.mpg, lm), hm)) / (hm - lm) AS d2,
+  (a.fuel <> c.fuel)::INT AS d3, (a.wheels <> c.wheels)::INT AS d4, greatest(a.pa * c.pa, (1 - a.pa) * (1 - c.pa)) AS bonus, coalesce((a.cl <> c.cl)::INT, 0) AS apart
+  FROM fit a JOIN fit c ON a.kind = c.kind AND a.fam <> c.fam AND abs(a.year - c.year) <= 10, b WHERE a.hp IS NOT NULL AND c.hp IS NOT NULL AND a.mpg IS NOT NULL AND c.mpg IS NOT NULL),
+pairs AS (SELECT *, round(((d1 + d2) / 2 + (coalesce(d3, 0) + coalesce(d4, 0)) / ((d3 IS NOT NULL)::INT + (d4 IS NOT NULL)::INT)) / 2, 9) AS distance FROM raw WHERE d3 IS NOT NULL OR d4 IS NOT NULL),
+win AS (SELECT id, CASE WHEN count(DISTINCT pf) FILTER (gap <= 2) >= 5 THEN 2.0 WHEN count(DISTINCT pf) FILTER (gap <= 5) >= 5 THEN 5.0 ELSE 10.0 END AS win FROM pairs GROUP BY 1),
+ap(approach, wb, wp) AS (VALUES ('direct', 0.0, 0.0), ('categories', 0.1, 0.0), ('clusters', 0.0, 0.1), ('categories_clusters', 0.1, 0.1)),
+sc AS (SELECT id, approach, peer, pf, distance, round(distance - wb * bonus + wp * apart, 9) AS ranking_distance, win FROM pairs JOIN win USING (id), ap WHERE gap <= win),
+f AS (SELECT *, row_number() OVER (PARTITION BY id, approach, pf ORDER BY ranking_distance, peer, distance) AS rn FROM sc),
+k AS (SELECT *, row_number() OVER (PARTITION BY id, approach ORDER BY ranking_distance, peer) AS peer_rank FROM f WHERE rn = 1)"""
+
+
+def _ranked(t: Tables):
+    keys = ["make_name", "model_name", "year", "body_type"]
+    share = F.round(F.avg(F.when(F.col("transmission") == "A", 1.0).otherwise(0.0)), 6)
+    prof = t.used_cars.dropna(subset=keys).groupBy(*keys).agg(
+        F.round(F.avg("horsepower"), 6).alias("hp"), F.round(F.avg("city_fuel_economy"), 6).alias("mpg"), F.min("fuel_type").alias("fuel"), F.min("wheel_system").alias("wheels"), share.alias("pa"),
+        F.floor(F.avg("highway_fuel_economy") / 8).cast("int").alias("cl"), (F.count("*") >= 2).alias("ok"),
+    )
+    prof = prof.select(F.concat_ws("|", *keys).alias("id"), F.concat_ws("|", "make_name", "model_name").alias("fam"), F.col("body_type").alias("kind"), "year", "hp", "mpg", "fuel", "wheels", F.create_map(F.lit("auto"), F.col("pa"), F.lit("manual"), F.lit(1.0) - F.col("pa")).alias("gear"), "cl", "ok")
+    return P.ranked_peers(prof, "id", "fam", ["kind"], "year", (2, 5, 10), [(["hp", "mpg"], [], 2), ([], ["fuel", "wheels"], 1)], P.APPROACHES[:4], categories=["gear"], clusters=["cl"], eligible="ok")
+
+
+@q(_RANKED + " SELECT id, approach, peer_rank::BIGINT AS peer_rank, peer, distance, ranking_distance, win::DOUBLE AS \"window\" FROM k WHERE peer_rank <= 5")
+def ranked_peers(t: Tables):
+    """Five peers of other models per car profile, four ways, in the narrowest year window that gives five."""
+    return _ranked(t)[0]
+
+
+@q(_RANKED + """, s AS (SELECT id, approach, count(*) AS n FROM k WHERE peer_rank <= 5 GROUP BY ALL), o AS (SELECT kind, count(DISTINCT fam) AS fams, min(fam) AS one FROM fit GROUP BY 1)
+SELECT prof.id, ap.approach, coalesce(n, 0)::BIGINT AS slate_size, coalesce(win, 10.0)::DOUBLE AS "window",
+ CASE WHEN NOT ok THEN 'query_ineligible' WHEN fams IS NULL OR (fams = 1 AND one = fam) THEN 'no_compatible_family' WHEN n IS NULL THEN 'no_shared_evidence' WHEN n < 5 THEN 'shortfall' ELSE 'complete' END AS status
+FROM prof CROSS JOIN ap LEFT JOIN s ON s.id = prof.id AND s.approach = ap.approach LEFT JOIN win ON win.id = prof.id LEFT JOIN o ON o.kind = prof.kind""")
+def peer_statuses(t: Tables):
+    """What became of each profile's search, found or not."""
+    return _ranked(t)[1]
+
+
+@q(_RANKED + """, l AS (SELECT id, approach, list(DISTINCT peer) AS p, avg(distance) AS d FROM k WHERE peer_rank <= 5 GROUP BY ALL), r AS (SELECT id, p AS bp FROM l WHERE approach = 'direct')
+SELECT approach, count(*)::BIGINT AS queries, round(avg(d), 6) AS mean_distance, round(avg(len(list_intersect(p, bp)) / len(bp)), 6) AS mean_overlap FROM l JOIN r USING (id) GROUP BY 1""")
+def peer_comparison(t: Tables):
+    """Each way to rank against the plain one, over the profiles both serve."""
+    return P.compare_approaches(_ranked(t)[0], "id", "direct")

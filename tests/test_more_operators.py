@@ -190,3 +190,32 @@ def test_join_ignores_null_keys_of_the_one_side(spark):
     left = spark.createDataFrame([(1, "a"), (None, "b")], "k int, l string")
     right = spark.createDataFrame([(1, "x"), (None, "y"), (None, "z")], "k int, r string")
     assert sorted((r.l, r.r) for r in J.checked_join(left, right, ["k"]).collect()) == [("a", "x"), ("b", None)]
+
+
+def test_ranked_peers(spark):
+    """Window that widens, missing fields, statuses, one per family, categories and clusters."""
+    rows = [(f"q{i}", f"f{i}", "x", 2000 + i, float(i), None if i == 3 else "g", {"a": 1.0} if i % 2 else {"b": 1.0}, i % 3, True) for i in range(12)]
+    rows += [("twin", "f1", "x", 2001, 1.0, "g", {"a": 1.0}, 1, True), ("lone", "l", "y", 2000, 1.0, "g", None, None, True), ("bare", "b", "x", 2005, None, None, None, None, True), ("out", "o", "x", 2003, 3.0, "g", None, None, False), ("late", "z", "x", None, 3.0, "g", None, None, True)]
+    df = spark.createDataFrame(rows, "id string, fam string, kind string, year int, size double, gear string, cats map<string,double>, cl int, ok boolean")
+    peers, statuses = P.ranked_peers(df, "id", "fam", ["kind"], "year", (2, 5, 10), [(["size"], [], 1), ([], ["gear"], 1)], P.APPROACHES[:4], k=5, categories=["cats"], clusters=["cl"], eligible="ok")
+    got = {}
+    for r in peers.orderBy("peer_rank").collect():
+        got.setdefault((r.id, r.approach), []).append(r)
+    st = {(r.id, r.approach): (r.status, r.slate_size, r.window) for r in statuses.collect()}
+    assert len(st) == 4 * len(rows)
+    assert st["lone", "direct"][0] == "no_compatible_family" and st["out", "direct"][0] == "query_ineligible" and st["late", "direct"][0] == "query_ineligible"
+    assert st["bare", "direct"] == ("no_shared_evidence", 0, 10.0) and st["q3", "direct"][0] == "no_shared_evidence"
+    assert st["q0", "direct"] == ("complete", 5, 10.0) and [r.peer for r in got["q0", "direct"]] == ["q1", "q2", "q4", "q5", "q6"]
+    assert st["q6", "direct"] == ("complete", 5, 5.0)
+    assert all(len({r.peer for r in v} & {"q1", "twin"}) < 2 for v in got.values())
+    first = got["q0", "categories_clusters"][0]
+    assert first.ranking_distance != got["q0", "direct"][0].ranking_distance
+    assert P.ranked_peers(df.limit(0), "id", "fam", ["kind"], "year", (2,), [(["size"], [])])[0].count() == 0
+    c = {r.approach: r for r in P.compare_approaches(peers, "id", "direct").collect()}
+    assert c["direct"].mean_overlap == 1.0 and set(c) == {"direct", "categories", "clusters", "categories_clusters"}
+
+
+def test_missing_numbers_are_not_shared(spark):
+    df = spark.createDataFrame([("a", "f", "x", 1.0, None), ("b", "g", "x", 1.0, 2.0), ("c", "h", "x", 1.0, 5.0)], "id string, fam string, kind string, y double, v double")
+    got = {(r.id, r.peer) for r in P.nearest_peers(df, "id", "fam", ["kind"], "y", 1.0, [(["v"], [])]).collect()}
+    assert got == {("b", "c"), ("c", "b")}
