@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -81,13 +84,20 @@ def eta_ratio(df: DataFrame, category: str, value: str) -> DataFrame:
     return per.agg(tot.alias("n"), F.round(F.sqrt(between / (between + within)), 6).alias("eta"))
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Aggregate: correlation of the rows that have both; null without any or where one is constant."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation and overlap of every pair of columns, pairwise complete, in one scan."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     cols = []
     for i, (a, b) in enumerate(pairs):
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        cols += [F.corr(F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))).alias(f"r{i}"), F.count(F.when(both, 1)).alias(f"n{i}")]
+        cols += [pearson(F.col(a), F.col(b)).alias(f"r{i}"), F.count(F.when(both, 1)).alias(f"n{i}")]
     one = df.agg(*cols)
     return one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"n{i}").alias("overlap"), F.round(f"r{i}", 6).alias("pearson")) for i, (a, b) in enumerate(pairs)])))
 
@@ -113,14 +123,92 @@ def adjust_p(df: DataFrame, p: str, out: str = "q") -> DataFrame:
     return raw.withColumn(out, F.least(F.lit(1.0), F.min("__q").over(W.orderBy(F.col(p).desc()).rowsBetween(W.unboundedPreceding, W.currentRow)))).drop("__q")
 
 
+def poisson_count(u: Column, most: int = 12) -> Column:
+    """Poisson number of mean 1 from a uniform number in [0, 1); above ``most`` lies less than 1e-9."""
+    total, out = 0.0, F.lit(0)
+    for k in range(most):
+        total += math.exp(-1) / math.factorial(k)
+        out = out + (u >= total).cast("int")
+    return out
+
+
+def _draws(per: DataFrame, block: str, draws: int, seed: str) -> DataFrame:
+    """Each block once per draw with ``__k``, how often it is drawn: a Poisson number from its hash, so that
+    no block is moved and draws need nothing of each other."""
+    long = per.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    u = F.pmod(F.xxhash64(F.lit(seed), "draw", F.col(block)), F.lit(1 << 40).cast("bigint")) / float(1 << 40)
+    return long.withColumn("__k", poisson_count(u))
+
+
 def bootstrap_means(df: DataFrame, block: str, value: str, draws: int, seed: str = "boot") -> DataFrame:
-    """Block bootstrap by Poisson-like hashed weights: draw, mean. Each block gets a weight per draw
-    from a hash, so draws need no shuffle of rows beyond the block sums."""
+    """Block bootstrap: draw, mean. Blocks are reduced to sums before they are drawn; a draw without any
+    block has a null mean."""
     per = df.groupBy(block).agg(F.sum(value).alias("__s"), F.count(value).alias("__n"))
-    long = per.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "draw", F.col(block)), F.lit(1_000_000).cast("bigint")) / 1e6
-    k = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).when(u < 0.996340, 4).otherwise(5)
-    return long.withColumn("__k", k).groupBy("draw").agg((F.sum(F.col("__s") * F.col("__k")) / F.sum(F.col("__n") * F.col("__k"))).alias("mean"))
+    return _draws(per, block, draws, seed).groupBy("draw").agg(F.try_divide(F.sum(F.col("__s") * F.col("__k")), F.sum(F.col("__n") * F.col("__k"))).alias("mean"))
+
+
+def paired_bootstrap(df: DataFrame, block: str, segment: list[str], first: str, second: str, draws: int = 2000, seeds: tuple[str, ...] = ("a", "b"), level: float = 0.95) -> DataFrame:
+    """``segment``, seed, n, delta, low, high, decided: mean of second - first over rows that have both, with
+    the ends of its bootstrap interval over blocks; decided where the interval leaves out 0. Two seeds tell
+    whether the ends are stable."""
+    pairs = df.filter(F.col(first).isNotNull() & F.col(second).isNotNull())
+    per = pairs.groupBy(*segment, block).agg(F.sum(F.col(second) - F.col(first)).alias("__s"), F.count("*").alias("__n"))
+    whole = per.groupBy(*segment).agg(F.sum("__n").alias("n"), (F.sum("__s") / F.sum("__n")).alias("delta"))
+    parts = []
+    for seed in seeds:
+        means = _draws(per, block, draws, seed).groupBy(*segment, "draw").agg(F.try_divide(F.sum(F.col("__s") * F.col("__k")), F.sum(F.col("__n") * F.col("__k"))).alias("m"))
+        ends = means.groupBy(*segment).agg(F.percentile("m", (1 - level) / 2).alias("low"), F.percentile("m", (1 + level) / 2).alias("high"))  # ``draws`` values each
+        parts.append(ends.withColumn("seed", F.lit(seed)))
+    ends = reduce(DataFrame.unionByName, parts)
+    out = whole.join(ends, segment) if segment else with_row(ends, whole)
+    return out.select(*segment, "seed", "n", "delta", "low", "high", ((F.col("low") > 0) | (F.col("high") < 0)).alias("decided"))
+
+
+def mean_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
+    """``df`` with the mean rank of ``column`` among all rows that have one (ties share it).
+
+    Values are counted first; ranks are running sums over the different values, formed bucket by bucket of
+    the value's range, so no task sorts the whole column however many different values it has.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("__v")).agg(F.count("*").alias("__n"))
+    cuts = df.agg(F.percentile_approx(F.col(column).cast("double"), [i / 64 for i in range(1, 64)], 10000)).first()[0] or []
+    edges = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    counts = counts.withColumn("__b", F.size(F.filter(edges, lambda e: e < F.col("__v").cast("double"))))
+    before = {r["__b"]: r.n for r in counts.groupBy("__b").agg(F.sum("__n").alias("n")).collect()}  # at most 64 buckets
+    total, offsets = 0, {}
+    for b in sorted(before):
+        offsets[b] = total
+        total += before[b]
+    base = F.try_element_at(F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv]), F.col("__b")) if offsets else F.lit(0)
+    w = W.partitionBy("__b").orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranks = counts.withColumn(out, base + F.sum("__n").over(w) - (F.col("__n") - 1) / 2.0).select("__v", out)
+    return df.join(ranks, df[column] == ranks["__v"], "left").drop("__v")
+
+
+def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
+    """a, b, overlap, spearman of every pair of columns, pairwise complete: Pearson correlation of mean ranks
+    among the rows that have both. Null where a column is constant."""
+    parts = []
+    for i, a in enumerate(columns):
+        for b in columns[i + 1 :]:
+            both = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).dropna()
+            ranked = mean_ranks(mean_ranks(both, "a", "ra"), "b", "rb")
+            parts.append(ranked.agg(F.count("*").alias("overlap"), F.round(pearson(F.col("ra"), F.col("rb")), 6).alias("spearman")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "overlap", "spearman"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def modal_accuracy(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: n, correct, accuracy of guessing b from a by a's most frequent b."""
+    t = contingency(df, a, b).groupBy(a).agg(F.max("n").alias("top"), F.sum("n").alias("n"))
+    return t.agg(F.sum("n").alias("n"), F.sum("top").alias("correct"), F.round(F.try_divide(F.sum("top"), F.sum("n")), 9).alias("accuracy"))
+
+
+def condition_indices(df: DataFrame, columns: list[str]) -> list[float]:
+    """Square roots of the largest eigenvalue of the correlation matrix over each, ascending."""
+    import numpy as np
+
+    values = np.linalg.eigvalsh(_correlation_matrix(df, columns))
+    return sorted(float(np.sqrt(values[-1] / max(v, 1e-15))) for v in values)
 
 
 def inflation(df: DataFrame, columns: list[str]) -> dict[str, float]:
@@ -128,10 +216,16 @@ def inflation(df: DataFrame, columns: list[str]) -> dict[str, float]:
     columns x columns and comes from one aggregation."""
     import numpy as np
 
+    return dict(zip(columns, np.diag(np.linalg.inv(_correlation_matrix(df, columns))).tolist()))
+
+
+def _correlation_matrix(df: DataFrame, columns: list[str]):
+    import numpy as np
+
     n = len(columns)
-    cells = df.dropna(subset=columns).agg(*[F.corr(a, b).alias(f"r{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j]).first()
+    cells = df.dropna(subset=columns).agg(*[pearson(F.col(a), F.col(b)).alias(f"r{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j]).first()
     m = np.eye(n)
     for i in range(n):
         for j in range(i + 1, n):
             m[i, j] = m[j, i] = cells[f"r{i}_{j}"]
-    return dict(zip(columns, np.diag(np.linalg.inv(m)).tolist()))
+    return m

@@ -8,7 +8,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import IDF, PCA, HashingTF, Imputer, NGram, StandardScaler, StringIndexer, Tokenizer, VectorAssembler
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,13 +85,14 @@ def tfidf(df: DataFrame, text: str, buckets: int = 1 << 14, pairs: bool = True)
     return IDF(inputCol="__tf", outputCol="tfidf", minDocFreq=2).fit(tf).transform(tf).drop("__tf")
 
 
-def project(df: DataFrame, numeric: list[str], k: int = 2) -> DataFrame:
-    """``projection``: principal components of standardised columns, fitted on all rows."""
+def project(df: DataFrame, numeric: list[str], k: int = 2, development: Column | None = None) -> DataFrame:
+    """``projection``: principal components of standardised columns, fitted on the ``development`` rows (by
+    default all) and applied to every row."""
     if (empty := _none(df, projection=VectorUDT())) is not None:
         return empty
     base = with_flags(df, numeric)
     x = Pipeline(stages=[Imputer(strategy="median", inputCols=numeric, outputCols=[f"{c}__i" for c in numeric]), VectorAssembler(inputCols=[f"{c}__i" for c in numeric], outputCol="__raw"), StandardScaler(inputCol="__raw", outputCol="__s", withMean=True), PCA(k=k, inputCol="__s", outputCol="projection")])
-    return x.fit(base).transform(base)
+    return x.fit(base if development is None else base.filter(development)).transform(base)
 
 
 def reject_far(clustered: DataFrame, centres: list, share: float = 0.95) -> DataFrame:

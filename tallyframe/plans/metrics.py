@@ -147,3 +147,30 @@ def review_gate(t: Tables):
     x = t.events.groupBy("event_type", (F.col("user_id") % 4).alias("approach")).agg(F.avg("value").alias("score"))
     w = x.groupBy("event_type").agg(F.max(F.when(F.col("approach") == 0, F.col("score"))).alias("s0"), F.max(F.when(F.col("approach") == 1, F.col("score"))).alias("s1"))
     return w.select("event_type", F.round("s0", 6).alias("a0"), F.round("s1", 6).alias("a1"), F.round(F.col("s1") - F.col("s0"), 6).alias("delta"), (F.col("s1") - F.col("s0") > 0).alias("adopt"))
+
+
+@q("""
+WITH p AS (SELECT l_quantity AS a, l_extendedprice AS b, l_discount AS c FROM lineitem),
+r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb, rank() OVER (ORDER BY c) + (count(*) OVER (PARTITION BY c) - 1) / 2.0 AS rc FROM p WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL)
+SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, count(*)::BIGINT AS overlap, round(corr(ra, rb), 6) AS spearman FROM r UNION ALL SELECT 'l_quantity', 'l_discount', count(*)::BIGINT, round(corr(ra, rc), 6) FROM r UNION ALL SELECT 'l_extendedprice', 'l_discount', count(*)::BIGINT, round(corr(rb, rc), 6) FROM r
+""")
+def spearman_ranks(t: Tables):
+    """Rank correlation of every pair of columns, ties at their mean rank."""
+    return M.spearman(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount"])
+
+
+@q()
+def paired_intervals(t: Tables):
+    """Whether rounding predictions to thousands changes their error, per priority, resampling customers."""
+    rows = _predictions(t)
+    e1, e2 = F.abs(F.col("predicted") - F.col("o_totalprice")), F.abs(F.round("predicted", -3) - F.col("o_totalprice"))
+    return M.paired_bootstrap(rows.select("o_custkey", "o_orderpriority", e1.alias("e1"), e2.alias("e2")), "o_custkey", ["o_orderpriority"], "e1", "e2", draws=200)
+
+
+@q("""
+WITH c AS (SELECT fuel_type, wheel_system, count(*) AS n FROM used_cars WHERE fuel_type IS NOT NULL AND wheel_system IS NOT NULL GROUP BY ALL), g AS (SELECT fuel_type, max(n) AS top, sum(n) AS n FROM c GROUP BY 1)
+SELECT sum(n)::BIGINT AS n, sum(top)::BIGINT AS correct, round(sum(top) / sum(n), 9) AS accuracy FROM g
+""")
+def modal_mapping(t: Tables):
+    """How often the wheel system follows from the fuel type alone."""
+    return M.modal_accuracy(t.used_cars, "fuel_type", "wheel_system")

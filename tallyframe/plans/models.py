@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ml
+from ..operators import ml, models
 from ..streaming import windows as ST
 from .registry import Registry, Tables
 
@@ -38,7 +38,8 @@ def tfidf_vectors(t: Tables):
 @q()
 def profile_projection(t: Tables):
     prof = t.part.groupBy("p_brand", "p_type").agg(F.avg("p_size").alias("size"), F.avg("p_retailprice").alias("price"), F.max("p_retailprice").alias("top"))
-    return ml.project(prof, ["size", "price", "top"]).select("p_brand", "p_type", F.col("projection").cast("string").alias("projection"))
+    development = F.pmod(F.xxhash64("p_brand"), F.lit(5).cast("bigint")) > 0
+    return ml.project(prof, ["size", "price", "top"], development=development).select("p_brand", "p_type", F.col("projection").cast("string").alias("projection"))
 
 
 @q("""
@@ -84,3 +85,74 @@ def relevance_folds(t: Tables):
     lab = t.comments.filter("sentiment IN ('positive', 'negative')").groupBy(F.col("id").alias("comment_id")).agg(F.max((F.col("sentiment") == "positive").cast("double")).alias("label"))
     rows = t.youtube_comments_sentiment.select("row_id", "comment_id", "video_id", "text").join(lab, "comment_id").withColumn("fold", hash_mod("video_id", 3))
     return ml.text_classifier(rows, "text", "label", "fold", 3).select("row_id", "label", "fold", "probability_1")
+
+
+def _cars(t: Tables):
+    from ..functions.expr import hash_mod
+
+    miles = F.when(~F.isnan("mileage") & (F.col("mileage") < 1e6), F.col("mileage"))
+    cars = t.used_cars.filter("price > 500 AND price < 500000 AND vin IS NOT NULL").withColumn("mileage", miles)
+    return cars.select("row_id", "vin", "price", "mileage", "year", "horsepower", "make_name", "body_type", "feed").withColumn("fold", hash_mod("vin", 3))
+
+
+_NUMERIC, _CATEGORICAL = ["mileage", "year", "horsepower"], ["make_name", "body_type", "feed"]
+
+
+@q()
+def regressor_comparison(t: Tables):
+    """Eight regressors and the median, by their error on held-out vehicles."""
+    cars = _cars(t)
+    return models.compare_regressors(cars.filter("fold > 0"), cars.filter("fold = 0"), "price", _NUMERIC, _CATEGORICAL)
+
+
+@q()
+def nested_predictions(t: Tables):
+    """Every listing's price by a model that was chosen and fitted without its fold."""
+    return models.nested_out_of_fold(_cars(t), "row_id", "vin", "price", _NUMERIC, _CATEGORICAL, "fold", 3)[0].select("row_id", "fold", "price", "prediction")
+
+
+@q()
+def nested_receipts(t: Tables):
+    return models.nested_out_of_fold(_cars(t), "row_id", "vin", "price", _NUMERIC, _CATEGORICAL, "fold", 3)[1]
+
+
+@q()
+def forest_growth(t: Tables):
+    """A forest grown until three batches in a row bring less than 0.1 %."""
+    cars = ml.with_flags(_cars(t), _NUMERIC).withColumn("y", F.log1p("price"))
+    x = ml.features(_NUMERIC, _CATEGORICAL).fit(cars.filter("fold > 0")).transform(cars).select("row_id", "fold", "y", "features")
+    return models.grow_until_plateau(x.filter("fold > 0"), x.filter("fold = 0"), "row_id", "y", batch=20)[1]
+
+
+@q()
+def price_parts(t: Tables):
+    """What each field adds to the logarithm of a listing's price; the parts add up to the prediction."""
+    cars = _cars(t)
+    model = models.fit_log_model(cars.filter("fold > 0"), "price", _NUMERIC, _CATEGORICAL, "ridge")
+    return models.explain_log_model(model, cars, _CATEGORICAL).select("row_id", F.explode("parts").alias("field", "part"), "base", "prediction")
+
+
+@q()
+def gated_comment_labels(t: Tables):
+    """Report of the sentiment labels that may be emitted for comments, by gates on unseen videos."""
+    labels = t.comments.filter("sentiment IS NOT NULL").groupBy(F.col("id").alias("comment_id")).agg(F.collect_set("sentiment").alias("labels"))
+    rows = t.youtube_comments_sentiment.select("row_id", "comment_id", "video_id", F.coalesce("text", F.lit("")).alias("text")).join(labels, "comment_id", "left")
+    tf = ml.term_counts(rows, "text", 1 << 12, True).withColumnRenamed("__tf", "features")
+    return models.gated_labels(tf, "row_id", "video_id", "labels", ["positive", "negative", "neutral", "mixed"])[1]
+
+
+@q()
+def partition_stability(t: Tables):
+    """Whether partitions of the car profiles hold up under refits on other draws of the models."""
+    prof = t.used_cars.dropna(subset=["make_name", "model_name", "year"]).groupBy("make_name", "model_name", "year").agg(F.avg("horsepower").alias("hp"), F.avg("city_fuel_economy").alias("mpg"), F.avg("highway_fuel_economy").alias("hwy"))
+    prof = prof.withColumn("id", F.concat_ws("|", "make_name", "model_name", "year")).withColumn("fam", F.concat_ws("|", "make_name", "model_name"))
+    return models.stability_screen(prof, "id", "fam", ["hp", "mpg", "hwy"], [], (3, 5), refits=10)
+
+
+@q()
+def isolated_text_vectors(t: Tables):
+    """Word vectors of comments whose rarity comes from other videos and other texts."""
+    from ..functions.expr import hash_mod
+
+    v = models.isolated_vectors(t.youtube_comments_sentiment.withColumn("fold", hash_mod("video_id", 3)), "row_id", "text", "fold", 3)
+    return v.select("row_id", "fold", F.col("tfidf").cast("string").alias("vector"))
