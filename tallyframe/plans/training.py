@@ -64,12 +64,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_vpic_wide, p4_safety_wide, p5_found, p5_common_units, p6_found, p6_shredded, p7_found)}
 
-_FILL = ", ".join(f"'{x}'" for x in eav.FILLERS)
+# The SQL has words, names and patterns of its own, taken from the tables' description.
+_FILL = "'', '-', '--', 'n/a', 'na', 'n.a.', 'none', 'null', 'nan', 'unknown', 'tbd', 'nr', 'not rated', 'not reported', 'not applicable', 'see note'"
 _CLEAN_ID = r"regexp_replace(regexp_replace(trim(variable_id), '\.0*$', ''), '^#?0*([0-9])', '\1')"
-_WHOLE = r"^([+-]?)0*(\d{1,3}(?:,\d{3})+|\d+)(?:\.0*)?(?:\s*stars?)?$"
-_NUM = f"""CASE WHEN lower(v) IN ({_FILL}) THEN NULL WHEN regexp_matches(lower(v), '{_WHOLE}') THEN
- ((CASE WHEN regexp_extract(v, '{_WHOLE}', 1) = '-' THEN '-' ELSE '' END) || replace(regexp_extract(lower(v), '{_WHOLE}', 2), ',', ''))::BIGINT END"""
-_SAFETY_INT = ", ".join(f"('{a.name}')" for a in eav.SAFETY if a.data_type == "int")
+_STARS = r"regexp_replace(lower(v), '\s*stars?$', '')"
+_GROUPED = rf"CASE WHEN regexp_full_match({_STARS}, '[+-]?[0-9]+(,[0-9][0-9][0-9])*(\.0*)?') AND NOT regexp_matches({_STARS}, '[0-9][0-9][0-9][0-9],') THEN replace({_STARS}, ',', '') END"
+_NUM = f"try_cast(split_part({_GROUPED}, '.', 1) AS BIGINT)"
+_SAFETY_INT = "('OverallRating'), ('OverallFrontCrashRating'), ('OverallSideCrashRating'), ('RolloverRating'), ('SidePoleCrashRating'), ('ComplaintsCount'), ('RecallsCount'), ('InvestigationCount'), ('ModelYear')"
 
 
 def _money(col: str) -> str:
@@ -83,15 +84,7 @@ def _length(col: str) -> str:
     return "(CASE " + " ".join(f"WHEN regexp_matches(lower({col}), '(^|[^a-z])({p})([^a-z]|$)') THEN '{u}'" for u, p in kinds) + " END)"
 
 
-ORACLE = {
-    "p4_found": rf"""
-WITH m AS (SELECT variable_code, variable_id FROM nhtsa_vpic_variable_metadata WHERE data_type = 'int'),
-a AS (SELECT vin, model_year_hint, variable_code, regexp_replace(value, '^\s+|\s+$', '', 'g') AS v FROM (SELECT *, {_CLEAN_ID} AS cid FROM nhtsa_vpic_values) x JOIN m ON x.cid = m.variable_id),
-s AS (SELECT query_id, vehicle_id, n.name, regexp_replace(field_value, '^\s+|\s+$', '', 'g') AS v FROM nhtsa_safety_rating_values r JOIN (VALUES {_SAFETY_INT}) n(name) ON lower(regexp_replace(field_name, '[^\p{{L}}\p{{N}}]', '', 'g')) = lower(n.name)),
-u AS (SELECT DISTINCT 'nhtsa_vpic_values' AS source_table, coalesce(vin, '') AS key_a, coalesce(model_year_hint::VARCHAR, '') AS key_b, variable_code AS attribute_name, {_NUM} AS int_value FROM a
-UNION ALL SELECT DISTINCT 'nhtsa_safety_rating_values', coalesce(query_id::VARCHAR, ''), coalesce(vehicle_id, ''), name, {_NUM} FROM s)
-SELECT * FROM u WHERE int_value IS NOT NULL""",
-    "p5_found": rf"""
+_P5 = rf"""
 WITH n AS (SELECT feed, {_length("note")} AS lu, {_money("note")} AS mu FROM feed_notes),
 r AS (SELECT currency || s AS u, usd_per_unit * f AS k FROM fx_rates, (VALUES ('', 1.0::DOUBLE), ('/100', 0.01), ('*1000', 1000.0)) x(s, f)),
 l(u, k) AS (VALUES ('in', 1.0::DOUBLE), ('ft', 12.0), ('cm', 1 / 2.54::DOUBLE), ('mm', 1 / 25.4::DOUBLE), ('m', 100 / 2.54::DOUBLE)),
@@ -101,10 +94,26 @@ g AS (SELECT row_id, feed, t, regexp_extract(t, '^([0-9][0-9.,]*)', 1) AS num, t
 w AS (SELECT g.row_id, fi, num, coalesce(CASE WHEN rest = '"' THEN 'in' ELSE {_length("rest")} END, CASE WHEN rest = '' THEN coalesce(n.lu, 'in') END) AS u FROM g LEFT JOIN n USING (feed) WHERE NOT frac),
 x AS (SELECT row_id, CASE WHEN fi.f <> '' THEN try_cast(fi.f AS DOUBLE) * 12 + try_cast(fi.i AS DOUBLE) ELSE CASE WHEN u = 'mm' AND regexp_full_match(num, '\d{{1,3}}(,\d{{3}})+') THEN try_cast(replace(num, ',', '') AS DOUBLE) ELSE try_cast(replace(num, ',', '.') AS DOUBLE) END * k END AS v, fi.f <> '' OR u <> 'in' AS keep FROM w LEFT JOIN l USING (u)),
 p AS (SELECT row_id, price, coalesce({_money("price_unit")}, {_money("description")}, n.mu, 'USD') AS u FROM used_cars LEFT JOIN n USING (feed) WHERE price IS NOT NULL)
+"""
+
+ORACLE = {
+    "p4_found": rf"""
+WITH m AS (SELECT variable_code, variable_id FROM nhtsa_vpic_variable_metadata WHERE data_type = 'int'),
+a AS (SELECT vin, model_year_hint, variable_code, regexp_replace(value, '^\s+|\s+$', '', 'g') AS v FROM (SELECT *, {_CLEAN_ID} AS cid FROM nhtsa_vpic_values) x JOIN m ON x.cid = m.variable_id),
+s AS (SELECT query_id, vehicle_id, n.name, regexp_replace(field_value, '^\s+|\s+$', '', 'g') AS v FROM nhtsa_safety_rating_values r JOIN (VALUES {_SAFETY_INT}) n(name) ON lower(regexp_replace(field_name, '[^\p{{L}}\p{{N}}]', '', 'g')) = lower(n.name)),
+u AS (SELECT DISTINCT 'nhtsa_vpic_values' AS source_table, coalesce(vin, '') AS key_a, coalesce(model_year_hint::VARCHAR, '') AS key_b, variable_code AS attribute_name, {_NUM} AS int_value FROM a
+UNION ALL SELECT DISTINCT 'nhtsa_safety_rating_values', coalesce(query_id::VARCHAR, ''), coalesce(vehicle_id, ''), name, {_NUM} FROM s)
+SELECT * FROM u WHERE int_value IS NOT NULL""",
+    "p5_found": _P5 + r"""
 SELECT row_id, 'height' AS field_name, round(v)::BIGINT AS common_value FROM x WHERE keep AND v IS NOT NULL
 UNION ALL SELECT row_id, 'price', round(round(price * k, 6))::BIGINT FROM p JOIN r USING (u) WHERE u <> 'USD'""",
 }
 
+ORACLE["p5_common_units"] = _P5 + r"""
+SELECT c.row_id, x.v AS height_in, CASE WHEN x.v IS NOT NULL THEN NOT x.keep END AS height_recorded_in_inches, round(p.price * r.k, 6) AS price_usd, CASE WHEN p.price IS NOT NULL THEN p.u = 'USD' END AS price_recorded_in_usd
+FROM used_cars c LEFT JOIN (SELECT row_id, v, keep FROM x WHERE v IS NOT NULL UNION ALL SELECT row_id, split_part(t, ' ', 1)::DOUBLE + split_part(split_part(t, ' ', 2), '/', 1)::DOUBLE / split_part(split_part(t, ' ', 2), '/', 2)::DOUBLE, false FROM g WHERE frac) x ON x.row_id = c.row_id
+LEFT JOIN p ON p.row_id = c.row_id LEFT JOIN r ON r.u = p.u"""
+
 _TYPED = {
     "int": r"CASE WHEN regexp_full_match(cv, '-?\d+') THEN try_cast(cv AS BIGINT) END",
     "double": "CASE WHEN isfinite(try_cast(replace(cv, ',', '') AS DOUBLE)) THEN try_cast(replace(cv, ',', '') AS DOUBLE) END",
@@ -116,7 +125,7 @@ _VPIC = [("ABS", "string"), ("CurbWeightLB", "int"), ("DisplacementCC", "int"),
 
 def _wide_sql(rows: str, keys: str, attributes: list[tuple[str, str]]) -> str:
     """``rows`` gives keys, a (attribute), k (data type), v (trimmed value), t (time or null)."""
-    clean = rf"CASE WHEN lower(v) IN ({_FILL}) THEN NULL WHEN k = 'int' AND regexp_matches(lower(v), '{_WHOLE}') THEN (CASE WHEN regexp_extract(v, '{_WHOLE}', 1) = '-' THEN '-' ELSE '' END) || replace(regexp_extract(lower(v), '{_WHOLE}', 2), ',', '') ELSE v END"
+    clean = rf"CASE WHEN lower(v) IN ({_FILL}) THEN NULL WHEN k = 'int' AND {_NUM} IS NOT NULL THEN ({_NUM})::VARCHAR ELSE v END"
     cols = ", ".join(f"max({_TYPED[k]}) FILTER (a = '{n}') AS \"{n}\"" for n, k in attributes)
     fails = " OR ".join(f"(k = '{k}' AND ({x}) IS NULL)" for k, x in _TYPED.items())
     return rf"""
@@ -125,9 +134,11 @@ r AS (SELECT *, row_number() OVER (PARTITION BY {keys}, a ORDER BY t DESC NULLS
 SELECT {keys}, {cols}, '{{' || coalesce(string_agg('"' || a || '":"' || cv || '"', ',' ORDER BY a) FILTER ({fails}), '') || '}}' AS cast_failures FROM r WHERE rn = 1 GROUP BY {keys}"""
 
 
-_KINDS = ", ".join(f"('{a.name}', '{a.data_type}')" for a in eav.SAFETY)
+_SAFETY = [(x, "int") for x in ("OverallRating", "OverallFrontCrashRating", "OverallSideCrashRating", "RolloverRating", "SidePoleCrashRating", "ComplaintsCount", "RecallsCount", "InvestigationCount", "ModelYear")]
+_SAFETY += [(x, "string") for x in ("Make", "Model", "VehicleDescription", "ElectronicStabilityControl", "ForwardCollisionWarning", "LaneDepartureWarning", "dynamicTipResult")] + [("RolloverPossibility", "double")]
+_KINDS = ", ".join(f"('{n}', '{k}')" for n, k in _SAFETY)
 ORACLE["p4_vpic_wide"] = _wide_sql(rf"SELECT vin, model_year_hint, variable_code AS a, data_type AS k, regexp_replace(value, '^\s+|\s+$', '', 'g') AS v, fetched_at AS t FROM (SELECT *, {_CLEAN_ID} AS cid FROM nhtsa_vpic_values) x JOIN nhtsa_vpic_variable_metadata m ON x.cid = m.variable_id", "vin, model_year_hint", _VPIC)
-ORACLE["p4_safety_wide"] = _wide_sql(rf"SELECT query_id, vehicle_id, n.name AS a, n.kind AS k, regexp_replace(field_value, '^\s+|\s+$', '', 'g') AS v, NULL::TIMESTAMP AS t FROM nhtsa_safety_rating_values r JOIN (VALUES {_KINDS}) n(name, kind) ON lower(regexp_replace(field_name, '[^\p{{L}}\p{{N}}]', '', 'g')) = lower(n.name)", "query_id, vehicle_id", [(a.name, a.data_type) for a in eav.SAFETY])
+ORACLE["p4_safety_wide"] = _wide_sql(rf"SELECT query_id, vehicle_id, n.name AS a, n.kind AS k, regexp_replace(field_value, '^\s+|\s+$', '', 'g') AS v, NULL::TIMESTAMP AS t FROM nhtsa_safety_rating_values r JOIN (VALUES {_KINDS}) n(name, kind) ON lower(regexp_replace(field_name, '[^\p{{L}}\p{{N}}]', '', 'g')) = lower(n.name)", "query_id, vehicle_id", _SAFETY)
 
 _DELIM = r",;|\t\r\n•"
 _TOKEN = rf"""[{_DELIM}]\s*("(?:\\.|""|[^"\\])*"|''(?:\\.|[^''\\])*''|[^{_DELIM}]*)"""
