@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import spread
+from ..sources.shared import materialise, spread
 
 LANGUAGES = ("en", "es", "pt", "fr", "de", "it", "nl", "pl", "tr", "ru", "ja")
 # Spellings of each language in labels, besides codes with a region ('pt-BR').
@@ -304,19 +304,25 @@ def fit(rows: list[tuple[str, str]], keep: float = 0.2, rounds: int = 2) -> Lang
     return model
 
 
-def training_rows(texts: DataFrame, named: DataFrame, per_language: int = 3000) -> list[tuple[str, str]]:
+def training_rows(texts: DataFrame, named: DataFrame, per_language: int = 3000, most_copies: int = 8) -> list[tuple[str, str]]:
     """About ``per_language`` labelled texts of each language: the documented bound of what the driver
     fits on. Keys are drawn from the labels by a hash threshold that follows each language's count, so
     nothing is sorted; the drawn keys (at most about ``per_language`` x languages) are broadcast to
-    the texts. ``texts``: k, t; ``named``: k, code."""
+    the texts. ``texts``: k, t; ``named``: k, code. Twice as many keys as wanted, or ``most_copies`` texts
+    a key on average, are an error and no rows are left out."""
     sizes = {r.code: r.n for r in named.groupBy("code").agg(F.count("*").alias("n")).collect()}  # one row per language
     sizes = {x: n for x, n in sizes.items() if x in LANGUAGES}
     if not sizes:
         return []
     share = F.try_element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))]), F.col("code"))
-    unit = F.pmod(F.xxhash64(F.lit("lang"), F.col("k").cast("string")), F.lit(1_000_000).cast("bigint")) / 1e6
-    drawn = named.filter(unit < share).limit(2 * per_language * len(LANGUAGES))
-    rows = texts.filter("t IS NOT NULL").join(F.broadcast(drawn), "k").select("k", "t", "code").limit(8 * per_language * len(LANGUAGES)).collect()
+    unit = F.pmod(F.xxhash64(F.lit("lang"), F.col("k").cast("string")), F.lit(1 << 40).cast("bigint")) / float(1 << 40)
+    bound = 2 * per_language * len(LANGUAGES)
+    drawn = materialise(named.filter(unit < share), "labels")
+    if drawn.count() > bound:
+        raise ValueError(f"more than {bound} training keys drawn")
+    rows = texts.filter("t IS NOT NULL").join(F.broadcast(drawn), "k").select("k", "t", "code").limit(most_copies * bound + 1).collect()
+    if len(rows) > most_copies * bound:
+        raise ValueError(f"more than {most_copies * bound} training texts: keys have too many")
     return sorted((r.t, r.code) for r in rows)
 
 

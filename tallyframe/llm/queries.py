@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +19,16 @@ def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_merged_slices(spark: SparkSession, d: str) -> DataFrame:
-    """Summaries per listed_date, merged, with the bounds they give. The merge is one more
-    aggregation over the slices' digits."""
+    """Summaries of separate slices of listed_date, made apart and merged, beside the exact percentiles of the
+    whole: do they hold them, within the stated error?"""
     cars = read_table(spark, d, "used_cars")
-    slices = radix.radix_histogram(cars, [*_GROUPS, "listed_date"], ["price", "mileage"])
-    whole = radix.merge_histograms([slices.drop("listed_date")], _GROUPS)
-    return radix.histogram_percentiles(whole, _GROUPS, PERCENTILES)
+    slices = [cars.filter("listed_date IS NULL"), cars.filter("year(listed_date) % 2 = 0"), cars.filter("year(listed_date) % 2 <> 0")]
+    whole = radix.merge_histograms([radix.radix_histogram(part, _GROUPS, ["price", "mileage"]) for part in slices], _GROUPS)
+    merged = radix.histogram_percentiles(whole, _GROUPS, PERCENTILES).withColumnRenamed("n_values", "merged_n")
+    exact = p1_percentiles(spark, d)
+    same = [exact[c].eqNullSafe(merged[c]) for c in [*_GROUPS, "metric", "p"]]
+    inside = (F.col("lower") <= F.col("value")) & (F.col("value") <= F.col("upper")) & (F.col("n_values") == F.col("merged_n")) & (F.col("upper") - F.col("lower") <= F.abs("value") * 2.0**-8)
+    return exact.join(merged.drop("n_values"), reduce(lambda a, b: a & b, same), "left").select(exact["make_name"], exact["model_name"], exact["metric"], exact["p"], exact["n_values"], exact["value"], F.coalesce(inside, F.lit(False)).alias("within_bound"))
 
 
 def _languages(spark: SparkSession, d: str) -> DataFrame:
@@ -102,3 +108,4 @@ SELECT make_name, model_name, metric, ([{_PS}])[i]::DOUBLE AS p, n_values, qs[i]
 FROM q, (SELECT unnest([1, 2, 3, 4, 5]) AS i)
 """,
 }
+ORACLE["p1_merged_slices"] = f"SELECT *, true AS within_bound FROM ({ORACLE['p1_percentiles']})"

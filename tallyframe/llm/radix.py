@@ -103,7 +103,8 @@ def histogram_percentiles(hist: DataFrame, groups: list[str], ps: list[float], b
 def radix_percentiles(df: DataFrame, groups: list[str], columns: list[str], ps: list[float], digit_bits: int = 16) -> DataFrame:
     """Exact nearest-rank percentiles: ``groups``, metric, p, n_values, value.
 
-    64 / ``digit_bits`` passes over the needed columns. Each pass counts one digit per group with
+    The ordered integers are written once, with their groups; 64 / ``digit_bits`` passes read them. Each pass
+    counts one digit per group with
     map-side combine and keeps only rows under the prefixes that still hold a target; prefixes are a
     table of groups x percentiles that is joined on group and prefix, so a hot group spreads over its
     prefixes. It is written to the shared folder after each pass. Groups without a finite value have
@@ -122,6 +123,7 @@ def radix_percentiles(df: DataFrame, groups: list[str], columns: list[str], ps:
     for c in g:
         rows = rows.withColumn(c, F.coalesce(F.col(c), F.lit("" if kinds[c].simpleString() == "string" else "0").cast(kinds[c])))
     by = [*keys, "metric"]
+    rows = materialise(rows, "bits")
     wanted = None
     for step in range(64 // digit_bits):
         shift = 64 - digit_bits * (step + 1)
