@@ -73,12 +73,23 @@ def range_join(left: DataFrame, ranges: DataFrame, on: list[str], point: str, lo
     return joined.drop("__b")
 
 
+def prefix_join(left: DataFrame, prefixes: DataFrame, on: list[str], text: str, prefix: str) -> DataFrame:
+    """Each left row with every prefix (equal to its text, or followed by a blank in it) within equal ``on``.
+
+    A row lists the beginnings of its text that end before a blank, so the join is an equality on ``on`` and the
+    beginning: a hot ``on`` value is split by them instead of meeting all of its prefixes. Null texts and
+    keys have none; repeated prefixes count once.
+    """
+    words = F.split(F.col(text), " ")
+    begins = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, 1, n), " "))
+    return left.withColumn(prefix, F.explode(begins)).join(prefixes.select(*on, prefix).distinct(), [*on, prefix])
+
+
 def longest_prefix_join(left: DataFrame, prefixes: DataFrame, on: list[str], text: str, prefix: str, key: list[str]) -> DataFrame:
-    """Each left row with its longest prefix (equal, or followed by a blank) within equal ``on``;
-    null where none fits. Two different prefixes of one length can't both fit."""
-    cond = reduce(lambda a, b: a & b, [left[c] == prefixes[c] for c in on] + [(left[text] == prefixes[prefix]) | left[text].startswith(F.concat(prefixes[prefix], F.lit(" ")))])
-    hits = left.join(prefixes, cond, "inner").select(*[left[k].alias(k) for k in key], prefixes[prefix].alias("matched_prefix"))
-    best = hits.groupBy(*key).agg(F.max_by("matched_prefix", F.length("matched_prefix")).alias("matched_prefix"))
+    """Each left row with ``matched_prefix``, its longest prefix (see :func:`prefix_join`); null where none fits.
+    Two different prefixes of one length can't both fit."""
+    hits = prefix_join(left.select(*dict.fromkeys([*key, *on, text])), prefixes, on, text, prefix)
+    best = hits.groupBy(*key).agg(F.max_by(prefix, F.length(prefix)).alias("matched_prefix"))
     return left.join(best, key, "left")
 
 

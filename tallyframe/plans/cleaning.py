@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import canonical, finite, parse_double, parse_int
 from ..operators import clean as CL
 from ..operators import joins as J
+from ..operators import frames as FR
 from .registry import Registry, Tables
 
 q = Registry()
@@ -118,7 +119,7 @@ SELECT row_id, (listed_date + daysonmarket::INT)::DATE AS proxy_date FROM used_c
 """)
 def date_proxy(t: Tables):
     """Listing date plus days on the market."""
-    return t.used_cars.filter("daysonmarket BETWEEN 0 AND 10000").select("row_id", F.date_add("listed_date", F.col("daysonmarket").cast("int")).alias("proxy_date"))
+    return t.used_cars.select("row_id", FR.date_after(F.col("listed_date"), F.col("daysonmarket")).alias("proxy_date"), "daysonmarket").filter("daysonmarket BETWEEN 0 AND 10000").drop("daysonmarket")
 
 
 @q("""

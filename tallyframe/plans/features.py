@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.expr import finite, hash_mod, norm_key, with_row
+from ..operators import frames as FR
 from .registry import Registry, Tables
 
 q = Registry()
@@ -20,11 +21,7 @@ SELECT row_id, CASE WHEN price > 0 THEN round(ln(1 + price), 6) END AS log_price
 def listing_features(t: Tables):
     """Logs and option flags; flags are null where the field is no list."""
     m, o = finite(F.col("mileage")), F.col("major_options")
-    is_list = F.trim(o).startswith("[")
-    return t.used_cars.select(
-        "row_id", F.when(F.col("price") > 0, F.round(F.log1p("price"), 6)).alias("log_price"), F.when(m >= 0, F.round(F.log1p(m), 6)).alias("log_miles"),
-        F.when(is_list, o.contains("Leather Seats").cast("int")).alias("has_leather"), F.when(is_list, o.rlike("['\"]Navigation System['\"]").cast("int")).alias("has_navigation"),
-    )
+    return t.used_cars.select("row_id", FR.log_if(F.col("price"), F.col("price") > 0).alias("log_price"), FR.log_if(m, m >= 0).alias("log_miles"), F.when(F.trim(o).startswith("["), o.contains("Leather Seats").cast("int")).alias("has_leather"), FR.option_flag(o, "Navigation System").alias("has_navigation"))
 
 
 @q(rf"""
@@ -50,8 +47,8 @@ def fallback_identity(t: Tables):
     """Identity from the decode, else from the listing, with its provenance."""
     d = t.nhtsa_vpic_values.groupBy("vin").agg(F.max(F.when(F.trim("variable_id").isin("201", "0201", "201.0"), F.col("value"))).alias("dmake"))
     j = t.used_cars.select("row_id", "vin", "make_name").join(d, "vin", "left")
-    source = F.when(F.col("dmake").isNotNull(), "decoded").when(F.col("make_name").isNotNull(), "listing").otherwise("missing")
-    return j.select("row_id", F.coalesce(norm_key(F.col("dmake")), norm_key(F.col("make_name"))).alias("make_key"), source.alias("make_source"))
+    value, source = FR.first_source({"decoded": norm_key(F.col("dmake")), "listing": norm_key(F.col("make_name"))})
+    return j.select("row_id", value.alias("make_key"), source.alias("make_source"))
 
 
 @q(r"""
@@ -64,9 +61,7 @@ def torque_text(t: Tables):
     s = t.part.select("p_partkey", F.concat((F.col("p_size") + 100).cast("string"), F.lit(" lb-ft @ "), (F.col("p_size") * 10 + 2000).cast("string"), F.lit(" RPM")).alias("raw"))
     k = F.col("p_size") % 3
     s = s.unionByName(t.part.select((-F.col("p_partkey")).alias("p_partkey"), F.when(k == 1, "none").when(k == 2, F.concat(F.col("p_size").cast("string"), F.lit(" Nm"))).alias("raw")))
-    raw = F.col("raw")
-    nm = F.when(raw.contains("lb-ft"), F.round(F.regexp_extract(raw, r"(\d+(?:\.\d+)?)\s*lb-ft", 1).try_cast("double") * 1.3558179483, 6)).when(raw.contains("Nm"), F.regexp_extract(raw, r"(\d+(?:\.\d+)?)\s*Nm", 1).try_cast("double"))
-    return s.select("p_partkey", nm.alias("nm"), F.regexp_extract(raw, r"(\d+)\s*RPM", 1).try_cast("int").alias("rpm"))
+    return s.select("p_partkey", FR.torque_nm(F.col("raw")).alias("nm"), FR.number_before(F.col("raw"), "RPM").cast("int").alias("rpm"))
 
 
 @q(r"""
@@ -86,8 +81,7 @@ def mixed_dates(t: Tables):
     """Dates written in several formats; what fits none is null."""
     k = F.col("event_id") % 5
     raw = F.when(k == 0, F.date_format("ts", "MM/dd/yyyy")).when(k == 1, F.date_format("ts", "dd.MM.yyyy")).when(k == 2, F.date_format("ts", "yyyy-MM-dd")).when(k == 3, "soon").otherwise(F.date_format("ts", "MM-dd-yyyy"))
-    s = t.events.select("event_id", raw.alias("raw"))
-    return s.select("event_id", F.coalesce(*[F.try_to_timestamp("raw", F.lit(f)) for f in ("MM/dd/yyyy", "dd.MM.yyyy", "yyyy-MM-dd", "MM-dd-yyyy")]).cast("date").alias("day"))
+    return t.events.select("event_id", FR.dates_in_formats(raw, ("MM/dd/yyyy", "dd.MM.yyyy", "yyyy-MM-dd", "MM-dd-yyyy")).alias("day"))
 
 
 @q(r"""
@@ -95,8 +89,8 @@ SELECT row_id, regexp_replace(lower(model_name), '[^a-z0-9]', '', 'g') AS catalo
 """)
 def recoded_labels(t: Tables):
     """Keys without punctuation, and labels recoded by a dictionary."""
-    groups = F.create_map(*[F.lit(x) for x in ("gridlot", "large", "autoharbor", "large", "fleetdump", "fleet")])
-    return t.used_cars.select("row_id", F.regexp_replace(F.lower("model_name"), "[^a-z0-9]", "").alias("catalog_key"), F.coalesce(F.try_element_at(groups, F.col("feed")), F.lit("other")).alias("feed_group"))
+    groups = {"gridlot": "large", "autoharbor": "large", "fleetdump": "fleet"}
+    return t.used_cars.select("row_id", FR.catalog_key(F.col("model_name")).alias("catalog_key"), FR.recode(F.col("feed"), groups, "other").alias("feed_group"))
 
 
 @q(r"""
@@ -106,10 +100,8 @@ SELECT c_custkey, round(try_cast(replace(regexp_extract(lower(trim(raw)), '^\$?(
 def typed_caps(t: Tables):
     """Amounts typed by people ('18k', '$18,000')."""
     k = F.col("c_custkey") % 5
-    raw = F.lower(F.trim(F.when(k == 0, "18k").when(k == 1, "$18,000").when(k == 2, "20.5K").when(k == 3, "cheap").otherwise(" 7500 ")))
-    s = t.customer.select("c_custkey", raw.alias("raw"))
-    n = F.replace(F.regexp_extract("raw", r"^\$?([0-9][0-9,]*\.?[0-9]*)k?$", 1), F.lit(","), F.lit("")).try_cast("double")
-    return s.select("c_custkey", F.round(n * F.when(F.col("raw").endswith("k"), 1000).otherwise(1)).cast("bigint").alias("cap"))
+    raw = F.when(k == 0, "18k").when(k == 1, "$18,000").when(k == 2, "20.5K").when(k == 3, "cheap").otherwise(" 7500 ")
+    return t.customer.select("c_custkey", FR.typed_amount(raw).alias("cap"))
 
 
 @q(r"""
@@ -117,9 +109,7 @@ SELECT n * m AS preset FROM (VALUES (1.0), (1.5), (2.0), (2.5), (3.0), (4.0), (5
 """)
 def range_presets(t: Tables):
     """Round values within the range of a column."""
-    ends = t.orders.agg(F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"))
-    grid = F.explode(F.array(*[F.lit(n * 10.0**i) for i in (2, 3, 4, 5) for n in (1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 7.5)]))
-    return ends.select("lo", "hi", grid.alias("preset")).filter("preset BETWEEN lo AND hi").select("preset")
+    return FR.range_presets(t.orders, "o_totalprice")
 
 
 @q(r"""
@@ -128,8 +118,7 @@ SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) /
 def array_features(t: Tables):
     """Mean, any and counts over arrays with higher-order functions."""
     e = F.col("embedding")
-    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x.cast("double"))
-    return t.embeddings.select("vec_id", F.round(total / 64, 9).alias("mean"), F.exists(e, lambda x: x.cast("double") > 1.5).alias("any_large"), F.size(F.filter(e, lambda x: x > 0)).alias("positives"))
+    return t.embeddings.select("vec_id", F.round(FR.array_mean(e), 9).alias("mean"), F.exists(e, lambda x: x.cast("double") > 1.5).alias("any_large"), F.size(F.filter(e, lambda x: x > 0)).alias("positives"))
 
 
 @q(r"""
@@ -138,9 +127,8 @@ SELECT row_id, string_agg(m, ';' ORDER BY pos) AS topics FROM (SELECT row_id, w.
 """)
 def dictionary_topics(t: Tables):
     """Dictionary terms in a text, longest match first, at word ends only."""
-    text = F.lower("text")
-    hit = [F.when(text.rlike(r"\brear seat\b"), "rear seat"), F.when(text.rlike(r"\bgearbox\b"), "gearbox"), F.when(text.rlike(r"\bclutch\b"), "clutch"), F.when(text.rlike(r"\bbrakes\b"), "brakes"), F.when(F.replace(text, F.lit("rear seat"), F.lit("")).rlike(r"\bseat\b"), "seat")]
-    return t.youtube_comments_sentiment.filter("text IS NOT NULL").select("row_id", F.concat_ws(";", *hit).alias("topics")).filter("topics <> ''")
+    terms = FR.dictionary_terms(F.col("text"), ["rear seat", "gearbox", "clutch", "brakes", "seat"])
+    return t.youtube_comments_sentiment.select("row_id", F.array_join(terms, ";").alias("topics")).filter("topics <> ''")
 
 
 @q(r"""
@@ -151,7 +139,8 @@ def rating_ranges(t: Tables):
     """Ratings outside 1 to 5 are missing."""
     rows = t.nhtsa_safety_rating_values.filter(F.lower(F.regexp_replace("field_name", "[^A-Za-z0-9]", "")) == "overallrating")
     r = rows.groupBy("query_id", "vehicle_id").agg(F.max(F.regexp_extract(F.trim("field_value"), r"^([0-9]+)(\.0*)?$", 1).try_cast("int")).alias("r"))
-    return r.select("query_id", "vehicle_id", F.when(F.col("r").between(1, 5), F.col("r")).alias("rating"), (F.col("r").isNull() | ~F.col("r").between(1, 5)).alias("missing"))
+    rating, missing = FR.in_range(F.col("r"), 1, 5)
+    return r.select("query_id", "vehicle_id", rating.alias("rating"), missing.alias("missing"))
 
 
 @q(r"""
@@ -169,6 +158,5 @@ SELECT row_id, CASE WHEN lower(trim(is_new)) = 'true' THEN 'new' WHEN lower(trim
 """)
 def scope_flags(t: Tables):
     """Scope labels, key checks and the share of observed fields."""
-    n = F.lower(F.trim("is_new"))
-    seen = sum((F.col(c).isNotNull().cast("int") for c in ("horsepower", "city_fuel_economy", "highway_fuel_economy")), F.lit(0))
-    return t.used_cars.select("row_id", F.when(n == "true", "new").when(n == "false", "used").otherwise("unknown").alias("scope"), (F.coalesce(F.length("vin"), F.lit(0)) != 17).cast("int").alias("bad_vin"), (seen >= 2).alias("enough"))
+    seen = FR.observed(["horsepower", "city_fuel_economy", "highway_fuel_economy"])
+    return t.used_cars.select("row_id", FR.scope_label(F.col("is_new")).alias("scope"), (F.coalesce(F.length("vin"), F.lit(0)) != 17).cast("int").alias("bad_vin"), (seen >= 2).alias("enough"))

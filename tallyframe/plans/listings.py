@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import left_closed_band, norm_key
 from ..operators import catalog as C
 from ..operators import joins as J
+from ..operators import frames as FR
 from .registry import Registry, Tables
 
 q = Registry()
@@ -89,10 +90,9 @@ FROM r JOIN g USING (p_brand, p_type) WHERE l_extendedprice >= 2 * pm OR l_exten
 def cohort_outliers(t: Tables):
     """Rows far from their cohort's medians, with the reasons joined."""
     r = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity").join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type"), "l_partkey")
-    g = r.filter("l_extendedprice > 0 AND l_quantity >= 0").groupBy("p_brand", "p_type").agg(F.percentile("l_extendedprice", 0.5).alias("pm"), F.percentile("l_quantity", 0.5).alias("qm"))
-    j = r.join(g, ["p_brand", "p_type"])
-    flags = [("price_high", F.col("l_extendedprice") >= 2 * F.col("pm")), ("price_low", F.col("l_extendedprice") <= F.col("pm") / 10), ("quantity_high", F.col("l_quantity") >= 1.9 * F.col("qm"))]
-    out = j.withColumn("reasons", F.concat_ws(";", *[F.when(c, n) for n, c in flags])).filter("reasons <> ''")
+    price, quantity = F.col("l_extendedprice"), F.col("l_quantity")
+    rules = {"price_high": lambda m: price >= 2 * m["p"], "price_low": lambda m: price <= m["p"] / 10, "quantity_high": lambda m: quantity >= 1.9 * m["q"]}
+    out = FR.cohort_reasons(r, ["p_brand", "p_type"], {"p": price, "q": quantity}, (price > 0) & (quantity >= 0), rules).filter("reasons <> ''")
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "reasons")
 
 
@@ -105,10 +105,9 @@ def ratio_exclusion(t: Tables):
     """Listings whose price or mileage ratio to their cohort's median excludes them (strict above,
     inclusive below)."""
     cars = t.used_cars.select("row_id", "make_name", "model_name", "price", F.when(~F.isnan("mileage"), F.col("mileage")).alias("miles"))
-    g = cars.filter("price > 0").groupBy("make_name", "model_name").agg(F.percentile("price", 0.5).alias("pm"), F.percentile("miles", 0.5).alias("mm"))
-    r = F.col("price") / F.col("pm")
-    out = cars.join(g, ["make_name", "model_name"], "left").filter(F.coalesce((r > 2) | (r <= 0.75), F.lit(False)) | F.coalesce(F.try_divide("miles", "mm") > 20, F.lit(False)))
-    return out.select("row_id")
+    rules = {"high": lambda m: F.try_divide("price", m["p"]) > 2, "low": lambda m: F.try_divide("price", m["p"]) <= 0.75, "miles": lambda m: F.try_divide("miles", m["m"]) > 20}
+    out = FR.cohort_reasons(cars, ["make_name", "model_name"], {"p": F.col("price"), "m": F.col("miles")}, F.col("price") > 0, rules)
+    return out.filter("reasons <> ''").select("row_id")
 
 
 @q("SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey IN (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(*) >= 60)")
@@ -193,10 +192,9 @@ FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o
 """)
 def exposure_after_proxy(t: Tables):
     """Latest event per key against a date proxy; events are aggregated before the join."""
-    ev = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count_distinct("l_linenumber").alias("n_lines"), F.max("l_shipdate").alias("last_ship"))
-    j = t.orders.select("o_orderkey", "o_orderdate").join(ev, "o_orderkey", "left")
-    late = F.coalesce(F.col("last_ship") > F.expr("o_orderdate + interval 60 days"), F.lit(False))
-    return j.select("o_orderkey", "o_orderdate", F.coalesce("n_lines", F.lit(0).cast("bigint")).alias("n_lines"), "last_ship", late.alias("late_event"))
+    ev = t.lineitem.withColumnRenamed("l_orderkey", "o_orderkey")
+    j = FR.latest_event(t.orders.select("o_orderkey", "o_orderdate"), ev, ["o_orderkey"], "l_shipdate", "l_linenumber", F.expr("o_orderdate + interval 60 days"))
+    return j.select("o_orderkey", "o_orderdate", F.col("n_events").alias("n_lines"), F.col("last_event").alias("last_ship"), "late_event")
 
 
 @q("""
@@ -208,7 +206,7 @@ def full_feature_join(t: Tables):
     """Full outer join of feature blocks; a missing block stays null, not zero."""
     b = t.customer.filter("c_acctbal > 5000").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n_customers"))
     s = t.supplier.filter("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("n_suppliers"))
-    return b.join(s, ["k"], "full")
+    return FR.outer_features([b, s], ["k"])
 
 
 @q("""
@@ -272,6 +270,4 @@ FROM lineitem l JOIN part ON l_partkey = p_partkey GROUP BY l.l_orderkey
 """)
 def join_expansion(t: Tables):
     """Rows a join adds per key (0 where it keeps the grain)."""
-    before = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("b"))
-    after = t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey")), "l_partkey").groupBy("l_orderkey").agg(F.count("*").alias("n_items"))
-    return after.join(before, "l_orderkey").select("l_orderkey", "n_items", (F.col("n_items") - F.col("b")).alias("expansion"))
+    return FR.expansion_audit(t.lineitem, t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey")), "l_partkey"), ["l_orderkey"])

@@ -8,6 +8,8 @@ from pyspark.sql import Window as W
 from ..functions.expr import hash_unit
 from ..operators import joins as J
 from ..operators import peers as P
+from ..operators import frames as FR
+from ..operators import reports as RP
 from .registry import Registry, Tables
 
 q = Registry()
@@ -23,7 +25,7 @@ def prefix_candidates(t: Tables):
     up = lambda c: F.upper(F.trim(c))
     p = t.used_cars.filter("make_name IS NOT NULL AND model_name IS NOT NULL").select(up("make_name").alias("mk"), up("model_name").alias("prefix")).distinct()
     a = t.used_cars.select("row_id", up("make_name").alias("mk"), up("model_name").alias("md"))
-    j = a.join(p, "mk").filter((F.col("md") == F.col("prefix")) | F.col("md").startswith(F.concat("prefix", F.lit(" "))))
+    j = J.prefix_join(a, p, ["mk"], "md", "prefix")
     return j.agg(F.count("*").alias("candidates"), F.count_distinct("row_id").alias("listings"))
 
 
@@ -45,10 +47,9 @@ SELECT row_id FROM youtube_comments_sentiment c WHERE comment_id IS NOT NULL AND
 """)
 def protected_rows(t: Tables):
     """Rows that are in no protected list and not reserved by their hash."""
-    ids = t.comments.filter("eligible = 0 AND id IS NOT NULL").select(F.col("id").alias("comment_id")).distinct()
-    vids = t.comments.filter("sentiment = 'negative' AND truncated = 1 AND video IS NOT NULL").select(F.col("video").alias("video_id")).distinct()
-    rows = t.youtube_comments_sentiment.filter("comment_id IS NOT NULL AND video_id IS NOT NULL")
-    return rows.join(ids, "comment_id", "left_anti").join(vids, "video_id", "left_anti").filter(hash_unit("comment_id") >= 0.1).select("row_id")
+    ids = t.comments.filter("eligible = 0").select("id")
+    vids = t.comments.filter("sentiment = 'negative' AND truncated = 1").select("video")
+    return FR.unprotected(t.youtube_comments_sentiment, {"comment_id": ids, "video_id": vids}, "comment_id", 0.1).select("row_id")
 
 
 @q(r"""
@@ -57,9 +58,7 @@ SELECT record_key, families::BIGINT AS families, versions::BIGINT AS versions, C
 """)
 def version_hashes(t: Tables):
     """Records with several versions or families, by payload digests."""
-    fam = F.sha2(F.concat_ws("|", F.coalesce("make", F.lit("")), F.coalesce("model", F.lit(""))), 256)
-    v = t.nhtsa_complaints.groupBy("record_key").agg(F.count_distinct(fam).alias("families"), F.count_distinct(F.md5("record_json")).alias("versions"))
-    return v.select("record_key", "families", "versions", F.when(F.col("families") > 1, "several_families").when(F.col("versions") > 1, "conflict").otherwise("kept").alias("state"))
+    return FR.version_states(t.nhtsa_complaints, "record_key", ["make", "model"], "record_json")
 
 
 @q(r"""
@@ -68,11 +67,9 @@ SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL AN
 """)
 def annotation_merge(t: Tables):
     """Two annotators' labels merged; conflicts are flagged and left open."""
-    a = t.orders.filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("va"))
-    b = t.orders.filter("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 10 == 1, "X").otherwise(F.col("o_orderstatus")).alias("vb"))
-    j = a.join(b, "k", "full")
-    clash = F.coalesce(F.col("va") != F.col("vb"), F.lit(False))
-    return j.select("k", F.when(~clash, F.coalesce("va", "vb")).alias("v"), clash.alias("conflict"))
+    a = t.orders.filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"))
+    b = t.orders.filter("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 10 == 1, "X").otherwise(F.col("o_orderstatus")).alias("v"))
+    return FR.merge_annotations(a, b, "k", "v")
 
 
 @q(r"""
@@ -80,7 +77,7 @@ SELECT DISTINCT ON (h) h, doc_id FROM (SELECT md5(lower(text)) AS h, doc_id FROM
 """)
 def distinct_on(t: Tables):
     """First row of each case-folded text."""
-    return t.documents.filter("text IS NOT NULL").groupBy(F.md5(F.lower("text")).alias("h")).agg(F.min("doc_id").alias("doc_id"))
+    return FR.first_of(t.documents, F.md5(F.lower("text")), "doc_id")
 
 
 @q(r"""
@@ -95,7 +92,8 @@ WITH i AS (SELECT upper(n_name) AS k, n_nationkey FROM nation UNION SELECT 'R' |
 """)
 def two_key_index(t: Tables):
     """An index over two spellings of a key, joined once."""
-    i = t.nation.select(F.explode(F.array(F.upper("n_name"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string"), F.lit("-"), F.upper("n_name")))).alias("k"), F.col("n_nationkey").alias("c_nationkey")).distinct()
+    spellings = [F.upper("n_name"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string"), F.lit("-"), F.upper("n_name"))]
+    i = FR.keyed_by_any(t.nation.withColumnRenamed("n_nationkey", "c_nationkey"), spellings, "c_nationkey")
     n = t.customer.groupBy("c_nationkey").agg(F.count("*").alias("m"))
     return i.join(n, "c_nationkey", "left").groupBy("k").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"))
 
@@ -118,8 +116,8 @@ SELECT n_name, n::BIGINT AS n, round(med, 6) AS med, example, cheapest FROM nati
 """)
 def market_rows(t: Tables):
     """Market of each profile with its cheapest example; aggregated before the join."""
-    c = t.customer.filter("c_acctbal > 0").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.round(F.percentile("c_acctbal", 0.5), 6).alias("med"), F.min_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("example"), F.min("c_acctbal").alias("cheapest"))
-    return t.nation.select("n_name", F.col("n_nationkey").alias("c_nationkey")).join(c, "c_nationkey").select("n_name", "n", "med", "example", "cheapest")
+    m = FR.group_market(t.nation.select("n_name", F.col("n_nationkey").alias("c_nationkey")), t.customer, ["c_nationkey"], "c_acctbal", "c_custkey")
+    return m.select("n_name", "n", F.col("median").alias("med"), "example", "cheapest")
 
 
 @q(r"""
@@ -138,8 +136,7 @@ SELECT make_name, count(*)::BIGINT AS n, count(*) FILTER (eligible)::BIGINT AS e
 """)
 def eligible_rows(t: Tables):
     """Rows whose group has support; groups with a null key are unknown, not unsupported."""
-    c = t.used_cars.groupBy("make_name", "year").agg((F.count("*") >= 25).alias("eligible"))
-    j = t.used_cars.select("row_id", "make_name", "year").join(c, ["make_name", "year"], "left")
+    j = FR.supported_rows(t.used_cars.select("row_id", "make_name", "year"), ["make_name", "year"], 25)
     return j.groupBy("make_name").agg(F.count("*").alias("n"), F.count(F.when(F.col("eligible"), 1)).alias("eligible"), F.count(F.when(F.col("eligible").isNull(), 1)).alias("unknown"))
 
 
@@ -167,8 +164,7 @@ def fold_coverage(t: Tables):
     from ..functions.expr import hash_mod
 
     p = t.orders.filter("o_orderkey % 13 <> 0").select("o_orderkey", hash_mod("o_custkey", 5).alias("fold"))
-    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("issue"), "n")
-    return count(t.orders.join(p, "o_orderkey", "left_anti"), "missing").unionByName(count(p.groupBy("o_orderkey").count().filter("count > 1"), "repeated")).unionByName(count(p.filter("NOT fold BETWEEN 0 AND 4"), "bad_fold"))
+    return RP.fold_coverage(t.orders, p, "o_orderkey", "fold", 5)
 
 
 @q(r"""
@@ -177,7 +173,5 @@ SELECT row_id, label FROM used_cars u JOIN m ON u.fuel_type IS NOT DISTINCT FROM
 """)
 def mapped_distinct(t: Tables):
     """An expensive mapping evaluated per distinct tuple and joined back null-safe."""
-    d = t.used_cars.select(F.col("fuel_type").alias("f"), F.col("wheel_system").alias("w")).distinct()
-    m = d.withColumn("label", F.concat(F.lower(F.coalesce("f", F.lit(""))), F.lit("/"), F.coalesce("w", F.lit("?"))))
-    u = t.used_cars.select("row_id", "fuel_type", "wheel_system")
-    return u.join(m, u["fuel_type"].eqNullSafe(m["f"]) & u["wheel_system"].eqNullSafe(m["w"])).select("row_id", "label")
+    label = lambda d: d.withColumn("label", F.concat(F.lower(F.coalesce("fuel_type", F.lit(""))), F.lit("/"), F.coalesce("wheel_system", F.lit("?"))))
+    return FR.mapped_distinct(t.used_cars.select("row_id", "fuel_type", "wheel_system"), ["fuel_type", "wheel_system"], label).select("row_id", "label")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import with_row
 from ..operators import metrics as M
+from ..operators import frames as FR
+from ..operators import reports as RP
 from .registry import Registry, Tables
 
 q = Registry()
@@ -47,10 +49,7 @@ SELECT o_orderpriority, count(*)::BIGINT AS n, round(sum(sq) / max(total), 6) AS
 """)
 def error_concentration(t: Tables):
     """Share of squared error per segment, and of it in the largest hundredth of rows."""
-    e = _predictions(t).withColumn("sq", F.pow(F.col("predicted") - F.col("o_totalprice"), 2))
-    c = e.agg(F.percentile("sq", 0.99).alias("cut"), F.sum("sq").alias("total"))
-    j = with_row(e, c)
-    return j.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("sq") / F.max("total"), 6).alias("share"), F.round(F.sum(F.when(F.col("sq") >= F.col("cut"), F.col("sq"))) / F.max("total"), 6).alias("top_share"))
+    return RP.error_concentration(_predictions(t).withColumn("e", F.col("predicted") - F.col("o_totalprice")), "o_orderpriority", "e")
 
 
 @q(f"""
@@ -60,9 +59,9 @@ SELECT o_orderpriority, count(*)::BIGINT AS n, round(avg(e2 - e1), 4) AS mean_de
 def paired_errors(t: Tables):
     """Two predictions of the same rows compared."""
     rows = _predictions(t)
-    e1, e2 = F.abs(F.col("predicted") - F.col("o_totalprice")), F.abs(F.round("predicted", -3) - F.col("o_totalprice"))
-    x = rows.select("o_orderpriority", e1.alias("e1"), e2.alias("e2"))
-    return x.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg(F.col("e2") - F.col("e1")), 4).alias("mean_delta"), F.round(F.avg(F.when(F.col("e1") < F.col("e2"), 1.0).otherwise(0.0)), 6).alias("win_share"))
+    error = lambda p: rows.select("o_orderkey", "o_orderpriority", F.abs(p - F.col("o_totalprice")).alias("e"))
+    x = FR.paired(error(F.col("predicted")), error(F.round("predicted", -3)), ["o_orderkey"], ["o_orderpriority"], "e")
+    return x.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg(F.col("e_2") - F.col("e_1")), 4).alias("mean_delta"), F.round(F.avg(F.when(F.col("e_1") < F.col("e_2"), 1.0).otherwise(0.0)), 6).alias("win_share"))
 
 
 @q("""

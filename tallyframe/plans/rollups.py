@@ -8,6 +8,8 @@ from pyspark.sql import Window as W
 from ..functions.expr import sha_hex, with_row
 from ..operators import peers as P
 from ..operators import sampling as S
+from ..operators import frames as FR
+from ..operators import reports as RP
 from .registry import Registry, Tables
 
 q = Registry()
@@ -31,8 +33,7 @@ WITH i AS (SELECT user_id, event_type, bool_or(value > 90) AS hot, bool_or(props
 """)
 def incident_union(t: Tables):
     """Flags united per incident before their shares are taken."""
-    i = t.events.groupBy("user_id", "event_type").agg(F.bool_or(F.col("value") > 90).alias("hot"), F.bool_or(F.col("props").contains("1")).alias("one"))
-    return i.groupBy("event_type").agg(F.round(F.avg(F.col("hot").cast("int")), 9).alias("hot_share"), F.round(F.avg(F.col("one").cast("int")), 9).alias("one_share"), F.count("*").alias("n"))
+    return RP.united_shares(t.events, ["user_id"], ["event_type"], {"hot": F.col("value") > 90, "one": F.col("props").contains("1")}).drop("supported")
 
 
 @q(r"""
@@ -41,10 +42,8 @@ SELECT family, round(max(share), 9) AS top_share, round(sum(share * share), 9) A
 """)
 def family_mixtures(t: Tables):
     """Shares of clusters inside families, their concentration and the largest."""
-    c = t.customer.groupBy(F.col("c_nationkey").alias("family"), F.col("c_mktsegment").alias("cluster")).agg(F.count("*").alias("n"), F.sum("c_acctbal").alias("w"))
-    p = W.partitionBy("family")
-    s = c.withColumn("share", F.col("n") / F.sum("n").over(p)).withColumn("wshare", F.col("w") / F.sum("w").over(p))
-    return s.groupBy("family").agg(F.round(F.max("share"), 9).alias("top_share"), F.round(F.sum(F.col("share") * F.col("share")), 9).alias("concentration"), F.max_by("cluster", F.struct("share", "cluster")).alias("top_cluster"), F.round(F.max("wshare"), 6).alias("top_weighted"))
+    rows = t.customer.select(F.col("c_nationkey").alias("family"), F.col("c_mktsegment").alias("cluster"), "c_acctbal")
+    return RP.mixtures(rows, "family", "cluster", "c_acctbal")
 
 
 @q(r"""
@@ -68,8 +67,7 @@ def requested_segments(t: Tables):
     """Segments asked for, with a row also where there is no data."""
     grid = t.spark.createDataFrame([(p, x) for p in ("1-URGENT", "5-LOW", "9-NONE") for x in ("all", "100k+", "below")], "pr string, tier string")
     tiers = F.array(F.lit("all"), F.when(F.col("o_totalprice") >= 100000, "100k+").otherwise("below"))
-    r = t.orders.select(F.col("o_orderpriority").alias("pr"), F.explode(tiers).alias("tier"), "o_totalprice").groupBy("pr", "tier").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
-    return grid.join(r, ["pr", "tier"], "left").select("pr", "tier", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), "mean", F.when(F.col("n").isNull(), "no_rows").otherwise("ok").alias("status"))
+    return RP.requested(t.orders.select(F.col("o_orderpriority").alias("pr"), F.explode(tiers).alias("tier"), "o_totalprice"), grid, ["pr", "tier"], "o_totalprice")
 
 
 @q(r"""
@@ -78,10 +76,7 @@ SELECT feed, round(v[1], 6) AS low, round(v[2], 6) AS q25, round(v[3], 6) AS med
 """)
 def five_numbers(t: Tables):
     """Five-number summary of a log, with the upper fence."""
-    s = t.used_cars.filter("price > 0").groupBy("feed").agg(F.percentile(F.log1p("price"), [0.0, 0.25, 0.5, 0.75, 1.0]).alias("v"))
-    v = F.col("v")
-    names = ["low", "q25", "median", "q75", "high"]
-    return s.select("feed", *[F.round(v[i], 6).alias(n) for i, n in enumerate(names)], F.round(v[3] + 1.5 * (v[3] - v[1]), 6).alias("upper_fence"))
+    return RP.log_summary(t.used_cars, "feed", "price")
 
 
 @q(r"""
@@ -89,10 +84,7 @@ WITH b AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders)
 """)
 def equal_bins(t: Tables):
     """Sixty bins between the ends of a column."""
-    b = t.orders.agg(F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"))
-    j = with_row(t.orders, b)
-    k = F.least(F.lit(60), F.floor((F.col("o_totalprice") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 60)) + 1).cast("bigint")
-    return j.groupBy(k.alias("bin")).agg(F.count("*").alias("n"))
+    return RP.equal_bins(t.orders, "o_totalprice", 60)
 
 
 @q(r"""
@@ -109,8 +101,8 @@ SELECT make_name, min(year) AS first_year, max(year) AS last_year, count(DISTINC
 """)
 def task_inventory(t: Tables):
     """Work list: ranges and counts per group, the largest first (a top-k report)."""
-    g = t.used_cars.groupBy("make_name").agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.count_distinct("vin").alias("vins"), F.count_distinct("model_name").alias("models"))
-    return g.orderBy(F.col("vins").desc(), F.col("make_name").asc_nulls_last()).limit(40)
+    g = RP.task_inventory(t.used_cars, "make_name", "year", "vin", "model_name", 40)
+    return g.select("make_name", "first_year", "last_year", F.col("n_ids").alias("vins"), F.col("n_inner").alias("models"))
 
 
 @q(r"""
@@ -119,10 +111,7 @@ SELECT a, arg_max(b, (jac, -b)) AS b, round(max(jac), 9) AS jaccard FROM j GROUP
 """)
 def cluster_overlap(t: Tables):
     """Best matching cluster of another labeling, by Jaccard."""
-    c = t.embeddings.groupBy(F.col("label").alias("a"), (F.col("vec_id") % 6).alias("b")).agg(F.count("*").alias("n"))
-    ra, rb = c.groupBy("a").agg(F.sum("n").alias("ra")), c.groupBy("b").agg(F.sum("n").alias("rb"))
-    j = c.join(ra, "a").join(rb, "b").withColumn("jac", F.col("n") / (F.col("ra") + F.col("rb") - F.col("n")))
-    return j.groupBy("a").agg(F.max_by("b", F.struct(F.col("jac").alias("j"), (-F.col("b")).alias("m"))).alias("b"), F.round(F.max("jac"), 9).alias("jaccard"))
+    return RP.best_overlap(t.embeddings.select(F.col("label").alias("a"), (F.col("vec_id") % 6).alias("b")), "a", "b")
 
 
 @q(r"""
@@ -132,10 +121,7 @@ SELECT layer, sum(ok)::BIGINT AS correct, sum(n)::BIGINT AS emitted, round(sum(o
 def pooled_agreement(t: Tables):
     """Agreement pooled over folds, and the gate on it."""
     ok = (F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O")
-    f = t.lineitem.groupBy(F.col("l_linenumber").alias("layer"), (F.col("l_orderkey") % 5).alias("fold")).agg(F.count(F.when(ok, 1)).alias("ok"), F.count("*").alias("n"))
-    s = f.groupBy("layer").agg(F.sum("ok").alias("correct"), F.sum("n").alias("emitted"))
-    a = F.col("correct") / F.col("emitted")
-    return s.select("layer", "correct", "emitted", F.round(a, 9).alias("agreement"), ((F.col("emitted") >= 10) & (a >= 0.25)).alias("deploy"))
+    return RP.pooled_agreement(t.lineitem.select(F.col("l_linenumber").alias("layer"), (F.col("l_orderkey") % 5).alias("fold"), "l_returnflag", "l_linestatus"), ["layer"], "fold", ok, 10, 0.25)
 
 
 @q(r"""
@@ -144,11 +130,8 @@ SELECT run, round(mae, 4) AS mae, row_number() OVER (ORDER BY mae, run)::BIGINT
 """)
 def run_comparison(t: Tables):
     """Metric tables of several runs stacked and ranked; the last is the median baseline."""
-    med = t.orders.agg(F.percentile("o_totalprice", 0.5).alias("v"))
-    base = with_row(t.orders, med).agg(F.avg(F.abs(F.col("o_totalprice") - F.col("v"))).alias("mae")).select(F.lit("c").alias("run"), "mae")
-    runs = [t.orders.agg(F.avg(F.abs(F.col("o_totalprice") - v)).alias("mae")).select(F.lit(n).alias("run"), "mae") for n, v in (("a", 100000), ("b", 150000))]
-    u = runs[0].unionByName(runs[1]).unionByName(base)
-    return u.select("run", F.round("mae", 4).alias("mae"), F.row_number().over(W.orderBy("mae", "run")).cast("bigint").alias("place"))
+    med = with_row(t.orders, t.orders.agg(F.percentile("o_totalprice", 0.5).alias("v")))
+    return RP.compare_runs({"a": t.orders.withColumn("e", F.col("o_totalprice") - 100000), "b": t.orders.withColumn("e", F.col("o_totalprice") - 150000), "c": med.withColumn("e", F.col("o_totalprice") - F.col("v"))}, "e")
 
 
 @q(r"""
@@ -178,8 +161,7 @@ SELECT l_orderkey, l_linenumber, l_shipdate, min(l_shipdate) OVER (PARTITION BY
 """)
 def first_dates(t: Tables):
     """First date of a key on all its rows; aggregated, then joined back."""
-    first = t.lineitem.groupBy("l_orderkey").agg(F.min("l_shipdate").alias("first_ship"))
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_shipdate").join(first, "l_orderkey")
+    return FR.with_group_min(t.lineitem.select("l_orderkey", "l_linenumber", "l_shipdate"), "l_orderkey", "l_shipdate", "first_ship")
 
 
 @q(r"""
@@ -215,6 +197,4 @@ WITH g AS (SELECT o_custkey, avg(abs(o_totalprice - 150000)) AS m FROM orders GR
 """)
 def macro_error(t: Tables):
     """Mean of the groups' errors beside the error over all rows."""
-    e = F.abs(F.col("o_totalprice") - 150000)
-    g = t.orders.groupBy("o_custkey").agg(F.avg(e).alias("m"), F.sum(e).alias("s"), F.count("*").alias("n"))
-    return g.agg(F.count("*").alias("groups"), F.round(F.avg("m"), 4).alias("macro_mae"), F.round(F.sum("s") / F.sum("n"), 4).alias("micro_mae"))
+    return RP.macro_error(t.orders, "o_custkey", F.abs(F.col("o_totalprice") - 150000))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import hash_mod
 from ..operators import sampling as S
+from ..operators import frames as FR
 from .registry import Registry, Tables
 
 q = Registry()
@@ -82,8 +83,7 @@ def first_owner(t: Tables):
 SELECT c_custkey, round(1.0 / count(*) OVER (PARTITION BY c_nationkey), 12) AS weight FROM customer
 """)
 def family_weights(t: Tables):
-    n = t.customer.groupBy("c_nationkey").agg(F.count("*").alias("n"))
-    return t.customer.select("c_custkey", "c_nationkey").join(n, "c_nationkey").select("c_custkey", F.round(F.lit(1.0) / F.col("n"), 12).alias("weight"))
+    return FR.group_weights(t.customer.select("c_custkey", "c_nationkey"), "c_nationkey").select("c_custkey", "weight")
 
 
 @q(f"""
