@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
-for _name in ("training", "listings", "evidence", "opinions", "profiles", "sampling", "metrics", "texts", "cleaning", "checks", "models", "features", "rollups", "matching"):
+for _name in ("training", "listings", "evidence", "opinions", "profiles", "sampling", "metrics", "texts", "cleaning", "checks", "models", "features", "rollups", "matching", "more"):
     try:
         _m = importlib.import_module(f"{__package__}.{_name}")
     except ModuleNotFoundError as e:
