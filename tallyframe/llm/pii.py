@@ -121,10 +121,11 @@ _BRACKET = regex.compile(r"[(\[{<]")
 
 # What a text needs for a pattern to match, as flags of its words: every branch of the pattern holds one
 # of these as a whole run of letters, or at an end of a longer run where a part is listed.
-GIVEN_NAME, STREET, TITLE, INTRODUCES, IDENTITY, BOX, SPELLED, DOT = (1 << i for i in range(8))
+GIVEN_NAME, STREET, TITLE, INTRODUCES, IDENTITY, BOX, SPELLED, DOT, STREET_DE, STREET_ROMANCE = (1 << i for i in range(10))
 # Runs of letters in the patterns above.
 _RUNS = {
-    STREET: "street str st avenue ave av road rd lane ln drive dr court ct boulevard blvd way mews place pl terrace ter highway hwy parkway pkwy close crescent cres trail trl square sq row circle cir alley loop calle avenida avda plaza rua via viale piazza rue chemin allee allée",
+    STREET: "street str st avenue ave av road rd lane ln drive dr court ct boulevard blvd way mews place pl terrace ter highway hwy parkway pkwy close crescent cres trail trl square sq row circle cir alley loop",
+    STREET_ROMANCE: "calle avenida avda plaza rua via viale piazza rue boulevard avenue chemin allee allée",
     TITLE: "mr mrs ms miss dr prof sr sra herr frau mme m",
     INTRODUCES: "name called heiße heisse llamo nombre appelle chiamo nome nazywam naam contact ask pregunta demandez attn attention signed regards sincerely cheers written correspondence advisor driver "
     "mechanic technician manager salesman saleswoman agent attorney officer owner neighbour neighbor buddy friend wife husband brother sister son daughter cousin uncle aunt boss colleague guy",
@@ -134,7 +135,7 @@ _RUNS = {
     DOT: "dot",
 }
 # Ends of longer runs.
-_PARTS = {STREET: ("allee", "straße", "strasse", "weg", "gasse", "platz", "damm", "ufer", "str"), IDENTITY: ("reisepass", "personalausweis", "steuer", "führerschein", "fuhrerschein", "driver"), BOX: ("box",)}
+_PARTS = {STREET_DE: ("allee", "straße", "strasse", "weg", "gasse", "platz", "damm", "ufer", "str"), IDENTITY: ("reisepass", "personalausweis", "steuer", "führerschein", "fuhrerschein", "driver"), BOX: ("box",)}
 _FLAG_OF = {}
 for _flag, _runs in _RUNS.items():
     for _run in _runs.split():
@@ -297,8 +298,8 @@ class Detector:
             if flags & BOX:
                 for m in _BOX.finditer(t):
                     take(m.start(), self._tail(t, m.end()), "ADDRESS")
-            if flags & STREET:
-                self._streets(t, take)
+            if flags & (STREET | STREET_DE | STREET_ROMANCE):
+                self._streets(t, flags, take)
         if digits >= 9:
             for m in _PHONE.finditer(t):
                 n = sum(c.isdigit() for c in m.group())
@@ -327,10 +328,10 @@ class Detector:
         m = _TAIL.match(t, at)
         return m.end() if m else at
 
-    def _streets(self, t: str, take) -> None:
+    def _streets(self, t: str, flags: int, take) -> None:
         lower = not any(c.isupper() for c in t)
         at = 0
-        while m := _STREET.search(t, at):
+        while m := flags & STREET and _STREET.search(t, at):
             at = m.start() + 1
             words = [w.strip(".").lower() for w in m.group("name").split()]
             core = [w for w in words if w not in ("n", "s", "e", "w", "ne", "nw", "se", "sw", "north", "south", "east", "west")]
@@ -343,8 +344,8 @@ class Detector:
                 continue
             take(m.start(), self._tail(t, m.end()), "ADDRESS")
             at = m.end()
-        for pattern in (_STREET_DE, _STREET_ROMANCE):
-            for m in pattern.finditer(t):
+        for pattern, flag in ((_STREET_DE, STREET_DE), (_STREET_ROMANCE, STREET_ROMANCE)):
+            for m in pattern.finditer(t) if flags & flag else ():
                 if lower or m.group()[:1].isupper() or m.group()[:1].isdigit() or pattern is _STREET_ROMANCE:
                     take(m.start(), m.end(), "ADDRESS")
 
@@ -483,8 +484,8 @@ def name_evidence(texts: DataFrame, text: str, fields: DataFrame | None = None,
     texts (and in ``least``, where that is more), except those that more texts have capitalised as the
     family name of a known or introduced given name. ``given``: ``known`` and the words that aren't common,
     stand first in names with ``partners`` different family names where only names stand (a whole field,
-    after a title or an introduction), in at least ``strong`` of the different texts that have the word in
-    title case. Copies count once; links, addresses and handles aren't read. A word can be common only
+    after a title or an introduction), in at least ``strong`` of the different texts that have the word as
+    the first of two in title case. Copies count once; links, addresses and handles aren't read. A word can be common only
     about words-per-text / share times, and what reaches the driver is checked (an error beyond ``cap``).
     """
     base = texts.select(F.col(text).alias("t"), F.lit(False).alias("field"))
@@ -497,12 +498,12 @@ def name_evidence(texts: DataFrame, text: str, fields: DataFrame | None = None,
     field, two = F.col("field"), F.col("t").rlike(_MAY_BE_TWO)
     low = all_of(r"(?<![\p{L}])(\p{Ll}[\p{L}]*)", ~field)
     first = F.transform(all_of(r"(?:^|[.!?\n]\s+|[-/\"—]\s+)(\p{L}[\p{L}]*)", ~field), F.lower)
-    titled = F.transform(all_of(r"(?<![\p{L}\p{M}])(\p{Lu}\p{Ll}+)(?!\p{L})", F.lit(True)), F.lower)
     pairs = F.transform(F.concat(all_of(_AS_FIELD, field & two), all_of(_AFTER_INTRO, ~field & two)), _pair)
-    after_known = F.filter(F.transform(all_of(_TWO_TITLED, two), _pair), lambda x: x["w"].isin(*sorted(known)) if known else F.lit(False))
+    twos = F.transform(all_of(_TWO_TITLED, two), _pair)
+    after_known = F.filter(twos, lambda x: x["w"].isin(*sorted(known)) if known else F.lit(False))
     alone = F.lit(None).cast("string")
     other = lambda x: x["other"]
-    tagged = [F.transform(F.array_distinct(ws), lambda w: F.struct(w.alias("w"), F.lit(k).alias("k"), alone.alias("other"))) for k, ws in (("l", low), ("f", first), ("n", F.concat(F.transform(after_known, other), F.transform(pairs, other))), ("c", titled))]
+    tagged = [F.transform(F.array_distinct(ws), lambda w: F.struct(w.alias("w"), F.lit(k).alias("k"), alone.alias("other"))) for k, ws in (("l", low), ("f", first), ("n", F.concat(F.transform(after_known, other), F.transform(pairs, other))), ("c", F.transform(twos, lambda x: x["w"])))]
     tagged.append(F.transform(F.array_distinct(pairs), lambda x: F.struct(x["w"].alias("w"), F.lit("s").alias("k"), x["other"].alias("other"))))
     tagged.append(F.array(F.struct(F.lit("").alias("w"), F.when(field, "t").otherwise("l").alias("k"), alone.alias("other"))))  # the empty word counts the texts
     seen = base.select(F.explode(F.concat(*tagged)).alias("x")).groupBy("x.w", "x.k", "x.other").agg(F.count("*").alias("n"))
