@@ -1,31 +1,45 @@
-"""Sinks with receipts: staged writes, schema manifests, verified stages."""
+"""Sinks with receipts: staged writes, schema manifests, verified stages.
+
+Files are reached through Hadoop's file system interface, so a folder may lie on any file system that
+the session knows; contents are hashed by tasks, not on the driver.
+"""
 
 from __future__ import annotations
 
-import hashlib
 import json
-import shutil
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import Folder
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Put back what a :func:`publish` that was killed between its two renames has moved aside."""
+    target, old = Folder(spark, path), Folder(spark, path + ".old")
+    if old.exists() and not target.exists():
+        old.rename(target)
+
 
 def publish(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Write zstd Parquet to a staging folder beside the target and rename it into place; a failure
-    leaves what was there. For a folder of a shared file system; object stores need a committer."""
-    target, staging, old = Path(path), Path(path + ".staging"), Path(path + ".old")
-    shutil.rmtree(staging, ignore_errors=True)
+    leaves what was there. A writer that is killed between the two renames leaves the former table in
+    ``path``.old, and :func:`recover`, which every publish begins with, puts it back. Object stores without
+    renames need a committer."""
+    spark = df.sparkSession
+    recover(spark, path)
+    target, staging, old = (Folder(spark, path + end) for end in ("", ".staging", ".old"))
+    staging.delete()
+    old.delete()
     w = df.write.mode("errorifexists").option("compression", "zstd")
-    (w.partitionBy(*partition_by) if partition_by else w).parquet(str(staging))
+    (w.partitionBy(*partition_by) if partition_by else w).parquet(staging.path)
     if target.exists():
         target.rename(old)
     try:
         staging.rename(target)
-    except OSError:
-        if old.exists():
-            old.rename(target)
+    except Exception:
+        recover(spark, path)
         raise
-    shutil.rmtree(old, ignore_errors=True)
+    old.delete()
 
 
 def write_manifest(spark: SparkSession, directory: str, tables: list[str]) -> dict:
@@ -33,40 +47,53 @@ def write_manifest(spark: SparkSession, directory: str, tables: list[str]) -> di
     out = {}
     for t in tables:
         df = spark.read.parquet(f"{directory}/{t}.parquet")
-        p = Path(directory, f"{t}.parquet")
-        size = p.stat().st_size if p.is_file() else sum(x.stat().st_size for x in p.rglob("*.parquet"))
-        out[t] = {"rows": df.count(), "bytes": size, "schema": df.schema.jsonValue()}
-    Path(directory, "manifest.json").write_text(json.dumps(out, indent=1))
+        out[t] = {"rows": df.count(), "bytes": Folder(spark, f"{directory}/{t}.parquet").size(), "schema": df.schema.jsonValue()}
+    Folder(spark, directory).write_text("manifest.json", json.dumps(out, indent=1))
     return out
 
 
 class Stage:
     """An output folder that is written once: inputs and outputs are hashed into ``receipt.json``."""
 
-    def __init__(self, directory: str, inputs: dict[str, str]):
-        self.path, self.inputs = Path(directory), inputs
+    def __init__(self, directory: str, inputs: dict[str, str], spark: SparkSession | None = None):
+        self.folder, self.inputs = Folder(spark or SparkSession.active(), str(directory)), inputs
+
+    def _receipt(self) -> dict:
+        return json.loads(self.folder.read_text("receipt.json"))
 
     def begin(self) -> bool:
         """True if there is work: no finished receipt for the same inputs. Other inputs are an error."""
-        receipt = self.path / "receipt.json"
-        if receipt.exists():
-            if json.loads(receipt.read_text())["inputs"] != self.inputs:
+        if self.folder.exists("receipt.json"):
+            if self._receipt()["inputs"] != self.inputs:
                 raise ValueError("stage was finished for other inputs")
             return False
-        self.path.mkdir(parents=True, exist_ok=True)
+        self.folder.fs.mkdirs(self.folder.at())
         return True
 
-    def _digest(self) -> dict[str, str]:
-        return {str(p.relative_to(self.path)): hashlib.sha256(p.read_bytes()).hexdigest() for p in sorted(self.path.rglob("*")) if p.is_file() and p.name != "receipt.json"}
-
     def finish(self) -> None:
-        (self.path / "receipt.json").write_text(json.dumps({"inputs": self.inputs, "outputs": self._digest()}, indent=1))
+        self.folder.write_text("receipt.json", json.dumps({"inputs": self.inputs, "outputs": self.folder.digests(("receipt.json",))}, indent=1))
 
     def verify(self) -> None:
-        if json.loads((self.path / "receipt.json").read_text())["outputs"] != self._digest():
+        if self._receipt()["outputs"] != self.folder.digests(("receipt.json",)):
             raise ValueError("stage outputs differ from their receipt")
 
 
+def write_shards(parts: dict[str, DataFrame], path: str) -> list[str]:
+    """Each part once as a shard with a receipt of its own; shards that are finished are verified and kept, so
+    a run that was stopped goes on where it was. Returns the shards written now."""
+    written = []
+    for name, df in parts.items():
+        spark = df.sparkSession
+        shard = Stage(f"{path}/{name}", {"shard": name, "schema": df.schema.json()}, spark)
+        if not shard.begin():
+            shard.verify()
+            continue
+        publish(df, f"{path}/{name}/rows")
+        shard.finish()
+        written.append(name)
+    return written
+
+
 def upsert_partition(df: DataFrame, path: str, partition: str) -> None:
     """Replace the partitions that ``df`` holds, keep the others."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from .shared import Folder
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Lazily scan ``{sf_dir}/{name}.parquet`` (a file or a directory of part files)."""
@@ -29,8 +30,8 @@ class Snapshot:
     def __init__(self, spark: SparkSession, directory: str, allowed: list[str] | None = None):
         self.spark, self.directory = spark, directory
         self.allowed = set(allowed) if allowed is not None else None
-        path = Path(directory, "manifest.json")
-        self.manifest = json.loads(path.read_text()) if path.exists() else {}
+        self.folder = Folder(spark, directory)
+        self.manifest = json.loads(self.folder.read_text("manifest.json")) if self.folder.exists("manifest.json") else {}
         for name, entry in self.manifest.items():
             want = T.StructType.fromJson(entry["schema"])
             have = read_table(spark, directory, name).schema
@@ -44,9 +45,5 @@ class Snapshot:
 
     def identity(self) -> str:
         """Digest over table names, sizes and modification times."""
-        parts = []
-        for p in sorted(Path(self.directory).rglob("*.parquet")):
-            if p.is_file():
-                s = p.stat()
-                parts.append(f"{p.relative_to(self.directory)}|{s.st_size}|{s.st_mtime_ns}")
+        parts = [f"{p.rsplit(self.folder.path, 1)[-1]}|{size}|{changed}" for p, size, changed in self.folder.files(".parquet")]
         return hashlib.sha256("\n".join(parts).encode()).hexdigest()
