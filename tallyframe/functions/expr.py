@@ -93,3 +93,10 @@ def with_row(df: DataFrame, one: DataFrame) -> DataFrame:
     """Adds the columns of a one-row aggregate to every row, as a scalar subquery (no join)."""
     packed = df.withColumn("__one", one.select(F.struct(*one.columns)).scalar())
     return packed.select(*df.columns, *[F.col(f"__one.{c}").alias(c) for c in one.columns])
+
+
+def quantile(value: Column, p: float, error: float = 0.0) -> Column:
+    """Aggregate: the p-quantile, linear between values and exact, which keeps a group's different values in one
+    task; with ``error`` > 0 a value whose rank is off by at most that share, from a mergeable sketch of
+    bounded size, for groups of any number of values."""
+    return F.percentile_approx(value, p, max(100, round(1 / error))) if error else F.percentile(value, p)

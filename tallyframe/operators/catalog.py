@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import holds, sha_hex, with_row
+from ..functions.expr import finite, holds, quantile, sha_hex
 
 
 @dataclass(frozen=True)
@@ -25,30 +25,25 @@ class Filters:
         return reduce(lambda a, b: a & b, [holds(p) for p in parts], F.lit(True))
 
 
-def cohort_summary(df: DataFrame, cohort: list[str], value: str, limit: int | None = None) -> DataFrame:
-    """Rows, median and quartiles (linear, to 4 digits) per cohort, largest first."""
+def cohort_summary(df: DataFrame, cohort: list[str], value: str, limit: int | None = None, error: float = 0.0) -> DataFrame:
+    """Rows, median and quartiles (to 4 digits; see :func:`quantile` for ``error``) per cohort, largest first."""
     v = F.col(value)
-    out = df.groupBy(*cohort).agg(F.count("*").alias("n"), *[F.round(F.percentile(v, p), 4).alias(a) for a, p in (("median", 0.5), ("q25", 0.25), ("q75", 0.75))])
+    out = df.groupBy(*cohort).agg(F.count("*").alias("n"), *[F.round(quantile(v, p, error), 4).alias(a) for a, p in (("median", 0.5), ("q25", 0.25), ("q75", 0.75))])
     out = out.orderBy(F.col("n").desc(), *[F.col(c).asc_nulls_last() for c in cohort])
     return out.limit(limit) if limit else out
 
 
-def scope_summary(df: DataFrame, identity: str, cohort: list[str], values: list[str], date: str | None = None) -> DataFrame:
-    """One row: rows, distinct identities, complete cohorts, median and finite range of each value.
-
-    Each part is its own aggregation (no row is expanded per distinct count); medians are taken over
-    counted distinct values, so the last task holds a column's values once, not its rows.
-    """
+def scope_summary(df: DataFrame, identity: str, cohort: list[str], values: list[str], date: str | None = None, error: float = 0.0) -> DataFrame:
+    """One row from one pass: rows, distinct identities, complete cohorts, median (see :func:`quantile` for
+    ``error``) and finite range of each value."""
     complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cohort])
-    parts = [df.agg(F.count("*").alias("n_rows"), *([F.min(date).alias("first_date"), F.max(date).alias("last_date")] if date else []))]
-    parts.append(df.select(identity).filter(F.col(identity).isNotNull()).distinct().agg(F.count("*").alias("n_ids")))
-    parts.append(df.filter(complete).select(*cohort).distinct().agg(F.count("*").alias("n_cohorts")))
+    cols = [F.count("*").alias("n_rows"), F.count_distinct(identity).alias("n_ids"), F.count_distinct(F.when(complete, F.struct(*cohort))).alias("n_cohorts")]
     for v in values:
-        x = df.select(F.col(v).cast("double").alias("x")).filter("NOT isnan(x) AND abs(x) < double('infinity')").groupBy("x").agg(F.count("*").alias("n"))
-        parts.append(x.agg(F.percentile("x", 0.5, F.col("n")).alias(f"{v}_median"), F.min("x").alias(f"{v}_min"), F.max("x").alias(f"{v}_max")))
-    one = reduce(with_row, parts)
-    ends = ["first_date", "last_date"] if date else []
-    return one.select("n_rows", "n_ids", "n_cohorts", *[f"{v}_{k}" for v in values for k in ("median", "min", "max")], *ends)
+        x = finite(F.col(v).cast("double"))
+        cols += [quantile(x, 0.5, error).alias(f"{v}_median"), F.min(x).alias(f"{v}_min"), F.max(x).alias(f"{v}_max")]
+    if date:
+        cols += [F.min(date).alias("first_date"), F.max(date).alias("last_date")]
+    return df.agg(*cols)
 
 
 def histogram(df: DataFrame, value: str, width: float) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expr import hash_unit, norm_key
+from ..functions.expr import hash_unit, norm_key, quantile
 
 
 def first_source(sources: dict[str, Column], missing: str = "missing") -> tuple[Column, Column]:
@@ -134,11 +134,9 @@ def cohort_reasons(df: DataFrame, cohort: list[str], medians: dict[str, Column],
     """``df`` with ``reasons`` (joined by ';', '' for none) against medians of its cohort.
 
     ``medians``: name -> value, over the rows where ``positive`` holds; ``rules``: reason -> condition of those
-    medians, unknown as false. ``error`` > 0 takes medians from a mergeable sketch whose ranks are off by
-    that share at most, so that a very large cohort isn't counted value by value in one task.
+    medians, unknown as false. See :func:`quantile` for ``error``.
     """
-    of = (lambda v: F.percentile_approx(v, 0.5, max(100, int(1 / error)))) if error else (lambda v: F.percentile(v, 0.5))
-    g = df.filter(positive).groupBy(*cohort).agg(*[of(v).alias(f"__{n}") for n, v in medians.items()])
+    g = df.filter(positive).groupBy(*cohort).agg(*[quantile(v, 0.5, error).alias(f"__{n}") for n, v in medians.items()])
     m = {n: F.col(f"__{n}") for n in medians}
     out = df.join(g, cohort, "left").withColumn("reasons", F.concat_ws(";", *[F.when(F.coalesce(rule(m), F.lit(False)), n) for n, rule in rules.items()]))
     return out.drop(*[f"__{n}" for n in medians])

@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.expr import with_row
+from ..functions.expr import quantile, with_row
 
 
-def regression(actual: str, predicted: str, digits: int = 6) -> list[Column]:
+def regression(actual: str, predicted: str, digits: int = 6, error: float = 0.0) -> list[Column]:
     """Aggregates n, mae, rmse, r2 (null for one row or constant actuals), wape_pct (of the sum of actuals;
-    null unless that is positive), bias, p95_error."""
+    null unless that is positive), bias, p95_error (see :func:`quantile` for ``error``)."""
     a, p = F.col(actual), F.col(predicted)
     e = p - a
     sse, spread = F.sum(e * e), F.var_pop(a) * F.count("*")
@@ -22,7 +22,7 @@ def regression(actual: str, predicted: str, digits: int = 6) -> list[Column]:
         F.count("*").alias("n"), F.round(F.avg(F.abs(e)), digits).alias("mae"), F.round(F.sqrt(F.avg(e * e)), digits).alias("rmse"),
         F.round(F.when(spread > 0, 1 - sse / spread), digits).alias("r2"),
         F.round(F.when(F.sum(a) > 0, F.lit(100.0) * F.sum(F.abs(e)) / F.sum(a)), digits).alias("wape_pct"),
-        F.round(F.avg(e), digits).alias("bias"), F.round(F.percentile(F.abs(e), 0.95), digits).alias("p95_error"),
+        F.round(F.avg(e), digits).alias("bias"), F.round(quantile(F.abs(e), 0.95, error), digits).alias("p95_error"),
     ]
 
 
@@ -115,12 +115,15 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     return s.select(F.col("n").alias("n"), F.round(F.when(top != expected, (F.col("ij") - expected) / (top - expected)).otherwise(1.0), 9).alias("ari"))
 
 
-def adjust_p(df: DataFrame, p: str, out: str = "q") -> DataFrame:
-    """Benjamini-Hochberg values. For a table of tests (one global order)."""
-    n = F.count("*").over(W.partitionBy())
-    r = F.row_number().over(W.orderBy(F.col(p)))
-    raw = df.withColumn("__q", F.col(p) * n / r)
-    return raw.withColumn(out, F.least(F.lit(1.0), F.min("__q").over(W.orderBy(F.col(p).desc()).rowsBetween(W.unboundedPreceding, W.currentRow)))).drop("__q")
+def adjust_p(df: DataFrame, p: str, out: str = "q", tie: tuple[str, ...] = (), most: int = 100_000) -> DataFrame:
+    """Benjamini-Hochberg values; ties by ``tie``. For a table of tests: one global order of at most ``most``
+    rows, which is checked (an error beyond). Null p-values have none."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} tests to order in one task")
+    known, order = F.col(p).isNotNull(), [F.col(p).asc_nulls_last(), *[F.col(c) for c in tie]]
+    raw = df.withColumn("__q", F.when(known, F.col(p) * F.count(p).over(W.partitionBy()) / F.row_number().over(W.orderBy(*order))))
+    back = W.orderBy(F.col(p).desc_nulls_first(), *[F.col(c).desc() for c in tie]).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return raw.withColumn(out, F.when(known, F.least(F.lit(1.0), F.min("__q").over(back)))).drop("__q")
 
 
 def poisson_count(u: Column, most: int = 12) -> Column:

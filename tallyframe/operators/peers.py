@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.expr import with_row
+from ..functions.expr import quantile, with_row
 
 
-def numeric_bounds(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """One row of clip bounds per column."""
-    return df.agg(*[F.percentile(c, p).alias(f"__{s}_{c}") for c in columns for s, p in (("lo", low), ("hi", high))])
+def numeric_bounds(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99, error: float = 0.0) -> DataFrame:
+    """One row of clip bounds per column (see :func:`quantile` for ``error``)."""
+    return df.agg(*[quantile(F.col(c), p, error).alias(f"__{s}_{c}") for c in columns for s, p in (("lo", low), ("hi", high))])
 
 
 def scaled(df: DataFrame, numeric: list[str]) -> DataFrame:

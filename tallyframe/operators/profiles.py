@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.expr import quantile
+
 
 def modes(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Most frequent non-null value per key (ties: the smallest), its count and the observations."""
@@ -18,12 +20,12 @@ def agreed(mode: Column, agreement: Column, gate: float = 0.9) -> Column:
     return F.when(agreement >= gate, mode)
 
 
-def numeric_profile(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """n, and per column median, IQR, range and observations."""
+def numeric_profile(df: DataFrame, keys: list[str], columns: list[str], error: float = 0.0) -> DataFrame:
+    """n, and per column median, IQR (see :func:`quantile` for ``error``), range and observations."""
     cols = [F.count("*").alias("n")]
     for c in columns:
         v = F.col(c)
-        cols += [F.percentile(v, 0.5).alias(f"{c}_median"), F.round(F.percentile(v, 0.75) - F.percentile(v, 0.25), 9).alias(f"{c}_iqr"), F.min(v).alias(f"{c}_min"), F.max(v).alias(f"{c}_max"), F.count(v).alias(f"{c}_n")]
+        cols += [quantile(v, 0.5, error).alias(f"{c}_median"), F.round(quantile(v, 0.75, error) - quantile(v, 0.25, error), 9).alias(f"{c}_iqr"), F.min(v).alias(f"{c}_min"), F.max(v).alias(f"{c}_max"), F.count(v).alias(f"{c}_n")]
     return df.groupBy(*keys).agg(*cols)
 
 
@@ -69,7 +71,10 @@ def mean_of_means(df: DataFrame, outer: str, inner: str, value: str, least: int)
     return per.groupBy(outer).agg(F.round(F.avg("__m"), 9).alias("mean_of_means"), F.count("*").alias("inner_groups"), F.sum("__n").alias("n_rows")).filter(F.col("inner_groups") >= least)
 
 
-def running_share(df: DataFrame, order: list, weight: str, out: str = "running_share") -> DataFrame:
-    """Cumulative share of ``weight``. For results of an aggregation: one global order."""
+def running_share(df: DataFrame, order: list, weight: str, out: str = "running_share", most: int = 100_000) -> DataFrame:
+    """Cumulative share of ``weight``. For results of an aggregation: one global order of at most ``most`` rows,
+    which is checked (an error beyond)."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows to order in one task")
     w = W.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     return df.withColumn(out, F.round(F.sum(weight).over(w) / F.sum(weight).over(W.partitionBy()), 9))

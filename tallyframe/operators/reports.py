@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.expr import with_row
+from ..functions.expr import quantile, with_row
 from .metrics import wilson_gate
 
 
@@ -84,10 +84,11 @@ def task_inventory(df: DataFrame, group: str, year: str, ids: str, inner: str, k
     return g.orderBy(F.col("n_ids").desc(), F.col(group).asc_nulls_last()).limit(k)
 
 
-def error_concentration(df: DataFrame, segment: str, error: str, top: float = 0.99) -> DataFrame:
-    """``segment``, n, share of the squared error, and the share that lies in the rows above the ``top`` quantile."""
+def error_concentration(df: DataFrame, segment: str, error: str, top: float = 0.99, rank_error: float = 0.0) -> DataFrame:
+    """``segment``, n, share of the squared error, and the share that lies in the rows above the ``top`` quantile
+    (see :func:`quantile` for ``rank_error``)."""
     e = df.withColumn("__sq", F.pow(F.col(error), 2))
-    j = with_row(e, e.agg(F.percentile("__sq", top).alias("__cut"), F.sum("__sq").alias("__total")))
+    j = with_row(e, e.agg(quantile(F.col("__sq"), top, rank_error).alias("__cut"), F.sum("__sq").alias("__total")))
     return j.groupBy(segment).agg(F.count("*").alias("n"), F.round(F.sum("__sq") / F.max("__total"), 6).alias("share"), F.round(F.sum(F.when(F.col("__sq") >= F.col("__cut"), F.col("__sq"))) / F.max("__total"), 6).alias("top_share"))
 
 

@@ -121,12 +121,8 @@ SELECT p_brand, n, p, round(least(1.0, min(raw) OVER (ORDER BY p DESC, p_brand D
 """)
 def adjusted_p(t: Tables):
     """Step-up adjustment over a table of test values."""
-    from pyspark.sql import Window as W
-
     g = t.part.groupBy("p_brand").agg(F.count("*").alias("n"), F.round(F.avg((F.col("p_size") > 25).cast("double")), 9).alias("p"))
-    raw = g.withColumn("raw", F.col("p") * F.count("*").over(W.partitionBy()) / F.row_number().over(W.orderBy("p", "p_brand")))
-    adj = F.least(F.lit(1.0), F.min("raw").over(W.orderBy(F.col("p").desc(), F.col("p_brand").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return raw.select("p_brand", "n", "p", F.round(adj, 9).alias("adjusted"))
+    return M.adjust_p(g, "p", "adjusted", ("p_brand",)).select("p_brand", "n", "p", F.round("adjusted", 9).alias("adjusted"))
 
 
 @q()
