@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import finite, holds, quantile, sha_hex
+from ..functions.expr import finite, holds, quantile, sha_hex, with_row
 
 
 @dataclass(frozen=True)
@@ -34,16 +34,25 @@ def cohort_summary(df: DataFrame, cohort: list[str], value: str, limit: int | No
 
 
 def scope_summary(df: DataFrame, identity: str, cohort: list[str], values: list[str], date: str | None = None, error: float = 0.0) -> DataFrame:
-    """One row from one pass: rows, distinct identities, complete cohorts, median (see :func:`quantile` for
-    ``error``) and finite range of each value."""
+    """One row: rows, distinct identities, complete cohorts, median (see :func:`quantile` for ``error``) and
+    finite range of each value. Counts, ends and, with ``error``, medians come from one pass; an exact median
+    is taken over a column's counted different values, one more pass for each."""
     complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cohort])
     cols = [F.count("*").alias("n_rows"), F.count_distinct(identity).alias("n_ids"), F.count_distinct(F.when(complete, F.struct(*cohort))).alias("n_cohorts")]
+    medians = []
     for v in values:
         x = finite(F.col(v).cast("double"))
-        cols += [quantile(x, 0.5, error).alias(f"{v}_median"), F.min(x).alias(f"{v}_min"), F.max(x).alias(f"{v}_max")]
+        cols += [F.min(x).alias(f"{v}_min"), F.max(x).alias(f"{v}_max")]
+        if error:
+            cols.append(quantile(x, 0.5, error).alias(f"{v}_median"))
+        else:
+            counted = df.select(x.alias("x")).filter("x IS NOT NULL").groupBy("x").agg(F.count("*").alias("n"))
+            medians.append(counted.agg(F.percentile("x", 0.5, F.col("n")).alias(f"{v}_median")))
     if date:
         cols += [F.min(date).alias("first_date"), F.max(date).alias("last_date")]
-    return df.agg(*cols)
+    one = reduce(with_row, medians, df.agg(*cols))
+    ends = ["first_date", "last_date"] if date else []
+    return one.select("n_rows", "n_ids", "n_cohorts", *[f"{v}_{k}" for v in values for k in ("median", "min", "max")], *ends)
 
 
 def histogram(df: DataFrame, value: str, width: float) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import materialise
+
 
 def _none(df: DataFrame, **columns) -> DataFrame | None:
     """An empty table has no model: the empty frame with the result columns, or None if there are rows."""
@@ -134,7 +136,7 @@ def text_classifier(df: DataFrame, text: str, label: str, fold: str, folds: int)
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import vector_to_array
 
-    tf = term_counts(df, text, 1 << 12, True, (3, 4))
+    tf = materialise(term_counts(df, text, 1 << 12, True, (3, 4)), "terms")
     out = []
     for k in range(folds):  # one model per fold
         train = tf.filter(F.col(fold) != k)
