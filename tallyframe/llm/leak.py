@@ -83,31 +83,39 @@ def repeats_for(recall: float, edits: int, window: int, samples: int, trials: in
     chance to miss that ``recall`` leaves isn't used up, for changed, missing and added words each."""
     if edits == 0:
         return 1
+    return max(_repeats(recall, edits, window, samples, trials, kind) for kind in ("changed", "missing", "added"))
+
+
+def _edited(plain: np.ndarray, edits: int, kind: str, rng: np.random.Generator) -> np.ndarray:
+    """Windows with so many words changed, missing or added at random places."""
+    out = plain
+    for _ in range(edits):
+        trials, n = out.shape
+        place = rng.integers(0, n, trials)[:, None]
+        new = rng.integers(1, 2**62, (trials, 1)).astype(np.uint64)
+        grid = np.arange(n + 1 if kind == "added" else n)
+        if kind == "changed":
+            out = np.where(grid == place, new, out)
+        elif kind == "missing" and n > 1:
+            out = out[grid != place].reshape(trials, n - 1)
+        elif kind == "added":
+            moved = np.minimum(grid - (grid > place), n - 1)
+            out = np.where(grid == place, new, np.take_along_axis(out, moved, 1))
+    return out
+
+
+def _repeats(recall: float, edits: int, window: int, samples: int, trials: int, kind: str) -> int:
     rng = np.random.default_rng(7)
-    top = 256
-    emb = Embedding(window, top, samples)
     plain = rng.integers(1, 2**62, (trials, window)).astype(np.uint64)
-    at = np.arange(trials) * window
-    want = np.array(list(emb.keys(plain.ravel(), at, window)))
-    most = 1
-    for kind in ("changed", "missing", "added"):
-        other = plain
-        for _ in range(edits):
-            n = other.shape[1]
-            place = rng.integers(0, n, trials)
-            grid = np.arange(n + 1 if kind == "added" else n)
-            if kind == "changed":
-                other = np.where(grid == place[:, None], rng.integers(1, 2**62, (trials, 1)).astype(np.uint64), other)
-            elif kind == "missing" and n > 1:
-                other = other[grid != place[:, None]].reshape(trials, n - 1)
-            elif kind == "added":
-                moved = np.minimum(grid - (grid > place[:, None]), n - 1)
-                other = np.where(grid == place[:, None], rng.integers(1, 2**62, (trials, 1)).astype(np.uint64), np.take_along_axis(other, moved, 1))
-        n = other.shape[1]
-        hit = np.array(list(emb.keys(other.ravel(), np.arange(trials) * n, n))) == want
-        found = np.maximum.accumulate(hit, axis=0).mean(axis=1)
-        most = max(most, int(np.argmax(found >= (1 + recall) / 2)) + 1 if found[-1] >= (1 + recall) / 2 else top)
-    return most
+    other = _edited(plain, edits, kind, rng)
+    missed, emb = np.ones(trials, bool), Embedding(window, 256, samples)
+    n = other.shape[1]
+    pairs = zip(emb.keys(plain.ravel(), np.arange(trials) * window, window), emb.keys(other.ravel(), np.arange(trials) * n, n))
+    for r, (a, b) in enumerate(pairs, 1):
+        missed &= a != b
+        if missed.mean() <= (1 - recall) / 2:
+            return r
+    return emb.repeats
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
