@@ -246,16 +246,20 @@ def neighbours_of(df: DataFrame, queries: DataFrame, key: str, vector: str, k: i
     """
     rows = df.select(F.col(key).cast("bigint").alias("i"), F.col(vector).alias("v")).filter("i IS NOT NULL AND v IS NOT NULL")
     asked = queries.select(F.col(key).cast("bigint").alias("i"), F.col(vector).alias("v")).filter("i IS NOT NULL AND v IS NOT NULL")
-    out, part, parts = None, [], []
-    for r in asked.toLocalIterator():  # the stated query set, block by block
+    context, held, part = df.sparkSession.sparkContext, [], []
+
+    def hand_over() -> None:
+        if part:
+            held.append(context.broadcast((np.array([i for i, _ in part]), _unit([v for _, v in part]))))
+            part.clear()
+
+    for r in asked.toLocalIterator():  # the stated query set: the driver has one block of it at a time
         part.append((r.i, r.v))
         if len(part) == block:
-            parts.append(part)
-            part = []
-    for p in [*parts, part]:
-        if not p:
-            continue
-        shared = df.sparkSession.sparkContext.broadcast((np.array([i for i, _ in p]), _unit([v for _, v in p])))
+            hand_over()
+    hand_over()
+    out = None
+    for shared in held:
 
         def run(batches, shared=shared):
             ids, q = shared.value
