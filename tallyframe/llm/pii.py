@@ -97,7 +97,7 @@ _BEFORE_MODEL = regex.compile(r"(?r)(?:^|[\s,])(?:the|my|our|a|an|this|that|exit
 _GIVEN_SET = frozenset(GIVEN)
 _NAME_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*(?:['’]\p{L}[\p{L}\p{M}]*)?(?:-\p{L}[\p{L}\p{M}]*)*")
 # Phrases that introduce a person, and what people are to a writer.
-_INTRODUCED = r"my name is|i am called|ich hei(?:ß|ss)e|mein name ist|me llamo|mi nombre es|je m'appelle|mi chiamo|meu nome é|nazywam się|mijn naam is|contact|ask for|pregunta por|demandez|attn\.?|attention|signed|regards|sincerely|cheers|written by|correspondence to|service advisor|driver"
+_INTRODUCED = r"my name is|i am called|ich hei(?:ß|ss)e|mein name ist|me llamo|mi nombre es|je m'appelle|mi chiamo|meu nome é|nazywam się|mijn naam is|contact|ask for|pregunta por|demandez|attn\.?|attention|signed|regards|sincerely|cheers|written by"
 _RELATED = r"advisor|mechanic|technician|manager|salesman|saleswoman|agent|attorney|officer|owner|neighbou?r|buddy|friend|wife|husband|brother|sister|son|daughter|cousin|uncle|aunt|boss|colleague|guy"
 _INTRO = regex.compile(rf"(?<!\p{{L}})(?:{_INTRODUCED})[,:]?\s+|(?<![^\s(,]){TITLES}\s+", _FLAGS)
 _ROLE = regex.compile(rf"(?<!\p{{L}})(?:{_RELATED})(?:\s+is)?,?\s+", _FLAGS)
@@ -127,7 +127,7 @@ _RUNS = {
     STREET: "street str st avenue ave av road rd lane ln drive dr court ct boulevard blvd way mews place pl terrace ter highway hwy parkway pkwy close crescent cres trail trl square sq row circle cir alley loop",
     STREET_ROMANCE: "calle avenida avda plaza rua via viale piazza rue boulevard avenue chemin allee allée",
     TITLE: "mr mrs ms miss dr prof sr sra herr frau mme m",
-    INTRODUCES: "name called heiße heisse llamo nombre appelle chiamo nome nazywam naam contact ask pregunta demandez attn attention signed regards sincerely cheers written correspondence advisor driver "
+    INTRODUCES: "name called heiße heisse llamo nombre appelle chiamo nome nazywam naam contact ask pregunta demandez attn attention signed regards sincerely cheers written advisor "
     "mechanic technician manager salesman saleswoman agent attorney officer owner neighbour neighbor buddy friend wife husband brother sister son daughter cousin uncle aunt boss colleague guy",
     IDENTITY: "ssn s social tax taxpayer tin itin ein passport driver drivers license licence dl dni nie nif curp rfc cpf pesel bsn nino national identity id personal pasaporte passeport permis",
     BOX: "box pobox postfach apartado postale",
